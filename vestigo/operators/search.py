@@ -56,15 +56,18 @@ def search_postings(postings: DataFrame, terms: DataFrame, k: int = DEFAULT_K, i
     return _top(hits.groupBy("query_id", id).agg(F.sum(F.col("qtf") * F.col("tf")).alias("score")), k, id)
 
 
-def search_weighted(index: Index, terms: DataFrame, k: int = DEFAULT_K, id: str = "doc_id") -> DataFrame:
-    """As ``search_postings`` with squared idf weights and scores divided by the document norm; NaN scores drop out."""
+def search_weighted(index: Index, terms: DataFrame, k: int = DEFAULT_K, id: str = "doc_id", digits: int = 9) -> DataFrame:
+    """As ``search_postings`` with squared idf weights and scores divided by the document norm; NaN scores drop out.
+
+    Scores are rounded before ranking, so that equal documents tie in whatever order their terms were added up.
+    """
     hint = _hint(terms)
     weights = index.terms.join(hint(terms), "term").select(
         "query_id", "term", (F.col("qtf") * F.pow("idf", F.lit(2))).alias("weight"))
     hits = index.postings.join(hint(weights), "term")
     raw = hits.groupBy("query_id", id).agg(F.sum(F.col("weight") * F.col("tf")).alias("raw"))
     scores = raw.join(index.docs, id).select(
-        "query_id", id, F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).alias("score"))
+        "query_id", id, F.when(F.col("norm") > 0, F.round(F.col("raw") / F.col("norm"), digits)).alias("score"))
     return _top(scored(scores), k, id)
 
 

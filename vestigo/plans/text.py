@@ -84,8 +84,7 @@ def search_turns(spark, folder):
 
 def search_tfidf(spark, folder):
     index = terms.build_index(_docs(spark, folder))
-    found = search.search_weighted(index, search.query_terms(_one_query(spark, folder)), K)
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return search.search_weighted(index, search.query_terms(_one_query(spark, folder)), K, digits=6)
 
 
 def search_stopwords(spark, folder):
@@ -213,9 +212,9 @@ FROM documents LEFT JOIN norms USING (doc_id)""",
 q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM postings WHERE doc_id = {QUERY_DOC}),
 scores AS (SELECT query_id, p.doc_id, sum(qtf * tf * idf * idf) AS raw
   FROM postings p JOIN q USING (term) JOIN terms USING (term) GROUP BY ALL),
-ranked AS (SELECT query_id, doc_id, raw / norm AS score, CAST({_ranked('raw / norm DESC, doc_id')} AS INTEGER) AS rank
-  FROM scores JOIN norms USING (doc_id) WHERE norm > 0)
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {K}""",
+normed AS (SELECT query_id, doc_id, round(raw / norm, 6) AS score FROM scores JOIN norms USING (doc_id) WHERE norm > 0),
+ranked AS (SELECT query_id, doc_id, score, CAST({_ranked('score DESC, doc_id')} AS INTEGER) AS rank FROM normed)
+SELECT * FROM ranked WHERE rank <= {K}""",
     "search_stopwords": f"""WITH tok AS (SELECT doc_id, term FROM (
   SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{WORD_BREAKS}')) AS term FROM documents)
   WHERE term <> '' AND term NOT IN ({_WORDS})),
