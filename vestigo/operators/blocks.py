@@ -124,9 +124,9 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
     q_parts = max(1, -(-measure(queries, query_size)[1] // ship_bytes))
     c_parts = max(1, -(-measure(corpus, corpus_size)[1] // block_bytes))
     left = (queries.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(q_parts)))
-            .withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1)))))
-    right = (corpus.withColumn("_c", F.pmod(F.xxhash64(id), F.lit(c_parts)).cast("int"))
-             .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).cast("bigint")))
+            .withColumn("_c", F.explode(F.sequence(_long(0), _long(c_parts - 1)))))
+    right = (corpus.withColumn("_c", F.pmod(F.xxhash64(id), F.lit(c_parts)))
+             .withColumn("_q", F.explode(F.sequence(_long(0), _long(q_parts - 1)))))
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
         found = list(match(q, iter(c.combine_chunks().to_batches(BATCH_ROWS)))) if q.num_rows and c.num_rows else []
@@ -138,6 +138,10 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(cell, schema)
 
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
+
+
 def pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:

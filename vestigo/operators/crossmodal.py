@@ -69,20 +69,24 @@ def fit_correlation(pairs: DataFrame, reg: float = 1e-3, components: int | None
     Executors add up means and products; the driver solves the problem of the size of the two views together.
     ``reg`` times the mean variance is added to each view's diagonal, since topic shares are linearly dependent.
     """
-    sizes = pairs.agg(F.max(F.size("text_vector")).alias("p"), F.max(F.size("image_vector")).alias("q")).first()
-    if sizes["p"] is None:
-        raise ValueError("no pairs to fit on")
-    p, q = sizes["p"], sizes["q"]
-    if p + q > MAX_VIEW:
-        raise ValueError(f"views of {p} and {q} entries exceed {MAX_VIEW} together")
-    mean_rows = view_means(pairs).collect()
-    means = np.zeros(p + q)
-    for row in mean_rows:
-        means[row["pos"]] = row["mean"]
-    n = mean_rows[0]["n"]
-    cov = np.zeros((p + q, p + q))
-    for row in view_moments(pairs, means).collect():
-        cov[row["i"], row["j"]] = cov[row["j"], row["i"]] = row["total"] / max(n - 1, 1)
+    pairs = pairs.select("text_vector", "image_vector").persist()
+    try:
+        one = pairs.select(F.size("text_vector").alias("p"), F.size("image_vector").alias("q")).first()
+        if one is None:
+            raise ValueError("no pairs to fit on")
+        p, q = one["p"], one["q"]
+        if p + q > MAX_VIEW:
+            raise ValueError(f"views of {p} and {q} entries exceed {MAX_VIEW} together")
+        mean_rows = view_means(pairs).collect()
+        means = np.zeros(p + q)
+        for row in mean_rows:
+            means[row["pos"]] = row["mean"]
+        n = mean_rows[0]["n"]
+        cov = np.zeros((p + q, p + q))
+        for row in view_moments(pairs, means).collect():
+            cov[row["i"], row["j"]] = cov[row["j"], row["i"]] = row["total"] / max(n - 1, 1)
+    finally:
+        pairs.unpersist()
     wt, wi, rho = solve_correlation(cov[:p, :p], cov[p:, p:], cov[:p, p:], reg)
     r = min(p, q) if components is None else min(components, p, q)
     return Correlation(means[:p], means[p:], wt[:, :r], wi[:, :r], rho[:r])

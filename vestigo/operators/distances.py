@@ -57,7 +57,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", i
 
     found = blocks.best_k(left, right, k, scorer, query_id="query_id", id=id, query_size=size, corpus_size=size,
                           ship_bytes=ship_bytes, block_bytes=block_bytes)
-    ranked = found.select("query_id", id, (-F.col("score")).alias("distance"))
+    ranked = found.select("query_id", id, (F.lit(0.0) - F.col("score")).alias("distance"))
     return top_k(ranked, k, [("distance", "ascending"), (id, "ascending")], per=["query_id"])
 
 

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.functions.text import BLANK, tokens
+from vestigo.functions.text import BLANK
 from vestigo.schemas import require
 
 
@@ -24,7 +24,9 @@ def token_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", pattern:
                stop_words: Iterable[str] = ()) -> DataFrame:
     """One row per token occurrence: (id, term)."""
     require(docs, id, text)
-    return docs.select(id, F.explode(tokens(text, pattern, stop_words)).alias("term"))
+    rows = docs.select(id, F.explode(F.split(F.lower(text), pattern)).alias("term")).filter("term <> ''")
+    stop = sorted(set(stop_words))
+    return rows.filter(~F.col("term").isin(stop)) if stop else rows
 
 
 def drop_stop_words(token_table: DataFrame, stop_words: DataFrame) -> DataFrame:

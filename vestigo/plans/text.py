@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vestigo.functions.text import WORD_BREAKS, base_name, flat_key, page_text, page_title
 from vestigo.operators import refresh, search, terms
 from vestigo.operators.ranking import keep
-from vestigo.plans.tables import table
+from vestigo.plans.tables import documents, table
 from vestigo.sources.readers import queries_from
 
 # English function words, a fixed list.
@@ -28,11 +28,11 @@ POSTINGS = TOKENS + """, postings AS (SELECT term, doc_id, count(*) AS tf FROM t
 
 
 def _docs(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return documents(spark, folder).select("doc_id", "text")
 
 
 def _one_query(spark, folder):
-    return queries_from(_docs(spark, folder), [QUERY_DOC], "doc_id")
+    return queries_from(table(spark, folder, "documents").select("doc_id", "text"), [QUERY_DOC], "doc_id")
 
 
 def tokens_tf(spark, folder):
@@ -105,7 +105,7 @@ def index_refresh(spark, folder):
 
 def _earlier(spark, folder):
     """An earlier state of the collection: toxic documents not there yet, German ones longer, some that vanished."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     new = table(spark, folder, "labels").filter("toxic = 1")
     text = F.when(F.col("lang") == "de", F.concat_ws(" ", "text", "source")).otherwise(F.col("text"))
     vanished = table(spark, folder, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")

@@ -112,7 +112,19 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
     A category list is one small file; it is read as one row so that line numbers are certain.
     """
     whole = spark.read.text(path, wholetext=True)
-    lines = F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n")
+    lines = F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")
     return whole.select(F.posexplode(lines).alias("at", "name")).select(
         (F.col("at") + 1).alias("category"), F.trim("name").alias("name"))
 
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A freshly read frame cut into more tasks by key when it lies in fewer files than there are cores.
+
+    A few files with large row groups would otherwise keep most cores idle in per-row work. A frame of many files or
+    splits is returned as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < 4 * cores:
+        return df.repartition(cores, key)
+    return df
