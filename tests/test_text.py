@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from vestigo.functions.text import WORD_BREAKS, base_name, one_line, page_text, page_title, tokens
 from vestigo.operators import refresh, search, terms
 from vestigo.operators.ranking import ids, keep, merge_top, scored, sort_by_distance, top_k, in_top
+from vestigo.sources import tables
 
 
 def frame(spark, rows, schema="doc_id bigint, text string"):
     return spark.createDataFrame(rows, schema)
 
 
+def saved(docs):
+    return tables.save_index(docs, tables.fresh_path(docs.sparkSession, "index"), buckets=4)
+
+
 def tok(text):
     return [t for t in text.lower().split(" ") if t]
 
@@ -59,7 +64,7 @@ def test_term_tables(spark):
     postings = terms.term_frequencies(docs)
     assert sorted(map(tuple, postings.collect())) == [("a", 1, 2), ("b", 1, 1), ("b", 2, 1)]
     assert sorted(map(tuple, terms.document_frequencies(postings).collect())) == [("a", 1), ("b", 2)]
-    index = terms.build_index(docs)
+    index = saved(docs)
     assert {r["doc_id"]: r["length"] for r in index.docs.collect()} == {1: 3, 2: 1, 3: 0}
     idf = {r["term"]: r["idf"] for r in index.terms.collect()}
     assert idf["a"] == pytest.approx(math.log(3)) and idf["b"] == pytest.approx(math.log(1.5))
@@ -116,7 +121,7 @@ def test_string_ids_and_empty_collections(spark):
 
 def test_weighted_search(spark):
     docs = [(1, "a b a"), (2, "b c"), (3, "c c c"), (4, "b b a")]
-    index = terms.build_index(frame(spark, docs))
+    index = saved(frame(spark, docs))
     q = frame(spark, [(9, "a a c")], "query_id bigint, text string")
     n, df = len(docs), {"a": 2, "b": 3, "c": 2}
     idf = {t: math.log(n / f) for t, f in df.items()}
@@ -132,7 +137,7 @@ def test_weighted_search(spark):
 
 def test_weighted_search_drops_documents_without_norm(spark):
     # every document holds the only term, so idf and norms are 0 and scores undefined
-    index = terms.build_index(frame(spark, [(1, "a"), (2, "a a")]))
+    index = saved(frame(spark, [(1, "a"), (2, "a a")]))
     q = frame(spark, [(9, "a")], "query_id bigint, text string")
     assert search.search_weighted(index, search.query_terms(q)).count() == 0
 

@@ -23,20 +23,26 @@ BATCH_ROWS = 1 << 14
 Scorer = Callable[[pa.Table, pa.Table], Iterator[tuple[int, np.ndarray]]]
 
 
-def measure(df: DataFrame, size: Column, limit: int | None = None) -> tuple[int, int]:
-    """Rows and bytes of a frame; with ``limit``, reading stops after that many rows."""
-    df = df.select((size + F.lit(32)).alias("b"))
-    if limit is not None:
-        df = df.limit(limit)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+def measure(df: DataFrame, size: Column) -> tuple[int, int]:
+    """Rows and bytes of a frame, added up by the tasks."""
+    row = df.select((size + F.lit(32)).alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     return int(row["n"]), int(row["b"])
 
 
 def fits(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES) -> bool:
     """Whether the whole frame is proven to stay within the byte bound."""
-    most = max_bytes // 32
-    rows, total = measure(df, size, most + 1)
-    return rows <= most and total <= max_bytes
+    return measure(df, size)[1] <= max_bytes
+
+
+def fetch_small(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES) -> tuple[pa.Table | None, int]:
+    """A frame as one table when it is within the byte bound, else None; and its bytes."""
+    held = df.persist()
+    try:
+        total = measure(held, size)[1]
+        return (held.toArrow() if total <= max_bytes else None), total
+    finally:
+        held.unpersist()
 
 
 class BestK:
@@ -106,11 +112,13 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
             out = pa.table({query_id: names.take(held["q"].combine_chunks()), id: held["id"], "score": held["s"]})
             yield from out.to_batches()
 
-    if fits(queries, query_size, ship_bytes):
-        shipped = spark.sparkContext.broadcast(pack(queries.toArrow()))
+    small, query_bytes = fetch_small(queries, query_size, ship_bytes)
+    if small is not None:
+        shipped = spark.sparkContext.broadcast(pack(small))
         return corpus.mapInArrow(lambda batches: match(unpack(shipped.value), batches), schema)
 
-    if fits(corpus, corpus_size, ship_bytes):
+    corpus_bytes = measure(corpus, corpus_size)[1]
+    if corpus_bytes <= ship_bytes:
         whole = spark.sparkContext.broadcast(pack(corpus.toArrow()))
 
         def search_all(batches):
@@ -121,8 +129,8 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
 
         return queries.mapInArrow(search_all, schema)
 
-    q_parts = max(1, -(-measure(queries, query_size)[1] // ship_bytes))
-    c_parts = max(1, -(-measure(corpus, corpus_size)[1] // block_bytes))
+    q_parts = max(1, -(-query_bytes // ship_bytes))
+    c_parts = max(1, -(-corpus_bytes // block_bytes))
     left = (queries.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(q_parts)))
             .withColumn("_c", F.explode(F.sequence(_long(0), _long(c_parts - 1)))))
     right = (corpus.withColumn("_c", F.pmod(F.xxhash64(id), F.lit(c_parts)))

@@ -111,12 +111,13 @@ def assign_words(local: DataFrame, codebook: DataFrame, id: str = "id", digits:
     require(local, id, "pos", vectors=("vector",))
     require(codebook, "word", vectors=("vector",))
     size = F.size("vector") * 8
-    if not blocks.fits(codebook, size, ship_bytes):
+    book, _ = blocks.fetch_small(codebook.select("word", "vector").orderBy("word"), size, ship_bytes)
+    if book is None:
         keyed = local.select(F.struct(id, "pos").alias("query_id"), "vector")
         found = nearest(codebook, keyed, 1, "l2", id="word", digits=digits, ship_bytes=ship_bytes)
         return found.select(f"query_id.{id}", "query_id.pos", "word", "distance")
     spark = local.sparkSession
-    words = spark.sparkContext.broadcast(blocks.pack(codebook.select("word", "vector").orderBy("word").toArrow()))
+    words = spark.sparkContext.broadcast(blocks.pack(book))
     schema = (f"{id} {local.schema[id].dataType.simpleString()}, pos {local.schema['pos'].dataType.simpleString()}, "
               f"word {codebook.schema['word'].dataType.simpleString()}, distance double")
 

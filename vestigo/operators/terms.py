@@ -63,25 +63,19 @@ def collection_size(docs: DataFrame, id: str = "doc_id") -> DataFrame:
     return docs.agg(F.count(id).alias("n_docs"))
 
 
-def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", pattern: str = BLANK,
-                stop_words: Iterable[str] = ()) -> Index:
-    """All index tables of a collection, lazily.
+def term_weights(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, df, idf) with idf = ln(N / df), N counting all documents."""
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return document_frequencies(postings).withColumn("idf", F.log(n.scalar() / F.col("df")))
 
-    ``idf`` is ln(N / df) and ``norm`` the root of the summed squared idf over all tokens of a document.
-    Documents without tokens keep a row of length 0.
-    """
-    postings = term_frequencies(docs, id, text, pattern, stop_words)
-    return index_postings(postings, docs, id)
 
+def document_norms(postings: DataFrame, weights: DataFrame, docs: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(id, length, norm): tokens of each document and the root of their summed squared idf; 0 without tokens.
 
-def index_postings(postings: DataFrame, docs: DataFrame, id: str = "doc_id", terms: DataFrame | None = None) -> Index:
-    """Index tables for given postings of the documents listed in ``docs``; a known term table is used as it is."""
-    if terms is None:
-        n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-        terms = document_frequencies(postings).withColumn("idf", F.log(n.scalar() / F.col("df")))
+    Give saved tables: Spark then shuffles both by term and splits the tasks of very common terms.
+    """
     square = F.col("idf") * F.col("idf")
-    lengths = (postings.join(terms.select("term", "idf"), "term")
+    lengths = (postings.join(weights.select("term", "idf"), "term")
                .groupBy(id).agg(F.sum("tf").alias("length"), F.sqrt(F.sum(F.col("tf") * square)).alias("norm")))
-    table = (docs.select(id).join(lengths, id, "left")
-             .select(id, F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("norm", F.lit(0.0)).alias("norm")))
-    return Index(postings, terms, table)
+    return (docs.select(id).join(lengths, id, "left")
+            .select(id, F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("norm", F.lit(0.0)).alias("norm")))

@@ -8,6 +8,7 @@ from vestigo.functions.text import WORD_BREAKS, base_name, flat_key, page_text,
 from vestigo.operators import refresh, search, terms
 from vestigo.operators.ranking import keep
 from vestigo.plans.tables import documents, table
+from vestigo.sources import tables
 from vestigo.sources.readers import queries_from
 
 # English function words, a fixed list.
@@ -20,6 +21,7 @@ STOP_WORDS = (
 QUERY_DOC = 1
 K = 10
 SEGMENT = 256
+BUCKETS = 16
 
 TOKENS = """tok AS (
   SELECT doc_id, term FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents) WHERE term <> ''
@@ -53,13 +55,19 @@ def collection_size(spark, folder):
     return terms.collection_size(_docs(spark, folder))
 
 
+def _index(spark, folder):
+    return tables.save_index(_docs(spark, folder), tables.fresh_path(spark, "index"), buckets=BUCKETS)
+
+
 def index_docs(spark, folder):
-    docs = terms.build_index(_docs(spark, folder)).docs
+    docs = _index(spark, folder).docs
     return docs.select("doc_id", "length", F.round("norm", 6).alias("norm"))
 
 
 def index_terms(spark, folder):
-    return terms.build_index(_docs(spark, folder)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = _docs(spark, folder)
+    weights = terms.term_weights(terms.term_frequencies(docs), docs)
+    return weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def search_count(spark, folder):
@@ -82,9 +90,18 @@ def search_turns(spark, folder):
     return search.search_batch(_docs(spark, folder), turns, K)
 
 
+def search_index(spark, folder):
+    index = _index(spark, folder)
+    query = search.query_terms(_one_query(spark, folder))
+    return search.search_postings(tables.only_buckets(index.postings, query, BUCKETS), query, K)
+
+
 def search_tfidf(spark, folder):
-    index = terms.build_index(_docs(spark, folder))
-    return search.search_weighted(index, search.query_terms(_one_query(spark, folder)), K, digits=6)
+    index = _index(spark, folder)
+    query = search.query_terms(_one_query(spark, folder))
+    needed = index._replace(postings=tables.only_buckets(index.postings, query, BUCKETS),
+                            terms=tables.only_buckets(index.terms, query, BUCKETS))
+    return search.search_weighted(needed, query, K, digits=6)
 
 
 def search_stopwords(spark, folder):
@@ -112,6 +129,13 @@ def _earlier(spark, folder):
     return docs.join(new, "doc_id", "left_anti").select("doc_id", text.alias("text")).unionByName(vanished)
 
 
+def refresh_saved(spark, folder):
+    old, new = (tables.fresh_path(spark, "index") for _ in range(2))
+    tables.save_index(_earlier(spark, folder), old, buckets=BUCKETS)
+    index = tables.refresh_index(old, _docs(spark, folder), new, buckets=BUCKETS)
+    return index.docs.select("doc_id", "length", F.round("norm", 6).alias("norm"))
+
+
 def refresh_changes(spark, folder):
     stored = refresh.content_hashes(_earlier(spark, folder))
     docs = _docs(spark, folder)
@@ -154,10 +178,12 @@ QUERIES = {
     "search_postings": search_postings,
     "search_batch": search_batch,
     "search_turns": search_turns,
+    "search_index": search_index,
     "search_tfidf": search_tfidf,
     "search_stopwords": search_stopwords,
     "stop_word_table": stop_word_table,
     "index_refresh": index_refresh,
+    "refresh_saved": refresh_saved,
     "refresh_changes": refresh_changes,
     "filter_predicate": filter_predicate,
     "query_source": query_source,
@@ -192,6 +218,10 @@ terms AS (SELECT term, count(*) AS df, ln(any_value(n) / CAST(count(*) AS DOUBLE
 norms AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS length, sqrt(sum(tf * idf * idf)) AS norm
   FROM postings JOIN terms USING (term) GROUP BY doc_id)"""
 
+_INDEX_DOCS = f"""WITH {POSTINGS}{_IDF}
+SELECT doc_id, coalesce(length, 0) AS length, round(coalesce(norm, 0), 6) AS norm
+FROM documents LEFT JOIN norms USING (doc_id)"""
+
 _WORDS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 SQL = {
@@ -200,12 +230,11 @@ SQL = {
     "posting_lists": f"""WITH {POSTINGS} SELECT term, doc_id // {SEGMENT} AS segment,
 string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id DESC) AS entries FROM postings GROUP BY ALL""",
     "collection_size": "SELECT count(doc_id) AS n_docs FROM documents",
-    "index_docs": f"""WITH {POSTINGS}{_IDF}
-SELECT doc_id, coalesce(length, 0) AS length, round(coalesce(norm, 0), 6) AS norm
-FROM documents LEFT JOIN norms USING (doc_id)""",
+    "index_docs": _INDEX_DOCS,
     "index_terms": f"WITH {POSTINGS}{_IDF} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "search_count": _COUNT_SEARCH,
     "search_postings": _COUNT_SEARCH,
+    "search_index": _COUNT_SEARCH,
     "search_batch": _batch_search("SELECT item_id AS query_id, text FROM benchmark"),
     "search_turns": _batch_search("SELECT conv_id || '-' || turn AS query_id, text FROM conversations"),
     "search_tfidf": f"""WITH {POSTINGS}{_IDF},
@@ -224,6 +253,7 @@ ranked AS (SELECT query_id, doc_id, score, CAST({_ranked('score DESC, doc_id')}
 SELECT * FROM ranked WHERE rank <= {K}""",
     "stop_word_table": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM postings WHERE term NOT IN ({_WORDS})",
     "index_refresh": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM postings",
+    "refresh_saved": _INDEX_DOCS,
     "refresh_changes": """SELECT doc_id, 'index' AS action FROM documents
 WHERE lang = 'de' OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
 UNION ALL

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vestigo.functions.text import BLANK
 from vestigo.operators.refresh import changed_docs, content_hashes, gone_docs
-from vestigo.operators.terms import Index, index_postings, term_frequencies
+from vestigo.operators.terms import Index, document_norms, term_frequencies, term_weights
 
 BUCKETS = 256
 
@@ -38,13 +40,28 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def working_folder(spark: SparkSession) -> str:
-    """Shared folder named by the session for intermediate tables."""
+    """Shared folder the session names for intermediate tables; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the working folder."""
+    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table written once to the working folder: no later use computes it again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def term_bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
@@ -70,10 +87,10 @@ def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> No
 
 def _finish_index(docs: DataFrame, path: str, id: str, text: str, buckets: int) -> Index:
     spark = docs.sparkSession
-    index = index_postings(spark.read.parquet(f"{path}/postings"), docs, id)
-    write_postings(index.terms, f"{path}/terms", buckets)
-    terms = spark.read.parquet(f"{path}/terms")
-    index_postings(index.postings, docs, id, terms).docs.write.mode("overwrite").parquet(f"{path}/docs")
+    postings = spark.read.parquet(f"{path}/postings")
+    write_postings(term_weights(postings, docs), f"{path}/terms", buckets)
+    norms = document_norms(postings, spark.read.parquet(f"{path}/terms"), docs, id)
+    norms.write.mode("overwrite").parquet(f"{path}/docs")
     content_hashes(docs, id, text).write.mode("overwrite").parquet(f"{path}/hashes")
     return load_index(spark, path)
 
