@@ -58,7 +58,7 @@ def test_nearest_every_way(spark, items, metric):
     queries = items[:12]
     want = brute(items, queries, 7, metric)
     q = vectors(spark, queries, "query_id bigint, vector array<double>")
-    for ship in ({}, {"ship_bytes": 2000, "block_bytes": 1500}, {"ship_bytes": 500, "block_bytes": 1500}):
+    for ship in ({}, {"hold_rows": 14, "block_bytes": 1500, "ship_bytes": 5000}, {"ship_bytes": 2000, "block_bytes": 1500}, {"ship_bytes": 500, "block_bytes": 1500}):
         got = nearest(vectors(spark, items).repartition(5), q, 7, metric, digits=6, **ship)
         assert sorted(map(tuple, got.collect())) == want
 
@@ -191,6 +191,16 @@ def test_fusion_properties(spark, items):
         fusion.fused_query(table, query, ["a"], [0.5, 0.5])
 
 
+def test_one_pipeline_serves_collection_and_query(spark, items):
+    double = features.pipeline(lambda df: df.withColumn("vector", F.transform("vector", lambda x: x * 2)),
+                               lambda df: df.withColumn("vector", F.reverse("vector")))
+    steps = {"plain": features.pipeline(), "double": double}
+    table = fusion.projected_kinds(vectors(spark, items), steps)
+    query = fusion.projected_kinds(vectors(spark, [items[3]], "query_id bigint, vector array<double>"), steps)
+    best = fusion.fused_query(table, query, list(steps), [0.5, 0.5], 1)
+    assert best.first()["id"] == 3 and best.first()["score"] == pytest.approx(1)
+
+
 def test_fuse_counts_absent_as_zero(spark):
     a = spark.createDataFrame([(1, 10, 1.0), (1, 11, 0.5)], "query_id int, id int, score double")
     b = spark.createDataFrame([(1, 11, 1.0), (1, 12, float("nan"))], "query_id int, id int, score double")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SHIP_BYTES = 64 << 20
 BLOCK_BYTES = 256 << 20
 BATCH_ROWS = 1 << 14
+# Candidates one task may hold and hand on: queries times k.
+HOLD_ROWS = 1 << 22
 
 # (queries, collection rows) -> iterator of (first row, score matrix [query, row]); larger is better, NaN = no match
 Scorer = Callable[[pa.Table, pa.Table], Iterator[tuple[int, np.ndarray]]]
@@ -35,12 +37,13 @@ def fits(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES) -> bool:
     return measure(df, size)[1] <= max_bytes
 
 
-def fetch_small(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES) -> tuple[pa.Table | None, int]:
-    """A frame as one table when it is within the byte bound, else None; and its bytes."""
+def fetch_small(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES,
+                max_rows: int = HOLD_ROWS) -> tuple[pa.Table | None, int, int]:
+    """A frame as one table when it is within both bounds, else None; and its rows and bytes."""
     held = df.persist()
     try:
-        total = measure(held, size)[1]
-        return (held.toArrow() if total <= max_bytes else None), total
+        rows, total = measure(held, size)
+        return (held.toArrow() if rows <= max_rows and total <= max_bytes else None), rows, total
     finally:
         held.unpersist()
 
@@ -89,7 +92,7 @@ class BestK:
 
 def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, query_id: str, id: str,
            query_size: Column, corpus_size: Column, ship_bytes: int = SHIP_BYTES,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, hold_rows: int = HOLD_ROWS) -> DataFrame:
     """Candidates ``(query_id, id, score)`` that contain the exact best k rows of the collection for each query.
 
     ``query_size`` and ``corpus_size`` give the bytes of a row. Per query there may be up to k candidates from each
@@ -112,7 +115,8 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
             out = pa.table({query_id: names.take(held["q"].combine_chunks()), id: held["id"], "score": held["s"]})
             yield from out.to_batches()
 
-    small, query_bytes = fetch_small(queries, query_size, ship_bytes)
+    most = hold_rows // max(k, 1)
+    small, query_rows, query_bytes = fetch_small(queries, query_size, ship_bytes, most)
     if small is not None:
         shipped = spark.sparkContext.broadcast(pack(small))
         return corpus.mapInArrow(lambda batches: match(unpack(shipped.value), batches), schema)
@@ -129,7 +133,7 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
 
         return queries.mapInArrow(search_all, schema)
 
-    q_parts = max(1, -(-query_bytes // ship_bytes))
+    q_parts = max(1, -(-query_bytes // ship_bytes), -(-query_rows // max(most, 1)))
     c_parts = max(1, -(-corpus_bytes // block_bytes))
     left = (queries.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(q_parts)))
             .withColumn("_c", F.explode(F.sequence(_long(0), _long(c_parts - 1)))))

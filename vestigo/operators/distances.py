@@ -39,7 +39,7 @@ def feature_distance(corpus: DataFrame, query: DataFrame, metric: str = "l2", id
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id: str = "id",
             vector: str = "vector", digits: int | None = None, ship_bytes: int = blocks.SHIP_BYTES,
-            block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+            block_bytes: int = blocks.BLOCK_BYTES, hold_rows: int = blocks.HOLD_ROWS) -> DataFrame:
     """The k items nearest to each query vector: (query_id, id, distance, rank), ties by ascending id.
 
     Works for any number of queries (query_id, vector). Items whose distance is null or NaN do not take part.
@@ -56,7 +56,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", i
         return distance_scores(q.column(vector), c.column(vector), metric, k, digits)
 
     found = blocks.best_k(left, right, k, scorer, query_id="query_id", id=id, query_size=size, corpus_size=size,
-                          ship_bytes=ship_bytes, block_bytes=block_bytes)
+                          ship_bytes=ship_bytes, block_bytes=block_bytes, hold_rows=hold_rows)
     ranked = found.select("query_id", id, (F.lit(0.0) - F.col("score")).alias("distance"))
     return top_k(ranked, k, [("distance", "ascending"), (id, "ascending")], per=["query_id"])
 

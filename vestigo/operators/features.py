@@ -17,7 +17,14 @@ from vestigo.schemas import require
 
 Extractor = Column | Callable[[pd.DataFrame], pd.Series]
 
-MAX_LOCAL = 300
+
+def pipeline(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Several projections as one, for use on collection and queries alike."""
+    def run(df: DataFrame) -> DataFrame:
+        for step in steps:
+            df = df.transform(step)
+        return df
+    return run
 
 
 def build_feature_table(df: DataFrame, id: str, extractors: Mapping[str, Extractor]) -> DataFrame:
@@ -111,7 +118,7 @@ def assign_words(local: DataFrame, codebook: DataFrame, id: str = "id", digits:
     require(local, id, "pos", vectors=("vector",))
     require(codebook, "word", vectors=("vector",))
     size = F.size("vector") * 8
-    book, _ = blocks.fetch_small(codebook.select("word", "vector").orderBy("word"), size, ship_bytes)
+    book, _, _ = blocks.fetch_small(codebook.select("word", "vector").orderBy("word"), size, ship_bytes)
     if book is None:
         keyed = local.select(F.struct(id, "pos").alias("query_id"), "vector")
         found = nearest(codebook, keyed, 1, "l2", id="word", digits=digits, ship_bytes=ship_bytes)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -93,8 +93,6 @@ def cascade(items: DataFrame, query: DataFrame, stages: Sequence[Stage], id: str
     return rows
 
 
-def query_features(items: DataFrame, queries: DataFrame, steps: Mapping[str, object]) -> tuple[DataFrame, DataFrame]:
-    """Put collection and query items through the same projections, one function DataFrame -> DataFrame per kind."""
-    def run(df):
-        return union_all([step(df).withColumn("kind", F.lit(kind)) for kind, step in steps.items()])
-    return run(items), run(queries)
+def projected_kinds(items: DataFrame, steps: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The feature table of a frame by one projection per kind; apply the same steps to collection and query items."""
+    return union_all([items.transform(step).withColumn("kind", F.lit(kind)) for kind, step in steps.items()])

@@ -12,9 +12,6 @@ from vestigo.schemas import DESCRIPTIONS, GROUND_TRUTH, STOP_WORDS, XML_DOCUMENT
 
 TEXT, IMAGE, FEATURE, VIDEO = "TEXT", "IMAGE", "FEATURE", "VIDEO"
 
-# Reader options for the usual encoding of document collections.
-ENCODING = "ISO-8859-1"
-
 
 def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Read a collection by input kind."""
