@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SHIP_BYTES = 64 << 20
 BLOCK_BYTES = 256 << 20
 BATCH_ROWS = 1 << 14
+# Entries of one score matrix; two megabytes stay in a core's cache.
+CELLS = 1 << 18
 # Candidates one task may hold and hand on: queries times k.
 HOLD_ROWS = 1 << 22
 
@@ -65,7 +67,8 @@ class BestK:
         floor = self.floor
         if scores.shape[1] > self.k:
             cut = np.partition(np.where(np.isnan(scores), -np.inf, scores), -self.k, axis=1)[:, -self.k]
-            floor = np.maximum(floor, cut)
+            # k rows of this block reach the cut, so no later row below it can be among the best
+            self.floor = floor = np.maximum(floor, cut)
         q, d = np.nonzero(scores >= floor[:, None])
         self.add(q, scores[q, d], ids.take(pa.array(d)))
 
@@ -85,7 +88,7 @@ class BestK:
             place = np.arange(len(q)) - start
             self.held = rows.filter(pa.array(place < self.k))
             full = place == self.k - 1
-            self.floor[q[full]] = rows["s"].to_numpy()[full]
+            self.floor[q[full]] = np.maximum(self.floor[q[full]], rows["s"].to_numpy()[full])
             self.waiting, self.waiting_rows = [], 0
         return self.held
 

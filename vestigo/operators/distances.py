@@ -74,11 +74,14 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def distance_scores(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, k: int, digits: int | None,
-                    cells: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+                    cells: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Matrices of negated distances, block by block of items."""
     a, b = matrix(queries), matrix(items)
     if len(a) and len(b) and a.shape[1] != b.shape[1]:
         raise ValueError(f"vectors of unequal length: {a.shape[1]} and {b.shape[1]}")
+    if cells is None:
+        # matrix products gain from large blocks, sums over one dimension after the other from small ones
+        cells = blocks.CELLS if metric in ("l1", "chi2") else 16 * blocks.CELLS
     step = max(1, cells // max(len(a), 1))
     for first in range(0, len(b), step):
         with np.errstate(invalid="ignore", divide="ignore"):

@@ -90,7 +90,7 @@ def search_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: st
     return _top(found.select("query_id", id, F.col("score").cast("bigint").alias("score")), k, id)
 
 
-def count_scores(queries: pa.Table, docs: pa.Table, cells: int = 1 << 22):
+def count_scores(queries: pa.Table, docs: pa.Table, cells: int = blocks.CELLS):
     """Score matrices of token lists: summed products of term counts, NaN where no term is shared."""
     q_lists = queries.column("tokens").combine_chunks()
     vocab = q_lists.flatten().unique()
