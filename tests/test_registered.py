@@ -33,3 +33,12 @@ def test_sql_names_are_queries():
 def test_rows_only_queries_are_the_trained_ones():
     assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {
         "kmeans_hist", "bovw_kmeans", "crossmodal_cca", "crossmodal_cca_images", "topics"}
+
+
+@pytest.mark.parametrize("name", [
+    "search_count", "search_postings", "nearest_l2", "sort_limit", "filter_top", "codebook_assign", "fusion", "fusion_all",
+    "fusion_batch", "fusion_lists", "union_merge", "cascade", "pair_views", "crossmodal_fixed"])
+def test_plans_neither_sort_everything_nor_pair_rows(spark, name):
+    plan = entry_points.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

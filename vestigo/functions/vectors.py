@@ -22,8 +22,8 @@ def distance(a: Column | str, b: Column | str, metric: str = "l2") -> Column:
     Null when a side is null or the metric is undefined (cosine or tanimoto of zero vectors); unequal lengths raise.
     ``chi2`` and ``tanimoto`` are meant for histograms without negative entries.
     """
-    a = (F.col(a) if isinstance(a, str) else a).cast("array<double>")
-    b = (F.col(b) if isinstance(b, str) else b).cast("array<double>")
+    raw_a, raw_b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    a, b = raw_a.cast("array<double>"), raw_b.cast("array<double>")
     if metric == "l2":
         value = F.sqrt(_total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
     elif metric == "l1":
@@ -41,9 +41,9 @@ def distance(a: Column | str, b: Column | str, metric: str = "l2") -> Column:
     else:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
     unequal = F.raise_error(F.concat(
-        F.lit("vectors of unequal length: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
-    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-            .when(F.size(a) != F.size(b), unequal.cast("double"))
+        F.lit("vectors of unequal length: "), F.size(raw_a).cast("string"), F.lit(" and "), F.size(raw_b).cast("string")))
+    return (F.when(raw_a.isNull() | raw_b.isNull(), F.lit(None).cast("double"))
+            .when(F.size(raw_a) != F.size(raw_b), unequal.cast("double"))
             .otherwise(value))
 
 

@@ -47,12 +47,11 @@ def scored(df: DataFrame, score: str = "score") -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int, order: Order, per: Sequence[str] = (), rank: str | None = "rank",
-          salt_on: str | None = None, levels: int | None = None) -> DataFrame:
+          levels: int | None = None) -> DataFrame:
     """First k rows by ``order``, over everything or per group; the last order column must break all ties.
 
     Every task forwards at most k rows of a group, so the merge sees k rows per task. When that could still be
-    many rows for one merging task, ``salt_on`` (by default the tie-breaking column) first splits each group into
-    salts that keep k rows each; both ways give the same rows.
+    many rows for one merging task, groups of tasks are merged first; both ways give the same rows.
     """
     if k < 0:
         raise ValueError("k must not be negative")
@@ -61,18 +60,19 @@ def top_k(df: DataFrame, k: int, order: Order, per: Sequence[str] = (), rank: st
         tasks = 100 * df.sparkSession.sparkContext.defaultParallelism
         levels = 2 if k * tasks > MERGE_ROWS else 1
     if levels == 2:
-        salt = F.pmod(F.xxhash64(salt_on or order[-1][0]), F.lit(SALTS))
+        salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
         within = Window.partitionBy(*per, "_salt").orderBy(*keys)
         df = (df.withColumn("_salt", salt).withColumn("_n", F.row_number().over(within))
               .filter(F.col("_n") <= k).drop("_n", "_salt"))
-    if not per:
-        best = df.orderBy(*keys).limit(k)
-        if rank is None:
-            return best
-        return best.withColumn(rank, F.row_number().over(Window.orderBy(*keys)))
-    window = Window.partitionBy(*per).orderBy(*keys)
-    best = df.withColumn(rank or "_rank", F.row_number().over(window)).filter(F.col(rank or "_rank") <= k)
-    return best if rank else best.drop("_rank")
+    place = rank or "_rank"
+    if per:
+        window = Window.partitionBy(*per).orderBy(*keys)
+    else:
+        # ranking the k rows also keeps later projections from slipping under the limit, which would turn the heaps
+        # into a sort of the whole frame
+        df, window = df.orderBy(*keys).limit(k), Window.orderBy(*keys)
+    best = df.withColumn(place, F.row_number().over(window)).filter(F.col(place) <= k)
+    return best if rank else best.drop(place)
 
 
 def merge_top(lists: Sequence[DataFrame], k: int, order: Order, per: Sequence[str] = (),
