@@ -194,5 +194,17 @@ def test_a_trained_model_is_reused(spark, tmp_path):
     assert len(runs) == 1 and len(model.clusterCenters()) == 3
 
 
-def test_working_folder(spark):
-    assert tables.working_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+class _Session:
+    """The two things a working folder depends on."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})()
+        self.conf = {"spark.checkpoint.dir": folder}
+
+
+def test_working_folder():
+    assert tables.working_folder(_Session("yarn", "s3a://b/work/")) == "s3a://b/work"
+    own = tables.working_folder(_Session("local[2]"))
+    assert os.path.isdir(own) and own == tables.working_folder(_Session("local[2]"))
+    with pytest.raises(ValueError):
+        tables.working_folder(_Session("yarn"))

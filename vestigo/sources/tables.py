@@ -18,6 +18,9 @@ from vestigo.operators.terms import Index, document_norms, term_frequencies, ter
 
 BUCKETS = 256
 
+# Working folders of local sessions that name none.
+_own_folders: dict[str, str] = {}
+
 
 def save_table(df: DataFrame, path: str, existing: str = "replace") -> None:
     """Write a table; an existing one is replaced or kept."""
@@ -45,8 +48,10 @@ def working_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="run-")
+        folder = _own_folders[app]
     return folder.rstrip("/")
 
 
