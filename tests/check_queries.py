@@ -55,7 +55,7 @@ def difference(spark, con, folder: str, name: str):
     return (f"types {odd}" if odd else None), len(got), seconds
 
 
-SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def main(folder: str, *names: str) -> int:

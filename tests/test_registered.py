@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from vestigo import plans
 from tests.check_queries import database, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return database(FOLDER)
 
 
-@pytest.mark.parametrize("name", entry_points.queries())
+@pytest.mark.parametrize("name", plans.QUERIES)
 def test_query_agrees(spark, con, name):
     problem, rows, _ = difference(spark, con, FOLDER, name)
     assert problem is None
@@ -31,7 +32,7 @@ def test_sql_names_are_queries():
 
 
 def test_rows_only_queries_are_the_trained_ones():
-    assert set(entry_points.queries()) - set(entry_points.oracle_sql()) == {
+    assert set(plans.QUERIES) - set(plans.SQL) == {
         "kmeans_hist", "bovw_kmeans", "crossmodal_cca", "crossmodal_cca_images", "topics"}
 
 
