@@ -1,12 +1,14 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with FTRL-Proximal updates.
 
-A text's features are the hashed single words and word pairs it holds, each once, scaled to unit length, and a
-constant. Training goes once over a bounded sample of labelled rows, document by document (McMahan et al., 2013);
+A text's features are its hashed n-grams: single words and pairs of words, and runs of one to three word shapes (case,
+punctuation, and whether the word repeats the one before). A feature's value is its share among the n-grams of its kind;
+there is a constant too. Training goes over a bounded sample of labelled rows, document by document (McMahan et al., 2013);
 scoring is a sparse dot product with the weights, in every task.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +23,27 @@ from vestigo.sources.tables import written
 BITS = 20
 #: Largest number of labelled rows trained on, the first by hash of their id.
 TRAIN_ROWS = 20_000
-ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.1, 2
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 0.02, 0.1, 3
 THRESHOLD = 0.3
 FOLDS = 5
 KEPT_WORDS = 500_000
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shape(word: str) -> int:
+    """A word's case and the punctuation in it, as a number below 4096."""
+    case = 0 if word.upper() == word.lower() else 1 if word.islower() else 3 if word.isupper() else 2 if word.istitle() else 4
+    marks = "".join(c for c in word if not c.isalnum())
+    return case << 9 | (zlib.crc32(marks.encode()) % 511 + 1 if marks else 0)
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    """Hash of a word, with its shape in the low 12 bits."""
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) > KEPT_WORDS:
             self.clear()
-        found = xxhash.xxh64_intdigest(word, 7)
+        found = (xxhash.xxh64_intdigest(word, 7) & ~0xFFF | shape(word)).to_bytes(8, "little")
         if len(word) <= 60:
             self[word] = found
         return found
@@ -41,15 +52,28 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def features(text: str) -> np.ndarray:
-    """Sorted feature numbers of a text's words and word pairs, case kept; the constant is the number 0."""
+def ngrams(text: str) -> list[np.ndarray]:
+    """Feature numbers of a text's word n-grams and of its shape n-grams, repeats included."""
     words = text.split()
-    one = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    one = np.frombuffer(b"".join(map(_hashes.__getitem__, words)), np.uint64)
+    form = one & np.uint64(0xFFF)
+    form[1:] |= (one[1:] == one[:-1]).astype(np.uint64) << np.uint64(12)
     with np.errstate(over="ignore"):
-        two = (one[:-1] * _PAIR ^ one[1:]) * _PAIR
-    found = np.r_[one, two] >> np.uint64(64 - BITS)
-    seen = np.unique(found.astype(np.uint32))
-    return seen if len(seen) and seen[0] == 0 else np.r_[np.zeros(1, np.uint32), seen]
+        two = (one[:-1] * _MIX ^ one[1:]) * _MIX
+        single = (form + np.uint64(1 << 40)) * _MIX
+        double = (single[:-1] ^ form[1:]) * _MIX
+        triple = (double[:-1] ^ form[2:]) * _MIX
+        return [(np.concatenate(b) * _MIX >> np.uint64(64 - BITS)).astype(np.int32) for b in ((one, two), (single, double, triple))]
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, values) of a text's features, each once: its share of its kind's n-grams; number 0 is the constant."""
+    at, x = [np.zeros(1, np.int32)], [np.ones(1)]
+    for block in ngrams(text):
+        seen, times = np.unique(block, return_counts=True)
+        at.append(seen)
+        x.append(times / max(1, len(block)))
+    return np.concatenate(at), np.concatenate(x)
 
 
 def held_out(id: Column, folds: int = FOLDS) -> Column:
@@ -68,8 +92,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", li
     return narrowed(docs).join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows of 12 bytes
 
 
+def chance(sums):
+    return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+
+
 class Ftrl:
-    """FTRL-Proximal over hashed binary features of unit length."""
+    """FTRL-Proximal over hashed features."""
 
     def __init__(self, size: int):
         self.z, self.n = np.zeros(size), np.zeros(size)
@@ -79,9 +107,9 @@ class Ftrl:
         shrunk = np.sign(z) * np.maximum(np.abs(z) - L1, 0)
         return -shrunk / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
 
-    def update(self, at: np.ndarray, y: int) -> None:
-        w, scale = self.weights(at), len(at) ** -0.5
-        gradient = (1 / (1 + np.exp(-np.clip(w.sum() * scale, -35, 35))) - y) * scale
+    def update(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
+        w = self.weights(at)
+        gradient = (chance(w @ x) - y) * x
         n = self.n[at]
         more = n + gradient * gradient
         self.z[at] += gradient - (np.sqrt(more) - np.sqrt(n)) / ALPHA * w
@@ -95,17 +123,18 @@ def train(rows: DataFrame, passes: int = PASSES) -> np.ndarray:
     """
     def extract(batch):
         found = [features(t.as_py()) for t in batch.column(1)]
-        ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
-        yield (batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32), pa.int32())),
-               batch.column(2))
+        ends = pa.array(np.cumsum([0] + [len(at) for at, _ in found]).astype(np.int32))
+        yield (batch.column(0), *[pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c) if c else [], t))
+                                  for c, t in zip(list(zip(*found)) or [(), ()], (pa.int32(), pa.float64()))], batch.column(2))
 
-    sparse = written(by_batches(rows.select("doc_id", "text", "y"), extract, "doc_id long, at array<int>, y int"), "features")
+    sparse = written(by_batches(rows.select("doc_id", "text", "y"), extract, "doc_id long, at array<int>, x array<double>, y int"),
+                     "features")
 
     def learn(batches: Iterator[pa.RecordBatch]):
         model = Ftrl(1 << BITS)
         for batch in batches:
-            for at, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                model.update(at.values.to_numpy(), y)
+            for at, x, y in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                model.update(at.values.to_numpy(), x.values.to_numpy(), y)
         w = model.weights(slice(None))
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(w[used])], ["at", "w"])
@@ -115,12 +144,17 @@ def train(rows: DataFrame, passes: int = PASSES) -> np.ndarray:
         again = again.withColumn("pass", F.lit(0)) if "pass" not in again.columns else again
         again = again.unionByName(sparse.withColumn("pass", F.lit(k)))
     order = [c for c in ("pass",) if c in again.columns] + [F.xxhash64("doc_id", F.lit("order")), "doc_id"]
-    table = again.coalesce(1).sortWithinPartitions(*order).select("at", "y").mapInArrow(learn, "at long, w double").toPandas()
+    table = again.coalesce(1).sortWithinPartitions(*order).select("at", "x", "y").mapInArrow(learn, "at long, w double").toPandas()
     weights = np.zeros(1 << BITS)
     weights[table["at"].to_numpy(dtype=np.int64)] = table["w"].to_numpy()
     return weights
 
 
+def _sums(weights: np.ndarray, texts) -> np.ndarray:
+    """Sparse dot products; a text's repeated n-grams are summed where they stand."""
+    return np.array([weights[0] + sum(weights[b].sum() / max(1, len(b)) for b in ngrams(t)) for t in texts], float)
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) of every row, 0 to 1; null texts are empty and score by the constant alone.
 
@@ -129,9 +163,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
     def work(batch):
-        w = shared.value
-        sums = [w[at].sum() * len(at) ** -0.5 for at in (features(t.as_py()) for t in batch.column(1))]
-        yield batch.column(0), 1 / (1 + np.exp(-np.clip(np.array(sums, float), -35, 35)))
+        yield batch.column(0), chance(_sums(shared.value, (t.as_py() for t in batch.column(1))))
 
     return by_batches(narrowed(docs), work, "doc_id long, score double")
 
@@ -143,9 +175,8 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            good = [w.sum() * len(w) ** -0.5 for w in (shared.value[features(t or "")] for t in texts)]
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(good, float), -35, 35))) >= threshold))
+            sums = _sums(shared.value, (t.as_py() or "" for t in batch.column(at)))
+            yield batch.filter(pa.array(chance(sums) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
