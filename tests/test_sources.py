@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from vestigo.operators import models, search
+from vestigo.operators import models, refresh, search
 from vestigo.sources import readers, tables
 
 XML = """<?xml version="1.0" encoding="UTF-8"?>
@@ -131,13 +131,13 @@ def test_saved_index_prunes_buckets_and_refresh_equals_rebuild(spark, tmp_path):
     index = tables.save_index(docs, str(tmp_path / "v1"), buckets=8)
     queries = spark.createDataFrame([(7, "the lily")], "query_id bigint, text string")
     q = search.query_terms(queries)
-    pruned = tables.only_buckets(index.postings, q, 8)
+    pruned = tables.only_terms(index, q).postings
     assert len(os.listdir(tmp_path / "v1" / "postings")) > 3
     assert "PartitionFilters: [bucket" in pruned._jdf.queryExecution().executedPlan().toString()
     want = sorted(map(tuple, search.search_texts(docs, queries).collect()))
     assert sorted(map(tuple, search.search_postings(pruned, q).collect())) == want
     whole = search.search_weighted(index, q)
-    saved = search.search_weighted(index._replace(postings=pruned, terms=tables.only_buckets(index.terms, q, 8)), q)
+    saved = search.search_weighted(tables.only_terms(index, q), q)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, saved.collect()))
 
     now = spark.createDataFrame(
@@ -208,3 +208,30 @@ def test_working_folder():
     assert os.path.isdir(own) and own == tables.working_folder(_Session("local[2]"))
     with pytest.raises(ValueError):
         tables.working_folder(_Session("yarn"))
+
+
+def test_saved_index_describes_itself(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a,b c"), (2, "c d"), (3, None)], "doc_id bigint, text string")
+    path = str(tmp_path / "index")
+    tables.save_index(docs, path, buckets=8, stop_words=["d"])
+    index = tables.load_index(spark, path)
+    assert index.settings.buckets == 8 and index.settings.stop_words == ("d",)
+    query = search.query_terms(spark.createDataFrame([(7, "c a,b")], "query_id bigint, text string"))
+    best = search.search_postings(tables.only_terms(index, query).postings, query).collect()
+    assert [(r["doc_id"], r["score"]) for r in best] == [(1, 2), (2, 1)]
+    with pytest.raises(ValueError):
+        tables.load_index(spark, path, buckets=256)
+    with pytest.raises(ValueError):
+        tables.only_terms(index, query, buckets=256)
+    with pytest.raises(ValueError):
+        tables.refresh_index(path, docs, str(tmp_path / "other"), pattern="[^a-z0-9]+")
+    grown = docs.unionByName(spark.createDataFrame([(4, "e,f d")], docs.schema))
+    again = tables.refresh_index(path, grown, str(tmp_path / "new"))
+    assert {r["term"] for r in again.postings.collect()} == {"a,b", "c", "e,f"}
+    assert not again.postings.filter("term = 'd'").count()
+
+
+def test_null_text_is_neither_changed_nor_gone(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "doc_id bigint, text string")
+    stored = refresh.content_hashes(docs)
+    assert refresh.changed_docs(docs, stored).count() == refresh.gone_docs(docs, stored).count() == 0

@@ -202,3 +202,22 @@ def test_paths_and_markup(spark):
     page = frame(spark, [(1, html)])
     assert page.select(page_title("text")).first()[0] == "A & B"
     assert page.select(page_text("text")).first()[0].split() == ["One", "two"]
+
+
+def test_posting_segments_of_large_and_named_ids(spark):
+    rows = spark.createDataFrame([("t", (1 << 60) - 1, 1), ("t", 1 << 60, 1), ("t", -1, 1)], "term string, doc_id bigint, tf bigint")
+    found = {r["segment"]: [p["doc_id"] for p in r["postings"]] for r in terms.posting_segments(rows, 256).collect()}
+    assert found == {(1 << 52) - 1: [(1 << 60) - 1], 1 << 52: [1 << 60], -1: [-1]}
+    named = spark.createDataFrame([("t", "x", 1), ("t", "y", 2)], "term string, doc_id string, tf bigint")
+    assert sum(len(r["postings"]) for r in terms.posting_segments(named, 4).collect()) == 2
+
+
+@pytest.mark.parametrize("k", [10, 2000])
+def test_deep_rankings_are_cut_in_the_tasks(spark, k):
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('x ', repeat('y ', cast(id % 50 as int))) as text")
+    query = spark.createDataFrame([(1, "x y")], "query_id bigint, text string")
+    found = search.search_texts(docs, query, k)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan or "WindowGroupLimit" in plan
+    assert found.count() == k
+    assert found.first()["score"] == 50

@@ -234,12 +234,14 @@ def test_codebook_training_assigns_the_nearest_centre(spark, items):
         assert plain(v, centres[by_model[i]], "l2") == pytest.approx(near)
 
 
-@pytest.mark.parametrize("limit", [models.MAX_VOCABULARY, 8])
-def test_topics_sum_to_one(spark, limit):
+@pytest.mark.parametrize("limit, terms", [(models.MAX_VOCABULARY, "named"), (8, "hashed")])
+def test_topics_sum_to_one(spark, limit, terms):
     texts = [(i, " ".join(random.Random(i).choices(["ball", "goal", "team"] if i % 2 else ["star", "moon", "sky"], k=20))
               + f" w{i}") for i in range(30)]
     docs = spark.createDataFrame(texts + [(99, "")], "doc_id bigint, text string")
-    model = models.train_topics(docs, 3, max_iter=5, max_vocabulary=limit)
+    model = models.train_topics(docs, 3, max_iter=5, max_vocabulary=limit, terms=terms)
+    with pytest.raises(ValueError):
+        models.train_topics(docs, 3, max_vocabulary=8)
     shares = {r["id"]: r["vector"] for r in models.topic_transform(model, docs, "doc_id").withColumnRenamed("doc_id", "id").collect()}
     assert len(shares) == 31
     assert all(len(v) == 3 and sum(v) == pytest.approx(1) for v in shares.values())
@@ -283,3 +285,42 @@ def test_correlation_of_dependent_columns_stays_finite(spark):
     assert np.all(np.isfinite(model.text_weights)) and model.correlations[0] > 0.9
     with pytest.raises(ValueError):
         crossmodal.fit_correlation(pairs.limit(0))
+
+
+def test_codebook_edges(spark):
+    none = vectors(spark, [], "word int, vector array<double>")
+    local = vectors(spark, [(1, 0, [1.0, 2.0]), (2, 0, None), (3, 0, [5.0, 5.0])], "id bigint, pos int, vector array<double>")
+    assert features.assign_words(local, none).count() == 0
+    model = models.train_codebook(local, 2, seed=1)
+    assert {r["id"] for r in models.model_words(model, local).collect()} == {1, 3}
+    hist = vectors(spark, [(1, 0, 2), (1, 9, 5)], "id bigint, word int, n bigint")
+    with pytest.raises(Exception, match="a word outside 0 to 4"):
+        features.dense_histogram(hist, 5).collect()
+    items = spark.range(1, 3)
+    dense = {r["id"]: r["vector"] for r in features.dense_histogram(hist.filter("word < 5"), 3, items=items).collect()}
+    assert dense == {1: [2.0, 0.0, 0.0], 2: [0.0, 0.0, 0.0]}
+
+
+def test_l2_of_huge_entries(spark):
+    corpus = vectors(spark, [(1, [1e200, 0.0]), (2, [3e200, 4e200]), (3, [0.0, 1.0])], "id bigint, vector array<double>")
+    query = vectors(spark, [(7, [0.0, 0.0])], "query_id bigint, vector array<double>")
+    want = [(3, 1.0), (1, 1e200), (2, 5e200)]
+    near = nearest(corpus, query, 5).orderBy("rank").collect()
+    assert [(r["id"], pytest.approx(r["distance"])) for r in near] == want
+    far = feature_distance(corpus, query).orderBy("distance").collect()
+    assert [(r["id"], pytest.approx(r["distance"])) for r in far] == want
+
+
+def test_fusion_combiner_and_exact_batch(spark):
+    rng = random.Random(4)
+    rows = [(i, kind, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(40) for kind in ("a", "b") if i % 7 or kind == "a"]
+    table = vectors(spark, rows, "id bigint, kind string, vector array<double>")
+    asked = table.filter("id in (3, 7)").withColumnRenamed("id", "query_id")
+    got = sorted(map(tuple, fusion.fused_batch(table, asked, ["a", "b"], [0.3, 0.7], k=12, digits=6).collect()))
+    want = []
+    for q in (3, 7):
+        one = fusion.fused_query(table, asked.filter(f"query_id = {q}"), ["a", "b"], [0.3, 0.7], 12, digits=6) if q == 3 else None
+        want += map(tuple, one.collect()) if one is not None else []
+    assert [r for r in got if r[0] == 3] == sorted(want)
+    lists = [vectors(spark, [(1, 5, 0.2)], "query_id int, id int, score double"), vectors(spark, [(1, 5, 0.6)], "query_id int, id int, score double")]
+    assert fusion.fuse(lists, [1, 1], combine=F.max).first()["score"] == 0.6

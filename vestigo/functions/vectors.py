@@ -26,6 +26,10 @@ def distance(a: Column | str, b: Column | str, metric: str = "l2") -> Column:
     a, b = raw_a.cast("array<double>"), raw_b.cast("array<double>")
     if metric == "l2":
         value = F.sqrt(_total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+        apart = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+        most = F.array_max(apart)  # squares that overflow: the length of the difference, scaled by its largest entry
+        scaled = most * F.sqrt(_total(F.transform(apart, lambda x: (x / most) * (x / most))))
+        value = F.when(value == float("inf"), F.when(most == float("inf"), most).otherwise(scaled)).otherwise(value)
     elif metric == "l1":
         value = _total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
     elif metric == "cosine":

@@ -63,11 +63,12 @@ def view_moments(pairs: DataFrame, means: np.ndarray) -> DataFrame:
     return cells.groupBy("i", "j").agg(F.sum("v").alias("total"))
 
 
-def fit_correlation(pairs: DataFrame, reg: float = 1e-3, components: int | None = None) -> Correlation:
+def fit_correlation(pairs: DataFrame, reg: float = 1e-3, components: int | None = None,
+                    max_view: int = MAX_VIEW) -> Correlation:
     """Canonical correlation of paired views (text_vector, image_vector).
 
     Executors add up means and products; the driver solves the problem of the size of the two views together.
-    ``reg`` times the mean variance is added to each view's diagonal, since topic shares are linearly dependent.
+    Views of more than ``max_view`` entries together raise: the driver holds matrices of that size. ``reg`` times the mean variance is added to each view's diagonal, since topic shares are linearly dependent.
     """
     pairs = pairs.select("text_vector", "image_vector").persist()
     try:
@@ -75,8 +76,8 @@ def fit_correlation(pairs: DataFrame, reg: float = 1e-3, components: int | None
         if one is None:
             raise ValueError("no pairs to fit on")
         p, q = one["p"], one["q"]
-        if p + q > MAX_VIEW:
-            raise ValueError(f"views of {p} and {q} entries exceed {MAX_VIEW} together")
+        if p + q > max_view:
+            raise ValueError(f"views of {p} and {q} entries exceed {max_view} together")
         mean_rows = view_means(pairs).collect()
         means = np.zeros(p + q)
         for row in mean_rows:

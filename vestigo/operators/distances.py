@@ -131,4 +131,11 @@ def _near_l2(a: np.ndarray, b: np.ndarray, k: int, unit: float) -> np.ndarray:
     for at in range(0, len(q), 1 << 18):
         i, j = q[at:at + (1 << 18)], d[at:at + (1 << 18)]
         out[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(1))
+    # squares that overflow: the length of the difference, scaled by its largest entry
+    q, d = np.nonzero(~np.isfinite(rough) & np.isfinite(a).all(1)[:, None] & np.isfinite(b).all(1)[None, :])
+    for at in range(0, len(q), 1 << 18):
+        i, j = q[at:at + (1 << 18)], d[at:at + (1 << 18)]
+        apart = a[i] - b[j]
+        most = np.maximum(np.abs(apart).max(1, initial=0), np.finfo(float).tiny)
+        out[i, j] = most * np.sqrt(((apart / most[:, None]) ** 2).sum(1))
     return out

@@ -124,10 +124,13 @@ def assign_words(local: DataFrame, codebook: DataFrame, id: str = "id", digits:
         found = nearest(codebook, keyed, 1, "l2", id="word", digits=digits, ship_bytes=ship_bytes)
         return found.select(f"query_id.{id}", "query_id.pos", "word", "distance")
     spark = local.sparkSession
-    words = spark.sparkContext.broadcast(blocks.pack(book))
     schema = (f"{id} {local.schema[id].dataType.simpleString()}, pos {local.schema['pos'].dataType.simpleString()}, "
               f"word {codebook.schema['word'].dataType.simpleString()}, distance double")
 
+    if not book.num_rows:
+        return spark.createDataFrame([], schema)
+    words = spark.sparkContext.broadcast(blocks.pack(book))
+
     def assign(batches):
         book = blocks.unpack(words.value)
         centres, names = book.column("vector"), book.column("word").combine_chunks()
@@ -157,13 +160,23 @@ def word_histogram(words: DataFrame, id: str = "id") -> DataFrame:
     return words.groupBy(id, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_histogram(histogram: DataFrame, n_words: int, id: str = "id") -> DataFrame:
-    """Dense form (id, vector) with zeros for the words an item lacks; words are 0 .. n_words - 1."""
+def dense_histogram(histogram: DataFrame, n_words: int, id: str = "id", items: DataFrame | None = None) -> DataFrame:
+    """Dense form (id, vector) with zeros for the words an item lacks; a word outside 0 .. n_words - 1 raises.
+
+    With ``items`` every id listed there has a histogram, of zeros when it has no words.
+    """
+    wrong = F.raise_error(F.concat(F.lit(f"a word outside 0 to {n_words - 1}: "), F.col("word").cast("string")))
+    inside = F.when((F.col("word") >= 0) & (F.col("word") < n_words), F.col("word")).otherwise(wrong)
+    histogram = histogram.withColumn("word", inside.cast(histogram.schema["word"].dataType))
     counts = F.map_from_entries(F.collect_list(F.struct("word", "n")))
     bins = F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)),
                        lambda w: F.coalesce(F.try_element_at(F.col("counts"), w.cast(histogram.schema["word"].dataType)),
                                             F.lit(0)).cast("double"))
-    return histogram.groupBy(id).agg(counts.alias("counts")).select(id, bins.alias("vector"))
+    counted = histogram.groupBy(id).agg(counts.alias("counts"))
+    if items is not None:
+        none = F.create_map().cast(counted.schema["counts"].dataType)
+        counted = items.select(id).distinct().join(counted, id, "left").withColumn("counts", F.coalesce("counts", none))
+    return counted.select(id, bins.alias("vector"))
 
 
 def sparse_histogram(dense: DataFrame, id: str = "id", vector: str = "vector") -> DataFrame:

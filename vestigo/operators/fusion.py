@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestigo.functions.vectors import similarity
-from vestigo.operators.distances import feature_distance, nearest
+from vestigo.operators import blocks
+from vestigo.operators.distances import distance_scores, feature_distance, nearest
 from vestigo.operators.ranking import scored, top_k, union_all
 from vestigo.schemas import require
 
@@ -19,13 +22,17 @@ def pair_weights(ratio: float) -> list[float]:
     return [ratio, 1 - ratio]
 
 
-def fuse(lists: Sequence[DataFrame], weights: Sequence[float], id: str = "id") -> DataFrame:
-    """One ranking (query_id, id, score) from several: weighted sum of scores, an absent item counting 0."""
+def fuse(lists: Sequence[DataFrame], weights: Sequence[float], id: str = "id",
+         combine: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """One ranking (query_id, id, score) from several: by default the sum of weighted scores, an absent item counting 0.
+
+    ``combine`` is any aggregate of the weighted scores an item has, such as ``F.max``.
+    """
     if len(lists) != len(weights):
         raise ValueError(f"{len(lists)} rankings need as many weights, not {len(weights)}")
     weighted = [scored(df).select("query_id", id, (F.lit(float(w)) * F.col("score")).alias("score"))
                 for df, w in zip(lists, weights)]
-    return union_all(weighted).groupBy("query_id", id).agg(F.sum("score").alias("score"))
+    return union_all(weighted).groupBy("query_id", id).agg(combine(F.col("score")).alias("score"))
 
 
 def fused_query(features: DataFrame, query: DataFrame, kinds: Sequence[str], weights: Sequence[float], k: int = 10,
@@ -48,13 +55,21 @@ def fused_query(features: DataFrame, query: DataFrame, kinds: Sequence[str], wei
         if top_n is not None:
             one = top_k(one, top_n, [("distance", "ascending"), (id, "ascending")], rank=None)
         lists.append(one.select(name.alias("query_id"), id, similarity("distance").alias("score")))
-    return _best(fuse(lists, weights, id), k, id, digits)
+    return _best(fuse(lists, weights, id), k, id, digits, per=())
+
 
+def fused_batch(features: DataFrame, queries: DataFrame, kinds: Sequence[str], weights: Sequence[float],
+                top_n: int | None = None, k: int = 10, metric: str = "l2", id: str = "id", digits: int | None = None) -> DataFrame:
+    """``fused_query`` for any number of query items.
 
-def fused_batch(features: DataFrame, queries: DataFrame, kinds: Sequence[str], weights: Sequence[float], top_n: int,
-                k: int = 10, metric: str = "l2", id: str = "id", digits: int | None = None) -> DataFrame:
-    """``fused_query`` for any number of query items; each kind contributes its best ``top_n`` per query."""
+    Exact by default: tasks score items on all kinds at once and hand on the best k per query. With ``top_n`` each
+    kind contributes its best ``top_n`` per query only, which is cheaper and can change scores and order.
+    """
     require(queries, "query_id", "kind", vectors=("vector",))
+    if len(kinds) != len(weights):
+        raise ValueError(f"{len(kinds)} kinds need as many weights, not {len(weights)}")
+    if top_n is None:
+        return _fused_exactly(features, queries, kinds, weights, k, metric, id, digits)
     lists = []
     for kind in kinds:
         one = nearest(features.filter(F.col("kind") == kind), queries.filter(F.col("kind") == kind), top_n, metric, id,
@@ -63,10 +78,40 @@ def fused_batch(features: DataFrame, queries: DataFrame, kinds: Sequence[str], w
     return _best(fuse(lists, weights, id), k, id, digits)
 
 
-def _best(fused: DataFrame, k: int, id: str, digits: int | None) -> DataFrame:
+def _fused_exactly(features, queries, kinds, weights, k, metric, id, digits) -> DataFrame:
+    names = list(dict.fromkeys(kinds))
+
+    def wide(df, key):
+        return df.filter(F.col("kind").isin(names)).groupBy(key).agg(
+            *[F.first(F.when(F.col("kind") == n, F.col("vector").cast("array<double>")), ignorenulls=True).alias(f"v{i}")
+              for i, n in enumerate(names)])
+
+    def scorer(q: pa.Table, c: pa.Table):
+        step = max(1, blocks.CELLS // max(1, len(q)))
+        for first in range(0, len(c), step):
+            part = c.slice(first, step)
+            total = np.full((len(q), len(part)), np.nan)
+            for kind, weight in zip(kinds, weights):
+                a, b = (t.column(f"v{names.index(kind)}") for t in (q, part))
+                rows, columns = (np.flatnonzero(x.is_valid().to_numpy()) for x in (a, b))
+                if not len(rows) or not len(columns):
+                    continue
+                _, scores = next(distance_scores(a.drop_null(), b.drop_null(), metric, 1 << 62, digits, cells=1 << 62))
+                near = weight / (1 - scores)
+                at = np.ix_(rows, columns)
+                total[at] = np.where(np.isnan(near), total[at], np.nan_to_num(total[at]) + near)
+            yield first, total if digits is None else np.round(total, digits)
+
+    size = sum((F.coalesce(F.size(F.col(f"v{i}")), F.lit(0)) * 8 for i in range(len(names))), F.lit(0))
+    found = blocks.best_k(wide(queries, "query_id"), wide(features, id), k, scorer, query_id="query_id", id=id,
+                          query_size=size, corpus_size=size)
+    return _best(found.select("query_id", id, "score"), k, id, digits)
+
+
+def _best(fused: DataFrame, k: int, id: str, digits: int | None, per: Sequence[str] = ("query_id",)) -> DataFrame:
     if digits is not None:
         fused = fused.withColumn("score", F.round("score", digits))
-    return top_k(fused, k, [("score", "descending"), (id, "ascending")], per=["query_id"])
+    return top_k(fused, k, [("score", "descending"), (id, "ascending")], per=per)
 
 
 class Stage(NamedTuple):

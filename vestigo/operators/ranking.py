@@ -50,7 +50,8 @@ def top_k(df: DataFrame, k: int, order: Order, per: Sequence[str] = (), rank: st
           levels: int | None = None) -> DataFrame:
     """First k rows by ``order``, over everything or per group; the last order column must break all ties.
 
-    Every task forwards at most k rows of a group, so the merge sees k rows per task. When that could still be
+    Every task forwards at most k rows, so the merge sees k rows per task; with groups Spark does so up to
+    k = 1000 (spark.sql.optimizer.windowGroupLimitThreshold). When that could still be
     many rows for one merging task, groups of tasks are merged first; both ways give the same rows.
     """
     if k < 0:

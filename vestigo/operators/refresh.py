@@ -13,12 +13,17 @@ from vestigo.operators.terms import term_frequencies
 
 def content_hashes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, hash) of each document's content."""
-    return docs.select(id, F.sha2(text, 256).alias("hash"))
+    return docs.select(id, _hash(text).alias("hash"))
+
+
+def _hash(text: str):
+    """SHA-256 of a text; a null text has an empty hash, which no text has."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
 def changed_docs(docs: DataFrame, stored: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that are new or differ from the stored hashes."""
-    hashed = docs.withColumn("hash", F.sha2(text, 256))
+    hashed = docs.withColumn("hash", _hash(text))
     return hashed.join(stored.select(id, "hash"), [id, "hash"], "left_anti").drop("hash")
 
 

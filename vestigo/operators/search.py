@@ -17,6 +17,8 @@ from vestigo.operators.terms import Index, token_rows
 from vestigo.schemas import require
 
 DEFAULT_K = 10
+# Largest rank for which Spark limits the groups of a window before the shuffle, its default.
+WINDOW_CUT = 1000
 
 
 def query_terms(queries: DataFrame, text: str = "text", pattern: str = BLANK, stop_words: Iterable[str] = ()) -> DataFrame:
@@ -33,8 +35,11 @@ def _hint(terms: DataFrame):
     return F.broadcast if blocks.fits(terms, F.octet_length("term")) else lambda df: df
 
 
-def _top(scores: DataFrame, k: int, id: str) -> DataFrame:
-    return top_k(scores, k, [("score", "descending"), (id, "ascending")], per=["query_id"])
+def _top(scores: DataFrame, k: int, id: str, queries: DataFrame | None = None) -> DataFrame:
+    """Top k per query. Spark cuts windows in the tasks up to k = 1000 only, so a larger k of a single query is taken
+    by order and limit, which keep k rows per task at any k."""
+    alone = k > WINDOW_CUT and queries is not None and queries.select("query_id").distinct().limit(2).count() < 2
+    return top_k(scores, k, [("score", "descending"), (id, "ascending")], per=[] if alone else ["query_id"])
 
 
 def search_texts(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: str = "doc_id", text: str = "text",
@@ -46,14 +51,14 @@ def search_texts(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: st
     """
     wanted = query_terms(queries, text, pattern, stop_words)
     hits = token_rows(docs, id, text, pattern, stop_words).join(_hint(wanted)(wanted), "term")
-    return _top(hits.groupBy("query_id", id).agg(F.sum("qtf").alias("score")), k, id)
+    return _top(hits.groupBy("query_id", id).agg(F.sum("qtf").alias("score")), k, id, queries)
 
 
 def search_postings(postings: DataFrame, terms: DataFrame, k: int = DEFAULT_K, id: str = "doc_id") -> DataFrame:
     """Best k documents per query from postings (term, id, tf) and query terms (query_id, term, qtf)."""
     require(terms, "query_id", "term", "qtf")
     hits = postings.join(_hint(terms)(terms), "term")
-    return _top(hits.groupBy("query_id", id).agg(F.sum(F.col("qtf") * F.col("tf")).alias("score")), k, id)
+    return _top(hits.groupBy("query_id", id).agg(F.sum(F.col("qtf") * F.col("tf")).alias("score")), k, id, terms)
 
 
 def search_weighted(index: Index, terms: DataFrame, k: int = DEFAULT_K, id: str = "doc_id", digits: int = 9) -> DataFrame:
@@ -68,7 +73,7 @@ def search_weighted(index: Index, terms: DataFrame, k: int = DEFAULT_K, id: str
     raw = hits.groupBy("query_id", id).agg(F.sum(F.col("weight") * F.col("tf")).alias("raw"))
     scores = raw.join(index.docs, id).select(
         "query_id", id, F.when(F.col("norm") > 0, F.round(F.col("raw") / F.col("norm"), digits)).alias("score"))
-    return _top(scored(scores), k, id)
+    return _top(scored(scores), k, id, terms)
 
 
 def search_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: str = "doc_id", text: str = "text",

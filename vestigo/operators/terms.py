@@ -7,17 +7,29 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vestigo.functions.text import BLANK
 from vestigo.schemas import require
 
 
+class IndexSettings(NamedTuple):
+    """How a saved index was built; kept with it, so that searches and refreshes cannot use other settings."""
+
+    buckets: int
+    pattern: str
+    stop_words: tuple[str, ...]
+    id: str
+    text: str
+
+
 class Index(NamedTuple):
     """An inverted index as tables: postings(term, doc_id, tf), terms(term, df, idf), docs(doc_id, length, norm)."""
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
+    settings: IndexSettings | None = None
 
 
 def token_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", pattern: str = BLANK,
@@ -50,9 +62,13 @@ def posting_segments(postings: DataFrame, width: int, id: str = "doc_id") -> Dat
     """Posting lists as arrays, newest document first, cut into segments of ``width`` consecutive numeric ids.
 
     A term's whole list is its segments in descending order; no array grows beyond ``width`` entries, however
-    common the term.
+    common the term. Ids of another type have no neighbours to count: their segment is one of ``width`` by the ids'
+    MD5, and every segment lists its ids in descending order.
     """
-    segment = F.floor(F.col(id) / F.lit(width)).cast("bigint")
+    if isinstance(postings.schema[id].dataType, IntegralType):
+        segment = F.expr(f"({{0}} - pmod({{0}}, {int(width)}L)) div {int(width)}L".format(f"cast(`{id}` as bigint)"))
+    else:
+        segment = F.conv(F.substring(F.md5(F.col(id).cast("string")), 1, 8), 16, 10).cast("bigint") % F.lit(width)
     entry = F.struct(F.col(id), F.col("tf"))
     return (postings.groupBy("term", segment.alias("segment"))
             .agg(F.sort_array(F.collect_list(entry), asc=False).alias("postings")))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from vestigo.functions.text import WORD_BREAKS, base_name, flat_key, page_text, page_title
 from vestigo.operators import refresh, search, terms
-from vestigo.operators.ranking import keep
+from vestigo.operators.features import pipeline
+from vestigo.operators.ranking import ids, keep
 from vestigo.plans.tables import documents, table
 from vestigo.sources import tables
-from vestigo.sources.readers import queries_from
+from vestigo.sources.readers import queries_from, read_descriptions
 
 # English function words, a fixed list.
 STOP_WORDS = (
@@ -20,6 +21,7 @@ STOP_WORDS = (
 
 QUERY_DOC = 1
 K = 10
+DEEP = 2000
 SEGMENT = 256
 BUCKETS = 16
 
@@ -93,15 +95,13 @@ def search_turns(spark, folder):
 def search_index(spark, folder):
     index = _index(spark, folder)
     query = search.query_terms(_one_query(spark, folder))
-    return search.search_postings(tables.only_buckets(index.postings, query, BUCKETS), query, K)
+    return search.search_postings(tables.only_terms(index, query).postings, query, K)
 
 
 def search_tfidf(spark, folder):
     index = _index(spark, folder)
     query = search.query_terms(_one_query(spark, folder))
-    needed = index._replace(postings=tables.only_buckets(index.postings, query, BUCKETS),
-                            terms=tables.only_buckets(index.terms, query, BUCKETS))
-    return search.search_weighted(needed, query, K, digits=6)
+    return search.search_weighted(tables.only_terms(index, query), query, K, digits=6)
 
 
 def search_stopwords(spark, folder):
@@ -132,7 +132,7 @@ def _earlier(spark, folder):
 def refresh_saved(spark, folder):
     old, new = (tables.fresh_path(spark, "index") for _ in range(2))
     tables.save_index(_earlier(spark, folder), old, buckets=BUCKETS)
-    index = tables.refresh_index(old, _docs(spark, folder), new, buckets=BUCKETS)
+    index = tables.refresh_index(old, _docs(spark, folder), new)
     return index.docs.select("doc_id", "length", F.round("norm", 6).alias("norm"))
 
 
@@ -162,12 +162,46 @@ def url_basename(spark, folder):
     return pages.select("page_id", base_name("url").alias("name"), flat_key("url").alias("key"))
 
 
+def search_count_deep(spark, folder):
+    return search.search_texts(_docs(spark, folder), _one_query(spark, folder), DEEP)
+
+
+def posting_lists_named(spark, folder):
+    """Posting lists of string ids."""
+    docs = table(spark, folder, "documents").select(F.concat_ws("/", "source", "doc_id").alias("name"), "text")
+    lists = terms.posting_segments(terms.term_frequencies(docs, "name"), SEGMENT, "name")
+    entries = F.transform("postings", lambda p: F.concat(p["name"], F.lit(":"), p["tf"].cast("string")))
+    return lists.select("term", "segment", F.array_join(entries, ",").alias("entries"))
+
+
+def ranked_ids(spark, folder):
+    return ids(search_count(spark, folder), "doc_id")
+
+
+def composed(spark, folder):
+    """Two projections as one, on a collection."""
+    step = pipeline(lambda df: df.withColumn("name", base_name("url")), lambda df: df.withColumn("size", F.length("name").cast("bigint")))
+    return step(table(spark, folder, "pages")).select("page_id", "name", "size")
+
+
+def catalog_counts(spark, folder):
+    """Items by category of a description catalog in its file format, read back by the catalog reader."""
+    path = tables.fresh_path(spark, "catalog")
+    table(spark, folder, "documents").select(F.col("doc_id").cast("string"), "lang", "source").write.option("sep", "\t").csv(path)
+    return read_descriptions(spark, path).groupBy("category").agg(F.count("doc_id").alias("n"))
+
+
 def label_counts(spark, folder):
     labels = table(spark, folder, "labels")
     return labels.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
+    "search_count_deep": search_count_deep,
+    "posting_lists_named": posting_lists_named,
+    "ranked_ids": ranked_ids,
+    "composed": composed,
+    "catalog_counts": catalog_counts,
     "tokens_tf": tokens_tf,
     "doc_freq": doc_freq,
     "posting_lists": posting_lists,
@@ -225,6 +259,15 @@ FROM documents LEFT JOIN norms USING (doc_id)"""
 _WORDS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 SQL = {
+    "search_count_deep": _COUNT_SEARCH.replace(f"rank <= {K}", f"rank <= {DEEP}"),
+    "posting_lists_named": f"""WITH named AS (SELECT source || '/' || doc_id AS doc_id, text FROM documents),
+{POSTINGS.replace("FROM documents", "FROM named")}
+SELECT term, CAST(('0x' || left(md5(doc_id), 8))::BIGINT % {SEGMENT} AS BIGINT) AS segment,
+string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id DESC) AS entries FROM postings GROUP BY ALL""",
+    "ranked_ids": f"SELECT doc_id FROM ({_COUNT_SEARCH})",
+    "composed": r"""SELECT page_id, name, length(name) AS size FROM (SELECT page_id, regexp_replace(
+  string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\.[^.]*$', '') AS name FROM pages)""",
+    "catalog_counts": "SELECT lang AS category, count(*) AS n FROM documents GROUP BY ALL",
     "tokens_tf": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM postings",
     "doc_freq": f"WITH {POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY term",
     "posting_lists": f"""WITH {POSTINGS} SELECT term, doc_id // {SEGMENT} AS segment,

@@ -180,6 +180,12 @@ def fused_batch(spark, folder):
                               fusion.pair_weights(0.5), 50, 10, id="vec_id", digits=DIGITS)
 
 
+def fused_batch_exact(spark, folder):
+    halves = _halves(spark, folder)
+    return fusion.fused_batch(halves, halves.withColumnRenamed("vec_id", "query_id"), ["front", "back"],
+                              fusion.pair_weights(0.5), k=10, id="vec_id", digits=DIGITS)
+
+
 def fused_lists(spark, folder):
     items = _items(spark, folder)
     lists = []
@@ -238,6 +244,7 @@ QUERIES = {
     "fusion_all": fused_all,
     "fusion_same": fused_same,
     "fusion_batch": fused_batch,
+    "fusion_batch_exact": fused_batch_exact,
     "fusion_lists": fused_lists,
     "union_merge": union_merge,
     "cascade": cascade,
@@ -346,6 +353,7 @@ FROM halves, range(32) r(d)""",
     "fusion_all": _fused("CASE kind WHEN 'front' THEN 0.7 ELSE 0.3 END", _WHOLE, 20),
     "fusion_same": _fused("1.0", _WHOLE, 10, kinds="AND kind = 'front'"),
     "fusion_batch": _fused("0.5", 50, 10, queries=""),
+    "fusion_batch_exact": _fused("0.5", _WHOLE, 10, queries=""),
     "fusion_lists": _fused("CASE kind WHEN 'front' THEN 0.6 ELSE 0.4 END", 100, _WHOLE).replace(
         "SELECT * FROM r", "SELECT query_id, vec_id, score FROM r"),
     "union_merge": f"""WITH {_ITEMS}, {_Q},

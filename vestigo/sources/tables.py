@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from vestigo.functions.text import BLANK
 from vestigo.operators.refresh import changed_docs, content_hashes, gone_docs
-from vestigo.operators.terms import Index, document_norms, term_frequencies, term_weights
+from vestigo.operators.terms import Index, IndexSettings, document_norms, term_frequencies, term_weights
 
 BUCKETS = 256
+# Query terms pushed down by name instead of by bucket alone.
+FEW_TERMS = 1000
 
 # Working folders of local sessions that name none.
 _own_folders: dict[str, str] = {}
@@ -75,10 +77,12 @@ def save_index(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text
                stop_words: Iterable[str] = (), buckets: int = BUCKETS) -> Index:
     """Index a collection and write it so that a search reads only the term buckets it needs; return the saved index.
 
-    The texts are read once: terms and documents are derived from the postings just written.
+    Terms and norms are derived from the postings just written; the texts are read once more for their hashes. The
+    settings are saved with the index.
     """
+    settings = IndexSettings(buckets, pattern, tuple(sorted(set(stop_words))), id, text)
     write_postings(term_frequencies(docs, id, text, pattern, stop_words), f"{path}/postings", buckets)
-    return _finish_index(docs, path, id, text, buckets)
+    return _finish_index(docs, path, settings)
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -90,23 +94,28 @@ def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS) -> No
     rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def _finish_index(docs: DataFrame, path: str, id: str, text: str, buckets: int) -> Index:
+def _finish_index(docs: DataFrame, path: str, settings: IndexSettings) -> Index:
     spark = docs.sparkSession
+    id, text, buckets = settings.id, settings.text, settings.buckets
     postings = spark.read.parquet(f"{path}/postings")
     write_postings(term_weights(postings, docs), f"{path}/terms", buckets)
     norms = document_norms(postings, spark.read.parquet(f"{path}/terms"), docs, id)
     norms.write.mode("overwrite").parquet(f"{path}/docs")
     content_hashes(docs, id, text).write.mode("overwrite").parquet(f"{path}/hashes")
+    record = spark.createDataFrame([(json.dumps(settings._asdict()),)], "settings string")
+    record.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
     return load_index(spark, path)
 
 
-def refresh_index(old: str, docs: DataFrame, new: str, id: str = "doc_id", text: str = "text", pattern: str = BLANK,
-                  stop_words: Iterable[str] = (), buckets: int = BUCKETS) -> Index:
+def refresh_index(old: str, docs: DataFrame, new: str, **expected) -> Index:
     """Write the index of the current documents to ``new``, tokenising only what differs from the index at ``old``.
 
-    The differing ids are written first, so that Spark plans the joins below with their true size.
+    Pattern, stop words, buckets and columns are those the old index was built with; settings given here must agree
+    with them, else ``ValueError``. The differing ids are written first, so that Spark plans the joins below with their true size.
     """
     spark = docs.sparkSession
+    settings = agreed(read_settings(spark, old), **expected)
+    buckets, pattern, stop_words, id, text = settings
     stored = spark.read.parquet(f"{old}/hashes")
     gone_docs(docs, stored, id, text).write.mode("overwrite").parquet(f"{new}/gone")
     changed_docs(docs, stored, id, text).select(id, text).write.mode("overwrite").parquet(f"{new}/changed")
@@ -114,17 +123,45 @@ def refresh_index(old: str, docs: DataFrame, new: str, id: str = "doc_id", text:
             .join(spark.read.parquet(f"{new}/gone"), id, "left_anti"))
     fresh = term_frequencies(spark.read.parquet(f"{new}/changed"), id, text, pattern, stop_words)
     write_postings(kept.unionByName(fresh), f"{new}/postings", buckets)
-    return _finish_index(docs, new, id, text, buckets)
+    return _finish_index(docs, new, settings)
 
 
-def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in Index._fields])
+def read_settings(spark: SparkSession, path: str) -> IndexSettings:
+    record = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+    return IndexSettings(**record | {"stop_words": tuple(record["stop_words"])})
 
 
-def only_buckets(table: DataFrame, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """A saved bucketed table cut down to the buckets of the given query terms; at most ``buckets`` numbers are read."""
+def agreed(settings: IndexSettings, **expected) -> IndexSettings:
+    """The settings of a saved index, when those expected of it agree."""
+    if "stop_words" in expected:
+        expected["stop_words"] = tuple(sorted(set(expected["stop_words"])))
+    for name, value in expected.items():
+        if getattr(settings, name) != value:
+            raise ValueError(f"the index was built with {name}={getattr(settings, name)!r}, not {value!r}")
+    return settings
+
+
+def load_index(spark: SparkSession, path: str, **expected) -> Index:
+    """A saved index with its settings; settings given here must agree with them, else ``ValueError``."""
+    settings = agreed(read_settings(spark, path), **expected)
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "docs")], settings)
+
+
+def only_terms(index: Index, terms: DataFrame, **expected) -> Index:
+    """A saved index cut down to query terms: to their buckets, and to the terms themselves while they are few.
+
+    At most ``buckets`` numbers and FEW_TERMS terms are brought to the driver. Files are sorted by term, so a filter
+    on few terms skips most row groups.
+    """
+    if index.settings is None:
+        raise ValueError("the index was not loaded with its settings")
+    buckets = agreed(index.settings, **expected).buckets
     wanted = [r["bucket"] for r in terms.select(term_bucket(buckets).alias("bucket")).distinct().collect()]
-    return table.filter(F.col("bucket").isin(wanted)).drop("bucket")
+    keep = F.col("bucket").isin(wanted)
+    few = terms.select("term").distinct().limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        keep &= F.col("term").isin([r["term"] for r in few])
+    return index._replace(postings=index.postings.filter(keep).drop("bucket"), terms=index.terms.filter(keep).drop("bucket"))
 
 
 def fingerprint(df: DataFrame) -> str:
