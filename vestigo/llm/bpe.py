@@ -22,14 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vestigo.llm.common import by_batches, narrowed
+from vestigo.llm.common import Remembered, by_batches, narrowed
 
-#: Words remembered by one worker process before it starts anew, and the longest word remembered.
-KEPT_WORDS = 500_000
-KEPT_LENGTH = 60
-KEPT_ARCS = 400_000
+#: Words, pieces and arcs remembered by one worker process.
+KEPT_WORDS, KEPT_PIECES, KEPT_ARCS = 150_000, 250_000, 200_000
 NEVER = 1 << 60
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 
 
 #: str.split() also breaks at these four control characters, the pattern's blanks do not include them.
@@ -135,8 +133,8 @@ class Automaton:
         return path
 
 
-class WordTokenizer(dict):
-    """A word-level byte BPE file (its own JSON format) as an automaton; as a dict, from a word to its packed tokens."""
+class WordTokenizer:
+    """A word-level byte BPE file (its own JSON format) as an automaton."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -150,16 +148,13 @@ class WordTokenizer(dict):
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.of_piece = Remembered(self._packed, KEPT_PIECES)
+        self.of_word = Remembered(lambda w: b"".join(map(self.of_piece.__getitem__, self._pieces(w))), KEPT_WORDS)
         self.labels = dict(self.automaton.labels) | {i: t for t, i in self.special.items()}
 
-    def __missing__(self, word: str) -> bytes:
-        packed = b"".join(np.array(self.automaton.encode("".join(map(self.symbols.__getitem__, p.encode())), self.end),
-                                   np.int32).tobytes() for p in self._pieces(word))
-        if len(word) <= KEPT_LENGTH:
-            if len(self) > KEPT_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+    def _packed(self, piece: str) -> bytes:
+        symbols = "".join(map(self.symbols.__getitem__, piece.encode()))
+        return np.array(self.automaton.encode(symbols, self.end), np.int32).tobytes()
 
     def _pieces(self, word: str) -> list[str]:
         """Pieces by the file's pattern; characters without a category yet are no letters, whatever ``regex`` knows."""
@@ -173,7 +168,7 @@ class WordTokenizer(dict):
             text = text.lower()
         else:  # lower-case one character at a time: no final sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.__getitem__, text.split() if not SEPARATORS.search(text) else SPACES.split(text)))
+        return b"".join(map(self.of_word.__getitem__, text.split() if not SEPARATORS.search(text) else SPACES.split(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids; the names of special tokens in a text are those tokens, as the file's library has it."""
@@ -192,24 +187,39 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def _encoded(batch, path: str):
+    """(ids of rows, token lists) of an Arrow batch, in parts of about BATCH_TOKENS tokens."""
+    words, texts = tokenizer(path), batch.column(1)
+    held, begun, total = [], 0, 0
+    for i in range(len(texts)):
+        held.append(words.encode(texts[i].as_py()))
+        total += len(held[-1])
+        if total > BATCH_TOKENS or i == len(texts) - 1:
+            ends = np.zeros(len(held) + 1, np.int32)
+            np.cumsum([len(h) for h in held], out=ends[1:])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held), pa.int32()))
+            yield batch.column(0).slice(begun, len(held)), lists, held
+            held, begun, total = [], i + 1, 0
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every row; a null or empty text has no ids, ids of rows are passed on as they are."""
     def work(batch):
-        words, texts = tokenizer(path), batch.column(1)
-        held, begun, total = [], 0, 0
-        for i in range(len(texts)):
-            held.append(words.encode(texts[i].as_py()))
-            total += len(held[-1])
-            if total > BATCH_TOKENS or i == len(texts) - 1:
-                ends = np.zeros(len(held) + 1, np.int32)
-                np.cumsum([len(h) for h in held], out=ends[1:])
-                yield (batch.column(0).slice(begun, len(held)),
-                       pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held), pa.int32())))
-                held, begun, total = [], i + 1, 0
+        for rows, lists, _ in _encoded(batch, path):
+            yield rows, lists
 
     return by_batches(narrowed(docs), work, "doc_id long, ids array<int>")
 
 
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, decoded): ``decode`` of ``encode``, in one Python worker a task instead of two."""
+    def work(batch):
+        for rows, lists, held in _encoded(batch, path):
+            yield rows, lists, pa.array([tokenizer(path).decode(ids.tolist()) for ids in held], pa.string())
+
+    return by_batches(narrowed(docs), work, "doc_id long, ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded string) of rows (doc_id, ids); null ids count as none."""
     def work(batch):

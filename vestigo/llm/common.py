@@ -40,3 +40,23 @@ def whole_groups(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def longs(column: pa.Array) -> np.ndarray:
     """A 64-bit integer column without nulls as numpy."""
     return column.to_numpy(zero_copy_only=False)
+
+
+class Remembered(dict):
+    """Values made once for strings, of the most recently used about ``most`` of them; strings over 60 characters are
+    made each time. One generation is looked up while the next one fills, so common strings stay."""
+
+    def __init__(self, make, most: int):
+        self.make, self.half, self.older = make, most // 2, {}
+
+    def __missing__(self, key: str):
+        if len(key) > 60:
+            return self.make(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import by_batches, narrowed
+from vestigo.llm.common import Remembered, by_batches, narrowed
 from vestigo.sources.tables import written
 
 BITS = 20
@@ -26,7 +26,7 @@ TRAIN_ROWS = 20_000
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 0.02, 0.1, 3
 THRESHOLD = 0.3
 FOLDS = 5
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,19 +37,12 @@ def shape(word: str) -> int:
     return case << 9 | (zlib.crc32(marks.encode()) % 511 + 1 if marks else 0)
 
 
-class _WordHashes(dict):
+def _hash(word: str) -> bytes:
     """Hash of a word, with its shape in the low 12 bits."""
+    return (xxhash.xxh64_intdigest(word, 7) & ~0xFFF | shape(word)).to_bytes(8, "little")
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        found = (xxhash.xxh64_intdigest(word, 7) & ~0xFFF | shape(word)).to_bytes(8, "little")
-        if len(word) <= 60:
-            self[word] = found
-        return found
 
-
-_hashes = _WordHashes()
+_hashes = Remembered(_hash, KEPT_WORDS)
 
 
 def ngrams(text: str) -> list[np.ndarray]:

@@ -54,8 +54,7 @@ def op6_mixing(spark, folder):
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
-    path = vocabulary(WORDS_FILE)
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.encode_and_decode(docs, vocabulary(WORDS_FILE)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import by_batches, narrowed
+from vestigo.llm.common import Remembered, by_batches, narrowed
 
 BLANK = "▁"
 #: Chunks of at most this many characters are remembered; their counts fit in a byte, four bytes a character at most.
 KEPT_LENGTH = 60
-#: Chunks remembered by one worker process before it starts anew.
-KEPT_CHUNKS = 500_000
-KEPT_PAIRS = 400_000
+#: Chunks and pairs of pieces remembered by one worker process.
+KEPT_CHUNKS = 300_000
+KEPT_PAIRS = 200_000
 NEVER = float("inf")
 #: Prefixes in one batch sent back to Spark.
 BATCH_PREFIXES = 2_000_000
@@ -31,8 +31,8 @@ BATCH_PREFIXES = 2_000_000
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
-class PrefixCounter(dict):
-    """Counts of pieces by prefix; as a dict, from a word without its leading blank to a byte per prefix."""
+class PrefixCounter:
+    """Counts of pieces by prefix, with a vocabulary and its ranks."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -52,6 +52,7 @@ class PrefixCounter(dict):
                 self._keep(piece, halves)
         self.longest = max(map(len, self.number))
         self.fits: dict[int, bool] = {}
+        self.of_word = Remembered(lambda w: bytes(self.prefixes(BLANK + w)), KEPT_CHUNKS)  # a byte per prefix
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces of a short text by the definition, the best pair first, the leftmost of equals; the last pair merged."""
@@ -118,24 +119,18 @@ class PrefixCounter(dict):
                 counts.append(counts[end - 1] + len(chunk[end - 1].encode()))
         return counts[1:]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > KEPT_CHUNKS:
-            self.clear()
-        counts = self[word] = bytes(self.prefixes(BLANK + word))
-        return counts
-
     def count_prefixes(self, text: str) -> np.ndarray:
         """Exact number of tokens of each prefix of a text, by characters, from the first to the whole."""
         if not text:
             return np.zeros(0, np.int32)
         words = text.split(" ")
         if BLANK not in text and words[0] and words[-1] and "" not in words and max(map(len, words)) < KEPT_LENGTH:
-            counts = np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint8).astype(np.int32)
+            counts = np.frombuffer(b"".join(map(self.of_word.__getitem__, words)), np.uint8).astype(np.int32)
             sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         else:
             chunks = CHUNK.findall(BLANK + text.replace(" ", BLANK))
             counts = np.concatenate([np.array(self.prefixes(c), np.int32) if len(c) > KEPT_LENGTH or c[1:2] == BLANK
-                                     else np.frombuffer(self[c[1:]], np.uint8).astype(np.int32) for c in chunks])
+                                     else np.frombuffer(self.of_word[c[1:]], np.uint8).astype(np.int32) for c in chunks])
             sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         totals = counts[np.cumsum(sizes) - 1]
         counts += np.repeat(np.cumsum(totals) - totals, sizes).astype(np.int32)
