@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import Remembered, by_batches, narrowed
+from vestigo.llm.common import Remembered, by_batches, frugal, narrowed, parts
 from vestigo.sources.tables import written
 
 BITS = 20
@@ -112,32 +112,35 @@ class Ftrl:
 def train(rows: DataFrame, passes: int = PASSES) -> np.ndarray:
     """Weights from rows (doc_id, text, y): features are made in all tasks, updates run in one over the bounded sample.
 
+    That task holds the sample's features, about 8 bytes each, and puts them in an order that depends on the ids alone.
+
     Without rows all weights are 0, and every score is a half.
     """
     def extract(batch):
         found = [features(t.as_py()) for t in batch.column(1)]
         ends = pa.array(np.cumsum([0] + [len(at) for at, _ in found]).astype(np.int32))
-        yield (batch.column(0), *[pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c) if c else [], t))
-                                  for c, t in zip(list(zip(*found)) or [(), ()], (pa.int32(), pa.float64()))], batch.column(2))
+        yield (batch.column(0), *[pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(t.to_pandas_dtype()) if c else [], t))
+                                  for c, t in zip(list(zip(*found)) or [(), ()], (pa.int32(), pa.float32()))], batch.column(2))
 
-    sparse = written(by_batches(rows.select("doc_id", "text", "y"), extract, "doc_id long, at array<int>, x array<double>, y int"),
+    sparse = written(by_batches(rows.select("doc_id", "text", "y"), extract, "doc_id long, at array<int>, x array<float>, y int"),
                      "features")
 
     def learn(batches: Iterator[pa.RecordBatch]):
-        model = Ftrl(1 << BITS)
+        rows = []
         for batch in batches:
-            for at, x, y in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                model.update(at.values.to_numpy(), x.values.to_numpy(), y)
+            for key, at, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+                rows.append((key, at.values.to_numpy().copy(), x.values.to_numpy().astype(np.float32), y))
+        rows.sort(key=lambda row: row[0])
+        model = Ftrl(1 << BITS)
+        for _ in range(passes):
+            for _, at, x, y in rows:
+                model.update(at, x.astype(float), y)
         w = model.weights(slice(None))
         used = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(w[used])], ["at", "w"])
 
-    again = sparse
-    for k in range(1, passes):
-        again = again.withColumn("pass", F.lit(0)) if "pass" not in again.columns else again
-        again = again.unionByName(sparse.withColumn("pass", F.lit(k)))
-    order = [c for c in ("pass",) if c in again.columns] + [F.xxhash64("doc_id", F.lit("order")), "doc_id"]
-    table = again.coalesce(1).sortWithinPartitions(*order).select("at", "x", "y").mapInArrow(learn, "at long, w double").toPandas()
+    order = F.xxhash64("doc_id", F.lit("order")).alias("key")
+    table = sparse.select(order, "at", "x", "y").coalesce(1).mapInArrow(frugal(learn), "at long, w double").toPandas()
     weights = np.zeros(1 << BITS)
     weights[table["at"].to_numpy(dtype=np.int64)] = table["w"].to_numpy()
     return weights
@@ -167,11 +170,11 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             sums = _sums(shared.value, (t.as_py() or "" for t in batch.column(at)))
             yield batch.filter(pa.array(chance(sums) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def predicted(score: Column) -> Column:
