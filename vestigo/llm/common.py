@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Blanks between words: space and the five ASCII control blanks, the same set that bytes.split() uses.
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
+#: Rows of a batch handled at a time.
+PART_ROWS = 1024
 
 
 def narrowed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,11 +29,32 @@ def by_batches(df: DataFrame, work, schema: str) -> DataFrame:
     names = fields.names
 
     def run(batches):
-        for batch in batches:
-            for columns in work(batch):
+        for part in parts(batches):
+            for columns in work(part):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(frugal(run), fields)
+
+
+def parts(batches):
+    """Arrow batches in parts of at most PART_ROWS rows, so that Python copies of long texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
+def frugal(run):
+    """``run`` as it is, then unused memory goes back to the system: workers live on and share it with other stages."""
+    def held(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not every C library has it
+            pass
+
+    return held
 
 
 def whole_groups(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

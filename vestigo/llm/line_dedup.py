@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import by_batches, narrowed, whole_groups
+from vestigo.llm.common import by_batches, frugal, narrowed, parts, whole_groups
 from vestigo.llm.components import components
 from vestigo.sources.tables import written
 
@@ -216,7 +216,7 @@ def _compare(batches, edits: int):
 def line_links(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, block: int = BLOCK) -> DataFrame:
     """(a, b) digests of different lines: links that connect exactly the lines connected by pairs within ``edits``."""
     shared = written(whole_groups(keyed_lines(docs, edits, least_chars), ["key"], ["own desc", "digest"])
-                     .mapInArrow(_shared_keys, "key long, own int, digest binary"), "shared")
+                     .mapInArrow(frugal(_shared_keys), "key long, own int, digest binary"), "shared")
     wanted = written(shared.select("digest").distinct(), "wanted")
 
     def work(batch):
@@ -236,7 +236,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
                          F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"), "own", "digest"))
         members = members.join(large.withColumnRenamed("key", "cell"), "cell", "left_anti").unionByName(split)
     rows = members.join(written(texts, "texts"), "digest").select("cell", "own", "side", "digest", "body")
-    return whole_groups(rows, ["cell"], ["digest"]).mapInArrow(lambda b: _compare(b, edits), "a binary, b binary").distinct()
+    return whole_groups(rows, ["cell"], ["digest"]).mapInArrow(frugal(lambda b: _compare(b, edits)), "a binary, b binary").distinct()
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, block: int = BLOCK) -> DataFrame:
@@ -270,7 +270,7 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = []
             for text, cut in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 if cut:
@@ -281,5 +281,5 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = joined.select(*[F.col(f"`{c}`") for c in names], "_gone").mapInArrow(run, docs.schema)
+    rows = joined.select(*[F.col(f"`{c}`") for c in names], "_gone").mapInArrow(frugal(run), docs.schema)
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else rows

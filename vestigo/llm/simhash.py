@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import by_batches, longs, narrowed, whole_groups
+from vestigo.llm.common import by_batches, frugal, longs, narrowed, whole_groups
 from vestigo.llm.components import components
 from vestigo.sources.tables import written
 
@@ -136,7 +136,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
             large = None if large.isEmpty() else large
         small = rows if large is None else rows.join(large, "bucket", "left_anti")
         found.append(whole_groups(small, ["bucket"], ["node"])
-                     .mapInArrow(lambda batches: _bucket_links(batches, radius), "a long, b long"))
+                     .mapInArrow(frugal(lambda batches: _bucket_links(batches, radius)), "a long, b long"))
         if large is None:
             break
         rows = _tables(written(rows.join(large, "bucket"), "rest"), radius, level + 1, "bucket")

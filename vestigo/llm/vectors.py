@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import by_batches, longs
+from vestigo.llm.common import by_batches, frugal, longs
 from vestigo.llm.components import components
 from vestigo.sources.tables import written
 
@@ -188,7 +188,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id",
         radius[r["cell"]], parts[r["cell"]] = r["far"], math.ceil(r["n"] / block)
     cells = _placed(nodes, points, radius, reach, parts)
     found = written(cells.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
-                    .mapInArrow(lambda batches: _counted(batches, cosine), "a long, b long, n long"), "links")
+                    .mapInArrow(frugal(lambda batches: _counted(batches, cosine)), "a long, b long, n long"), "links")
     counts = found.groupBy(F.col("a").alias("least")).agg(F.sum("n").alias("n"))
     named = (nodes.select(F.col("node").alias("least"), "w").join(counts, "least", "left")
              .join(components(found, "a", "b").withColumnRenamed("node", "least"), "least", "left")
