@@ -22,8 +22,8 @@ BLANK = "▁"
 #: Chunks of at most this many characters are remembered; their counts fit in a byte, four bytes a character at most.
 KEPT_LENGTH = 60
 #: Chunks and pairs of pieces remembered by one worker process.
-KEPT_CHUNKS = 300_000
-KEPT_PAIRS = 200_000
+KEPT_CHUNKS = 1_200_000
+KEPT_PAIRS = 300_000
 NEVER = float("inf")
 #: Prefixes in one batch sent back to Spark.
 BATCH_PREFIXES = 2_000_000
@@ -105,17 +105,28 @@ class PrefixCounter:
 
     def prefixes(self, chunk: str) -> list[int]:
         """Number of tokens of chunk[:1], chunk[:2], ...; a character outside the vocabulary counts one per byte."""
-        number, longest, follows = self.number, self.longest, self.follows
-        last, counts = [""], [0]
+        number, longest, fits = self.number.get, self.longest, self.fits.get
+        pieces, numbers, counts = [""], [0], [0]  # by prefix: its last piece, that piece's number or -1, its tokens
         for end in range(1, len(chunk) + 1):
             for start in range(end - longest if end > longest else 0, end):
                 piece = chunk[start:end]
-                if piece in number and (not start or last[start] is None or follows(last[start], piece)):
-                    last.append(piece)
-                    counts.append(counts[start] + 1)
-                    break
+                found = number(piece)
+                if found is None:
+                    continue
+                before = numbers[start]
+                if start and before >= 0:
+                    apart = fits(before << 20 | found)
+                    if apart is None:
+                        apart = self.follows(pieces[start], piece)
+                    if not apart:
+                        continue
+                pieces.append(piece)
+                numbers.append(found)
+                counts.append(counts[start] + 1)
+                break
             else:
-                last.append(None)
+                pieces.append("")
+                numbers.append(-1)
                 counts.append(counts[end - 1] + len(chunk[end - 1].encode()))
         return counts[1:]
 
