@@ -24,6 +24,8 @@ KEPT_LENGTH = 60
 #: Chunks and pairs of pieces remembered by one worker process.
 KEPT_CHUNKS = 1_200_000
 KEPT_PAIRS = 300_000
+#: Beginnings remembered, and their length.
+KEPT_HEADS, HEAD = 60_000, 5
 NEVER = float("inf")
 #: Prefixes in one batch sent back to Spark.
 BATCH_PREFIXES = 2_000_000
@@ -52,6 +54,7 @@ class PrefixCounter:
                 self._keep(piece, halves)
         self.longest = max(map(len, self.number))
         self.fits: dict[int, bool] = {}
+        self.of_head = Remembered(self._walk, KEPT_HEADS)
         self.of_word = Remembered(lambda w: bytes(self.prefixes(BLANK + w)), KEPT_CHUNKS)  # a byte per prefix
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -105,9 +108,19 @@ class PrefixCounter:
 
     def prefixes(self, chunk: str) -> list[int]:
         """Number of tokens of chunk[:1], chunk[:2], ...; a character outside the vocabulary counts one per byte."""
+        return self._walk(chunk)[2][1:]
+
+    def _walk(self, chunk: str):
+        """By prefix, the empty one included: its last piece, that piece's number or -1, its tokens.
+
+        Chunks with the same beginning share the walk over it.
+        """
         number, longest, fits = self.number.get, self.longest, self.fits.get
-        pieces, numbers, counts = [""], [0], [0]  # by prefix: its last piece, that piece's number or -1, its tokens
-        for end in range(1, len(chunk) + 1):
+        if len(chunk) > HEAD:
+            pieces, numbers, counts = map(list, self.of_head[chunk[:HEAD]])
+        else:
+            pieces, numbers, counts = [""], [0], [0]
+        for end in range(len(pieces), len(chunk) + 1):
             for start in range(end - longest if end > longest else 0, end):
                 piece = chunk[start:end]
                 found = number(piece)
@@ -128,7 +141,7 @@ class PrefixCounter:
                 pieces.append("")
                 numbers.append(-1)
                 counts.append(counts[end - 1] + len(chunk[end - 1].encode()))
-        return counts[1:]
+        return pieces, numbers, counts
 
     def count_prefixes(self, text: str) -> np.ndarray:
         """Exact number of tokens of each prefix of a text, by characters, from the first to the whole."""
