@@ -116,12 +116,12 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A freshly read frame cut into more tasks by key when it has few splits for the cores.
+    """A freshly read frame cut into more tasks by key when its splits are at most half the cores.
 
     A split without the start of a row group is empty, so few splits keep most cores idle in per-row work. A frame of
     many splits is returned as it is and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if 2 * df.rdd.getNumPartitions() <= cores:
         return df.repartition(cores, key)
     return df
