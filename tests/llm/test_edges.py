@@ -25,3 +25,12 @@ def test_odd_rows(spark):
     assert counts.filter(token_counts.total_tokens() == 0).count() == 2
     assert passages.repeated_spans(docs, 3).select("doc_id", "first_doc_id").collect() == [(2, 1)]
     assert licences.licence_scan(docs, licences.known_digests(spark)).count() == 0
+
+
+def test_licence_forms():
+    forms = [licences.canonical(t.lower().encode()) for t in (
+        "Copyright (c) 2020 Someone\nLicenced under the MIT Licence!", "licensed  under THE\tmit-license", "© 2001 x\r\nlicensed under the mit license.")]
+    assert set(forms) == {b"licensed under the mit license"}
+    assert licences.canonical(b"non infringement v v percent") == b"noninfringement version version per cent"
+    assert licences.canonical(b"the copyright holder, copyright holders") == b"the copyright owner copyright owners"
+    assert licences.canonical("... café -- ...".encode()) == "café".encode() and licences.canonical(b"?! \n") == b""

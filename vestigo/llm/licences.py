@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vestigo.llm.common import by_batches, narrowed
+
 #: Fixed values: (licence, whether it lets others use the text commercially, text), public licence texts and notices.
 KNOWN: tuple[tuple[str, bool, str], ...] = (
     ("MIT", True, "Released under the MIT License."),
@@ -59,47 +64,85 @@ COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9<]|by )[^\n]*"
 MARKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
-def canonical_sql(text: str, java: bool = True) -> str:
-    """SQL for a text's canonical form, in Spark's dialect or, with ``java`` false, in DuckDB's.
+#: Units whose digests go back to Spark at a time.
+BATCH_UNITS = 200_000
+
+_COPYRIGHT = re.compile(COPYRIGHT.encode())
+_BLANKED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+
+
+def _doubled(words: str) -> str:
+    """A spelling as it stands in a form whose words are set apart by two blanks."""
+    return f" {words} ".replace(" ", "  ")[1:-1]
+
+
+_SPELLINGS = [(_doubled(spelling).encode(), _doubled(plain).encode()) for spelling, plain in SPELLINGS]
+
 
-    Lower case; copyright lines and punctuation become blanks; words are set apart by two blanks while spellings are
-    made equal, so that each word has blanks of its own.
+def canonical(lowered: bytes) -> bytes:
+    """Canonical form of a text given in lower case and UTF-8.
+
+    Copyright lines and ASCII punctuation become blanks; words are set apart by two blanks while spellings are made
+    equal, so that each word has blanks of its own.
     """
-    every = "" if java else ", 'g'"
+    if b"copyright" in lowered or b"(c)" in lowered or b"\xc2\xa9" in lowered:
+        lowered = _COPYRIGHT.sub(b" ", lowered)
+    form = b" " + b"  ".join(lowered.translate(_BLANKED).split()) + b" "
+    for spelling, plain in _SPELLINGS:
+        form = form.replace(spelling, plain)
+    return form.replace(b"  ", b" ").strip(b" ")
+
 
+def canonical_sql(text: str) -> str:
+    """The canonical form as an SQL expression for DuckDB."""
     def quoted(value: str) -> str:
-        return "'" + (value.replace("\\", "\\\\") if java else value).replace("'", "''") + "'"
+        return "'" + value.replace("'", "''") + "'"
 
-    form = f"regexp_replace(lower({text}), {quoted(COPYRIGHT)}, ' '{every})"
-    form = f"concat(' ', regexp_replace({form}, {quoted(MARKS)}, '  '{every}), ' ')"
+    form = f"regexp_replace(lower({text}), {quoted(COPYRIGHT)}, ' ', 'g')"
+    form = f"concat(' ', regexp_replace({form}, {quoted(MARKS)}, '  ', 'g'), ' ')"
     for spelling, plain in SPELLINGS:
-        form = f"replace({form}, {quoted(f' {spelling} '.replace(' ', '  ')[1:-1])}, {quoted(f' {plain} '.replace(' ', '  ')[1:-1])})"
+        form = f"replace({form}, {quoted(_doubled(spelling))}, {quoted(_doubled(plain))})"
     return f"trim(replace({form}, '  ', ' '))"
 
 
-def canonical(text: str) -> Column:
-    return F.expr(canonical_sql(text))
-
-
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, bool, str]] = KNOWN) -> DataFrame:
-    """(digest, licence, commercial) of known texts; of texts with one canonical form the first name counts."""
-    rows = spark.createDataFrame(list(known), "licence string, commercial boolean, text string")
-    return rows.groupBy(F.md5(canonical("text")).alias("digest")).agg(
-        F.min("licence").alias("licence"), F.min_by("commercial", "licence").alias("commercial"))
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, body): the entire text as unit 0, its lines as 1, 2, ...; null texts have no units."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    each = F.posexplode(F.concat(F.array("text"), F.split("text", "\n")))
-    return rows.select("doc_id", each.alias("unit", "body")).withColumn("unit", F.col("unit").cast("long"))
+    """(digest binary, licence, commercial) of known texts; of texts with one canonical form the first name counts."""
+    named: dict[bytes, tuple[str, bool]] = {}
+    for licence, commercial, text in known:
+        digest = hashlib.md5(canonical(text.lower().encode())).digest()
+        named[digest] = min(named.get(digest, (licence, commercial)), (licence, commercial))
+    rows = [(bytearray(d), *v) for d, v in named.items()]
+    return F.broadcast(spark.createDataFrame(rows, "digest binary, licence string, commercial boolean"))  # rows of the driver
+
+
+def unit_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, unit, digest): of the entire text as unit 0 and of its lines as 1, 2, ...; none where nothing is left."""
+    def work(batch):
+        ids, places, numbers, digests = batch.column(0), [], [], []
+
+        def rows():
+            return ids.take(pa.array(places, pa.int64())), pa.array(numbers, pa.int64()), pa.array(digests, pa.binary())
+
+        for i, text in enumerate(batch.column(1)):
+            lowered = text.as_py().lower().encode()
+            for unit, body in enumerate((lowered, *lowered.split(b"\n"))):
+                form = canonical(body)
+                if form:
+                    places.append(i)
+                    numbers.append(unit)
+                    digests.append(hashlib.md5(form).digest())
+            if len(places) > BATCH_UNITS:
+                yield rows()
+                places, numbers, digests = [], [], []
+        yield rows()
+
+    return by_batches(narrowed(docs), work, "doc_id long, unit long, digest binary")
 
 
 def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, unit, licence, commercial): every entire text and every line that is a known licence text.
 
-    Texts are equal when their canonical forms are. Empty texts, and texts of punctuation alone, match nothing. Ids
-    are passed on as they are, null and repeated ones too; an empty table gives no rows.
+    Texts are equal when their canonical forms are. Null and empty texts, and texts of punctuation alone, match nothing.
+    Ids are passed on as they are, null and repeated ones too; an empty table gives no rows.
     """
-    digests = units(docs).select("doc_id", "unit", F.md5(canonical("body")).alias("digest"))
-    return digests.join(known.filter(F.col("digest") != F.md5(F.lit(""))), "digest").select("doc_id", "unit", "licence", "commercial")
+    return unit_digests(docs).join(known, "digest").select("doc_id", "unit", "licence", "commercial")

@@ -135,11 +135,11 @@ SELECT doc_id, min(begin)::BIGINT AS begin, max(stop)::BIGINT AS stop, count(*)
        min_by(first[1], unit) AS first_doc_id
 FROM r GROUP BY doc_id, run HAVING sum(n) >= {passages.LEAST_WORDS}""",
     "op10_licences": f"""
-WITH known AS (SELECT md5({licences.canonical_sql('body', java=False)}) AS digest, min(licence) AS licence, min_by(commercial, licence) AS commercial
+WITH known AS (SELECT md5({licences.canonical_sql('body')}) AS digest, min(licence) AS licence, min_by(commercial, licence) AS commercial
                FROM (VALUES {', '.join(f'({_text(n)}, {str(c).lower()}, {_text(t)})' for n, c, t in licences.KNOWN)}) AS v(licence, commercial, body)
                GROUP BY 1),
 u AS (SELECT doc_id, unnest(list_prepend(text, string_split(text, chr(10)))) AS body,
              generate_subscripts(list_prepend(text, string_split(text, chr(10))), 1) - 1 AS unit FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, unit::BIGINT AS unit, licence, commercial FROM u JOIN known ON md5({licences.canonical_sql('u.body', java=False)}) = digest
+SELECT doc_id, unit::BIGINT AS unit, licence, commercial FROM u JOIN known ON md5({licences.canonical_sql('u.body')}) = digest
 WHERE digest <> md5('')""",
 }
