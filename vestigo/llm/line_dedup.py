@@ -9,6 +9,7 @@ are compared with a bit-parallel edit distance that follows the 2t + 1 diagonals
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,28 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return found
 
 
-def line_keys(line: str, edits: int) -> dict[int, bool]:
-    """Keys of a line: those of its own segments (true), and those it looks up among lines up to ``edits`` shorter."""
-    n, found = len(line), {}
+@lru_cache(maxsize=4096)
+def probes(n: int, edits: int) -> tuple[tuple, tuple]:
+    """(begin, stop, seed) of the substrings that a line of n characters looks up among lines up to ``edits`` shorter,
+    and of its own segments. They depend on the length alone."""
+    wanted, own = [], []
     for length in range(max(edits + 1, n - edits), n + 1):
         more = n - length
         for k, (start, size) in enumerate(segments(length, edits)):
             low = max(0, start - k, start + more - (edits - k))
             high = min(n - size, start + k, start + more + (edits - k))
             for at in range(low, high + 1):
-                key = xxhash.xxh64_intdigest(line[at:at + size], length * 64 + k)
-                key -= (key >> 63) << 64
-                found[key] = found.get(key, False) or (length == n and at == start)
+                (own if length == n and at == start else wanted).append((at, at + size, length * 64 + k))
+    return tuple(wanted), tuple(own)
+
+
+def line_keys(line: str, edits: int) -> dict[int, bool]:
+    """Keys of a line, as unsigned numbers: those of its own segments (true), and those it looks up."""
+    wanted, own = probes(len(line), edits)
+    digest = xxhash.xxh64_intdigest
+    found = {digest(line[a:b], seed): False for a, b, seed in wanted}
+    for a, b, seed in own:
+        found[digest(line[a:b], seed)] = True
     return found
 
 
@@ -122,19 +133,22 @@ def _different(batch, least_chars: int) -> dict[bytes, str]:
 def keyed_lines(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """(key, own, digest): the keys of every line, equal lines of an Arrow batch once."""
     def work(batch):
-        keys, own, digests = [], [], []
+        keys, own, digests, times = [], [], [], []
 
         def rows():
-            return pa.array(keys, pa.int64()), pa.array(own, pa.int32()), pa.array(digests, pa.binary())
+            places = np.repeat(np.arange(len(digests)), times)
+            return (pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(own, np.int32)),
+                    pa.array(digests, pa.binary()).take(pa.array(places, pa.int64())))
 
         for digest, plain in _different(batch, least_chars).items():
             found = line_keys(plain, edits)
             keys += found
-            own += map(int, found.values())
-            digests += [digest] * len(found)
+            own += found.values()
+            digests.append(digest)
+            times.append(len(found))
             if len(keys) > 200_000:
                 yield rows()
-                keys, own, digests = [], [], []
+                keys, own, digests, times = [], [], [], []
         yield rows()
 
     return by_batches(narrowed(docs), work, "key long, own int, digest binary")
@@ -150,14 +164,16 @@ def _shared_keys(batches):
         if not batch.num_rows:
             continue
         key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        digest = batch.column(2).to_pylist()
         out = []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        stops = np.r_[starts[1:], len(key)]
-        busy = (stops - starts > 1) & (own[starts] > 0)
+        sizes = np.diff(np.r_[starts, len(key)])
+        busy = (sizes > 1) & (own[starts] > 0)
         busy[0] |= open_key is not None and key[0] == open_key
         busy[-1] = True
-        for at, to in zip(starts[busy], stops[busy]):
+        some = np.repeat(busy, sizes)
+        key, own, digest = key[some], own[some], batch.column(2).filter(pa.array(some)).to_pylist()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for at, to in zip(starts, np.r_[starts[1:], len(key)]):
             if key[at] != open_key:
                 open_key, open_row, live = key[at], None, False
                 if not own[at]:
