@@ -1,6 +1,10 @@
 """Nulls, empty texts, repeated rows and columns with clashing names."""
 
-from vestigo.llm import bpe, exact_dedup, licences, mixing, passages, queries, simhash, token_counts
+import random
+
+import pyarrow as pa
+
+from vestigo.llm import bpe, exact_dedup, licences, line_dedup, mixing, passages, queries, simhash, token_counts
 from pyspark.sql import functions as F
 
 ROWS = [(1, "A b c d e", "s", 1, "x"), (2, "a B c d e", None, 2, "y"), (3, None, "s", None, None), (4, "", None, 4, "z"),
@@ -34,3 +38,17 @@ def test_licence_forms():
     assert licences.canonical(b"non infringement v v percent") == b"noninfringement version version per cent"
     assert licences.canonical(b"the copyright holder, copyright holders") == b"the copyright owner copyright owners"
     assert licences.canonical("... café -- ...".encode()) == "café".encode() and licences.canonical(b"?! \n") == b""
+
+
+def test_shared_keys_over_batches():
+    draw = random.Random(5)
+    for size in (1, 2, 3, 7, 500):
+        rows = [(draw.randrange(40), draw.randrange(4) - 2 ** 63 * (draw.random() < 0.3)) for _ in range(120)] + [(3, 1)] * 4
+        rows.sort()
+        groups = {}
+        for key, line in rows:
+            groups.setdefault(key, set()).add(line)
+        want = [(k, x) for k, found in sorted(groups.items()) if len(found) > 1 and min(found) < 0 for x in sorted(found)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at:at + size])], ["key", "line"])
+                   for at in range(0, len(rows), size)] + [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["key", "line"])]
+        assert [tuple(r.values()) for b in line_dedup._shared_keys(batches) for r in b.to_pylist()] == want

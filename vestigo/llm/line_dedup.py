@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import by_batches, frugal, narrowed, parts, whole_groups
+from vestigo.llm.common import by_batches, frugal, longs, narrowed, parts, whole_groups
 from vestigo.llm.components import components
 from vestigo.sources.tables import written
 
@@ -126,74 +126,68 @@ def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     return by_batches(narrowed(docs), work, "doc_id long, line long, begin long, stop long, digest binary")
 
 
-def _different(batch, least_chars: int) -> dict[bytes, str]:
-    return {hashlib.md5(p.encode()).digest(): p for t in batch.column(1) for _, _, _, p in _lines(t.as_py(), least_chars)}
+def _different(batch, least_chars: int) -> set[str]:
+    return {plain for text in batch.column(1) for _, _, _, plain in _lines(text.as_py(), least_chars)}
+
+
+def number(line: str) -> int:
+    """63 bits of a line's hash. Lines of one number meet as candidates together: it never takes a line's place in a result."""
+    return xxhash.xxh64_intdigest(line) >> 1
 
 
 def keyed_lines(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
-    """(key, own, digest): the keys of every line, equal lines of an Arrow batch once."""
+    """(key, line): the keys of every line, equal lines of a part of a batch once. ``line`` is the line's number, made
+    negative by its highest bit where the key is that of an own segment."""
     def work(batch):
-        keys, own, digests, times = [], [], [], []
+        keys, own, lines, times = [], [], [], []
 
         def rows():
-            places = np.repeat(np.arange(len(digests)), times)
-            return (pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(own, np.int32)),
-                    pa.array(digests, pa.binary()).take(pa.array(places, pa.int64())))
+            line = np.repeat(np.array(lines, np.uint64), times) | np.array(own, np.uint64) << np.uint64(63)
+            return np.array(keys, np.uint64).view(np.int64), line.view(np.int64)
 
-        for digest, plain in _different(batch, least_chars).items():
+        for plain in _different(batch, least_chars):
             found = line_keys(plain, edits)
             keys += found
             own += found.values()
-            digests.append(digest)
+            lines.append(number(plain))
             times.append(len(found))
             if len(keys) > 200_000:
                 yield rows()
-                keys, own, digests, times = [], [], [], []
+                keys, own, lines, times = [], [], [], []
         yield rows()
 
-    return by_batches(narrowed(docs), work, "key long, own int, digest binary")
+    return by_batches(narrowed(docs), work, "key long, line long")
 
 
 def _shared_keys(batches):
-    """Rows of the keys under which a line's segment meets another line, from rows sorted by key, own lines first.
+    """Rows of the keys under which a line's segment meets another line, each once, from rows sorted by key and line.
 
-    Only the last row of a key is held from batch to batch, so a key's rows may be any number.
+    Own segments are negative, so they come first: a key without them starts with another row. Only the last row of a
+    key is held from batch to batch, so a key's rows may be any number.
     """
-    open_key, open_row, live = None, None, False  # key going on, its one row not yet passed on, whether it is passed on
+    last, held, live = None, None, False  # the last row; whether it waits for a second of its key; whether its key is passed on
     for batch in batches:
-        if not batch.num_rows:
+        key, line = longs(batch.column(0)), longs(batch.column(1))
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])][:len(key)]
+        if len(key) and last == (key[0], line[0]):
+            fresh[0] = False
+        key, line = key[fresh], line[fresh]
+        if not len(key):
             continue
-        key, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out = []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        busy = (sizes > 1) & (own[starts] > 0)
-        busy[0] |= open_key is not None and key[0] == open_key
-        busy[-1] = True
-        some = np.repeat(busy, sizes)
-        key, own, digest = key[some], own[some], batch.column(2).filter(pa.array(some)).to_pylist()
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for at, to in zip(starts, np.r_[starts[1:], len(key)]):
-            if key[at] != open_key:
-                open_key, open_row, live = key[at], None, False
-                if not own[at]:
-                    continue
-                open_row = (key[at], own[at], digest[at])
-                last, at = digest[at], at + 1
-            elif open_row is None and not live:
-                continue
-            else:
-                last = None
-            for i in range(at, to):
-                if digest[i] == last or open_row is not None and digest[i] == open_row[2]:
-                    continue
-                if open_row is not None:
-                    out.append(open_row)
-                    open_row, live = None, True
-                out.append((key[i], own[i], digest[i]))
-                last = digest[i]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in
-                                          enumerate((pa.int64(), pa.int32(), pa.binary()))], ["key", "own", "digest"])
+        wanted = (sizes > 1) & (line[starts] < 0)
+        goes_on = last is not None and last[0] == key[0]
+        waits = (sizes[-1] == 1 and line[-1] < 0)
+        if goes_on:
+            wanted[0] = live or held
+            waits &= len(starts) > 1
+        some = np.repeat(wanted, sizes)
+        out = key[some], line[some]
+        if goes_on and held:
+            out = np.r_[last[0], out[0]], np.r_[last[1], out[1]]
+        last, held, live = (key[-1], line[-1]), bool(waits), bool(wanted[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["key", "line"])
 
 
 def _compare(batches, edits: int):
@@ -231,27 +225,31 @@ def _compare(batches, edits: int):
 
 def line_links(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, block: int = BLOCK) -> DataFrame:
     """(a, b) digests of different lines: links that connect exactly the lines connected by pairs within ``edits``."""
-    shared = written(whole_groups(keyed_lines(docs, edits, least_chars), ["key"], ["own desc", "digest"])
-                     .mapInArrow(frugal(_shared_keys), "key long, own int, digest binary"), "shared")
-    wanted = written(shared.select("digest").distinct(), "wanted")
+    shared = (written(whole_groups(keyed_lines(docs, edits, least_chars), ["key"], ["line"])
+                      .mapInArrow(frugal(_shared_keys), "key long, line long"), "shared")
+              .select("key", F.expr("line < 0").alias("own"), F.expr(f"line & {2 ** 63 - 1}L").alias("line")))
+    wanted = shared.select("line").distinct()
 
     def work(batch):
-        found = _different(batch, least_chars)
-        yield pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())
-
-    texts = (by_batches(narrowed(docs), work, "digest binary, body string").join(wanted, "digest", "left_semi")
-             .groupBy("digest").agg(F.first("body").alias("body")))
-    members = shared.select(F.col("key").alias("cell"), F.lit(-1).alias("side"), "own", "digest")
+        found = list(_different(batch, least_chars))
+        yield (np.array([number(p) for p in found], np.int64),
+               pa.array([hashlib.md5(p.encode()).digest() for p in found], pa.binary()), pa.array(found, pa.string()))
+
+    # Both sides grow with the texts: neither is broadcast at any size.
+    texts = (by_batches(narrowed(docs), work, "line long, digest binary, body string")
+             .join(wanted.hint("shuffle_hash"), "line", "left_semi")
+             .groupBy("line", "digest").agg(F.first("body").alias("body")))
+    members = shared.select(F.col("key").alias("cell"), F.lit(-1).alias("side"), "own", "line")
     large = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "large")
     if not large.isEmpty():
         parts = F.ceil(F.col("n") / block).cast("int")
-        mine = F.pmod(F.xxhash64("digest"), parts.cast("long")).cast("int")
+        mine = F.pmod(F.xxhash64("line"), parts.cast("long")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         split = (shared.join(large, "key").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
                  .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
-                         F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"), "own", "digest"))
+                         F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")).alias("side"), "own", "line"))
         members = members.join(large.withColumnRenamed("key", "cell"), "cell", "left_anti").unionByName(split)
-    rows = members.join(written(texts, "texts"), "digest").select("cell", "own", "side", "digest", "body")
+    rows = members.join(texts.hint("merge"), "line").select("cell", "own", "side", "digest", "body")
     return whole_groups(rows, ["cell"], ["digest"]).mapInArrow(frugal(lambda b: _compare(b, edits)), "a binary, b binary").distinct()
 
 
@@ -268,11 +266,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_C
     classes = written(components(line_links(docs, edits, least_chars, block), "a", "b"), "classes")
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("line").alias("line"))
     by_text = rows.groupBy("digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
-    by_class = written(by_text.join(classes.withColumnRenamed("node", "digest"), "digest", "left")
-                       .withColumn("component", F.coalesce("component", "digest")), "places")
-    firsts = by_class.groupBy("component").agg(F.min("place").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    known = written(by_class.join(firsts.drop("n"), "component").select("digest", "first"), "firsts")
-    joined = rows.join(known, "digest", "left")
+    places = written(by_text.join(classes.withColumnRenamed("node", "digest").hint("merge"), "digest", "left"), "places")
+    linked = places.filter("component is not null")
+    firsts = linked.groupBy("component").agg(F.min("place").alias("first"))
+    known = (linked.join(firsts.hint("merge"), "component").select("digest", "first")
+             .unionByName(places.filter("component is null and n > 1").select("digest", F.col("place").alias("first"))))
+    joined = rows.join(known.hint("merge"), "digest", "left")
     first = F.coalesce("first", place)
     return joined.select("doc_id", "line", "begin", "stop", first["doc_id"].alias("first_doc_id"), first["line"].alias("first_line"),
                          (first == place).alias("kept"))
