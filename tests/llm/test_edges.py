@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 
+import corpus_pipeline
 from vestigo.llm import bpe, exact_dedup, licences, line_dedup, mixing, passages, queries, simhash, token_counts
 from pyspark.sql import functions as F
 
@@ -52,3 +53,15 @@ def test_shared_keys_over_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at:at + size])], ["key", "line"])
                    for at in range(0, len(rows), size)] + [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["key", "line"])]
         assert [tuple(r.values()) for b in line_dedup._shared_keys(batches) for r in b.to_pylist()] == want
+
+
+def test_short_lines_repeat_by_exact_copies(spark):
+    long = "these words make up one line of text"
+    docs = spark.createDataFrame([(1, "Les.\nOn.\n \n" + long), (2, "les.\nan.\n" + long + "s"), (3, " LES. \nOn.\nnt onor. the of it.\n"),
+                                  (4, "Nt  onor. The of it.\nnt onor. the of it")], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["line"]): (r["first_doc_id"], r["first_line"], r["kept"]) for r in line_dedup.line_classes(docs).collect()}
+    assert found == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (1, 3): (1, 3, True), (2, 0): (1, 0, False), (2, 1): (2, 1, True),
+                     (2, 2): (1, 3, False), (3, 0): (1, 0, False), (3, 1): (1, 1, False), (3, 2): (3, 2, True),
+                     (4, 0): (3, 2, False), (4, 1): (4, 1, True)}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert left == {1: "Les.\nOn.\n \n" + long, 2: "an.", 3: "nt onor. the of it.\n", 4: "nt onor. the of it"}

@@ -22,7 +22,7 @@ from vestigo.llm.components import components
 from vestigo.sources.tables import written
 
 EDITS = 2
-#: Lines with fewer characters are left alone: two edits would join lines that say different things.
+#: Lines with fewer characters repeat by exact copies only: two edits would join lines that say different things.
 LEAST_CHARS = 20
 #: Lines of one key compared in one task; the lines of a larger key are compared block by block in several.
 BLOCK = 512
@@ -113,12 +113,12 @@ def _lines(text: str, least_chars: int):
         at += len(line) + 1
 
 
-def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line, begin, stop, digest binary) of every line that takes part."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, begin, stop, digest binary) of every line with a word."""
     def work(batch):
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for k, begin, stop, plain in _lines(text.as_py(), least_chars):
+            for k, begin, stop, plain in _lines(text.as_py(), 1):
                 rows.append((i, k, begin, stop, hashlib.md5(plain.encode()).digest()))
         columns = list(zip(*rows)) if rows else [()] * 5
         yield [pa.array(list(c), pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(columns)]
@@ -254,15 +254,16 @@ def line_links(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, line, begin, stop, first_doc_id, first_line, kept) of every line of ``least_chars`` characters or more.
+    """(doc_id, line, begin, stop, first_doc_id, first_line, kept) of every line with a word.
 
-    Lines are compared in ASCII lower case with single blanks between words. Lines connected by steps of at most
-    ``edits`` edits are one class; its occurrence with the smallest (doc_id, line) stays. Offsets are characters of the
-    original text. Shorter lines, null and empty texts give no rows; rows without an id are left out. Repeated ids:
-    lines of one (doc_id, line) share their place, and all occurrences at the first place stay.
+    Lines are compared in ASCII lower case with single blanks between words. Lines of ``least_chars`` characters or more
+    that are connected by steps of at most ``edits`` edits are one class; shorter lines are one class when they are
+    equal. A class's occurrence with the smallest (doc_id, line) stays. Offsets are characters of the original text.
+    Lines of blanks, null and empty texts give no rows; rows without an id are left out. Repeated ids: lines of one
+    (doc_id, line) share their place, and all occurrences at the first place stay.
     """
     docs = docs.filter("doc_id is not null")
-    rows = written(occurrences(docs, least_chars), "lines")
+    rows = written(occurrences(docs), "lines")
     classes = written(components(line_links(docs, edits, least_chars, block), "a", "b"), "classes")
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("line").alias("line"))
     by_text = rows.groupBy("digest").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
