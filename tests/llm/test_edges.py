@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pyarrow as pa
 
 import corpus_pipeline
@@ -65,3 +66,19 @@ def test_short_lines_repeat_by_exact_copies(spark):
                      (4, 0): (3, 2, False), (4, 1): (4, 1, True)}
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
     assert left == {1: "Les.\nOn.\n \n" + long, 2: "an.", 3: "nt onor. the of it.\n", 4: "nt onor. the of it"}
+
+
+def test_full_licence_texts(spark, tmp_path):
+    """Whole texts and file headers are known, in other case, with marks before each line; Spark and SQL agree on them."""
+    names = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0")
+    texts = [(n, t) for n, _, t in licences.KNOWN if len(t) > 600]
+    assert {n for n, _ in texts} >= {*names, "MIT", "ISC"}
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [
+        (100 + i, "\r\n".join(x if "opyright" in x else f"## {x.upper()}" for x in t.split("\n"))) for i, (_, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in licences.licence_scan(docs, licences.known_digests(spark)).collect())
+    assert [(i, n) for i, unit, n, _ in got if unit == 0] == [(k + i, n) for k in (0, 100) for i, (n, _) in enumerate(texts)]
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert sorted(con.execute(queries.SQL["op10_licences"]).fetchall()) == got

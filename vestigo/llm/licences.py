@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,10 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("CC-BY-ND-4.0", True, "Licensed under CC BY-ND 4.0."),
 )
 
+#: Full texts and file headers, a file each, named LICENCE~FORM.txt; all of them let others use the text commercially.
+KNOWN += tuple((f.name.split("~")[0], True, f.read_text("utf-8")) for f in sorted(
+    resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
+
 #: Spellings that count as the same, after punctuation has become blanks.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"),
              ("merchantibility", "merchantability"), ("noninfringment", "noninfringement"), ("non infringement", "noninfringement"),
