@@ -15,17 +15,30 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.train(rows))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a written table with a unique number ``_row`` that rises with the id; rows without an id come last."""
+    order = F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few large tasks are not made of them
+    spread = docs.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return written(spread.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one; each document stays, even when no line is left."""
-    removed = line_dedup.line_classes(docs).filter("not kept").select("doc_id", "line")
-    return line_dedup.without_lines(docs, removed)
+    """Documents without the lines that repeat an earlier one; each document stays, even when no line is left.
+
+    Rows are told apart by number, so that null and repeated ids are documents like any other.
+    """
+    rows = numbered(docs)
+    found = line_dedup.line_classes(rows.select(F.col("_row").alias("doc_id"), "text"))
+    return line_dedup.without_lines(rows, found.filter("not kept").select("doc_id", "line"), "_row").drop("_row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    gone = simhash.simhash_components(docs).filter("component is not null and not doc_id <=> component")
-    names = written(gone.select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(names, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The document with the smallest id of each group of near copies; one row of it when ids are null or repeated."""
+    rows = numbered(docs)
+    found = simhash.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    gone = written(found.filter("component <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

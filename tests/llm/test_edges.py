@@ -82,3 +82,20 @@ def test_full_licence_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
     assert sorted(con.execute(queries.SQL["op10_licences"]).fetchall()) == got
+
+
+def test_stages_on_null_and_repeated_ids(spark):
+    draw = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(40)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, a.upper()), (3, e), (3, e)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [(1, a), (None, b), (None, c), (2, d), (3, e)]))
+    lines = ["this line stands in several rows", "a second line of some other words", "and a third one that is unlike both"]
+    rows = [(1, lines[0]), (2, lines[0] + "\nOwn."), (2, lines[1] + "\nElse."), (None, lines[1] + "\nLast of all."), (None, lines[2]), (None, lines[2]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = corpus_pipeline.drop_lines(spark, docs, "")
+    assert left.columns == docs.columns
+    want = [(1, lines[0]), (2, "Own."), (2, lines[1] + "\nElse."), (None, "Last of all."), (None, lines[2]), (None, ""), (None, None)]
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want))

@@ -278,11 +278,14 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_C
                          (first == place).alias("kept"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` without the lines (doc_id, line) of ``removed``; other documents are unchanged, n_chars is kept in step."""
+def without_lines(docs: DataFrame, removed: DataFrame, id: str = "doc_id") -> DataFrame:
+    """``docs`` without the lines (doc_id, line) of ``removed``; other documents are unchanged, n_chars is kept in step.
+
+    ``id`` is the column of ``docs`` that ``removed`` names as doc_id; a line goes from every row of its id.
+    """
     gone = removed.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
     names = docs.columns
-    joined = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
+    joined = docs.join(gone, F.col(id) == F.col("_gone_id"), "left")
     at = names.index("text")
 
     def run(batches):
