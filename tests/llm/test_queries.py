@@ -9,7 +9,7 @@ import xxhash
 
 import corpus_pipeline
 from tests.check_queries import database, difference
-from vestigo.llm import line_dedup, queries, quality, simhash
+from vestigo.llm import components, line_dedup, queries, quality, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -61,6 +61,38 @@ def test_simhash(spark, texts):
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in texts}
 
 
+def brute_components(prints):
+    """Least document reachable over all pairs of fingerprints that differ in four bits or fewer."""
+    values, first = np.unique(np.array(list(prints.values()), np.uint64), return_inverse=True)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
+    least = np.full(len(values), 2 ** 62)
+    np.minimum.at(least, first, np.array(list(prints), np.int64))
+    while True:
+        spread = np.array([least[row].min() for row in near])
+        if (spread == least).all():
+            return dict(zip(prints, least[first].tolist()))
+        least = spread
+
+
+def test_simhash_links_across_the_highest_bit(spark):
+    folder = FOLDER.replace("0.001", "0.01")
+    rows = queries.op1_simhash(spark, folder).collect()
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
+    assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(prints)
+
+
+@pytest.mark.parametrize("bucket", [2048, 8])
+def test_simhash_planted_bits(spark, bucket):
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 2 ** 64, 40, np.uint64, endpoint=False)
+    flips = [sum(1 << int(b) for b in draw.choice(64, n, replace=False)) for n in draw.integers(0, 7, 240)]
+    values = [1, 2 ** 63, 2 ** 63 + 1, 2 ** 64 - 1, 0] + [int(base[i % 40]) ^ f ^ ((i % 2) << 63) for i, f in enumerate(flips)]
+    nodes = {v: k for k, v in reversed(list(enumerate(values)))}
+    frame = spark.createDataFrame([(v - (v >> 63 << 64), k) for v, k in nodes.items()], "fp long, node long")
+    found = dict(map(tuple, components.components(simhash.near_links(frame, 4, bucket), "a", "b").collect()))
+    assert {k: found.get(k, k) for k in nodes.values()} == brute_components({k: v for v, k in nodes.items()})
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -75,7 +107,7 @@ def plain_lines(texts):
     for i, text in sorted(texts.items()):
         for k, line in enumerate(text.split("\n")):
             plain = " ".join(line.encode().lower().decode().split())
-            if len(plain) >= line_dedup.LEAST_CHARS:
+            if plain:
                 places[plain].append((i, k))
     return places
 
@@ -86,6 +118,8 @@ def plain_firsts(places):
         by_length[len(line)].append(line)
 
     def near(a, b):
+        if min(len(a), len(b)) < line_dedup.LEAST_CHARS:
+            return a == b
         return abs(len(a) - len(b)) <= 2 and (sum(x != y for x, y in zip(a, b)) <= 2 and len(a) == len(b) or
                                               a[:len(a) // 3] == b[:len(a) // 3] or a[-(len(a) // 3):] == b[-(len(a) // 3):]
                                               or a[10:15] in b) and edits(a, b) <= 2

@@ -80,6 +80,7 @@ def _tables(rows: DataFrame, radius: int, level: int, *within: str) -> DataFrame
 
 def forest(values: np.ndarray, radius: int) -> np.ndarray:
     """For every value the place of the first value it is connected to by steps within the radius."""
+    values = values.view(np.uint64)  # numpy counts the bits of a negative number's absolute value
     root = np.full(len(values), -1)
     for start in range(len(values)):
         if root[start] >= 0:
@@ -103,7 +104,7 @@ def _bucket_links(batches, radius: int):
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
         sizes = np.diff(np.r_[starts, len(bucket)])
         two = starts[sizes == 2]
-        close = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        close = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius]
         a, b = [node[close + 1]], [node[close]]
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
             root = forest(fp[at:at + n], radius)
