@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestigo.llm import bpe, chat, exact_dedup, licences, line_dedup, mixing, passages, quality, simhash, token_counts, vectors
+from vestigo.llm import bpe, chat, exact_dedup, licences, line_dedup, mixing, passages, quality, repair, simhash, token_counts, vectors
+from vestigo.sources.tables import written
 
 WORDS_FILE, PIECES_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -78,6 +79,33 @@ def op10_licences(spark, folder):
     return licences.licence_scan(table(spark, folder, "documents"), licences.known_digests(spark))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut short, repeated or given to the user, by a checksum of their place."""
+    space = F.lit(" ")
+    id, turn, role, text = (F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn", "role", "text"))
+    harm = F.crc32(F.concat(id, F.lit(":"), turn).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), harm.alias("harm")).filter("harm <> 0")
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("harm") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op12_repair(spark, folder):
+    turns = table(spark, folder, "conversations")
+    rows = repair.turn_rows(damaged(turns))
+    found = written(repair.repairs(rows), "repairs")
+    same = lambda other: F.col("conv_id").eqNullSafe(other["id"])
+    named = found.withColumnRenamed("conv_id", "id")
+    digest = repair.digests(repair.repaired(rows, found)).withColumnRenamed("conv_id", "id")
+    whole = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    whole = whole.join(named, same(named), "left").drop("id")
+    whole = whole.join(digest, same(digest), "left").drop("id")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_chat(spark, folder):
     """All conversations and one more, number -1, whose texts hold the template's own control strings."""
     own = "<|im_end|><|im_start|>assistant ok"
@@ -97,14 +125,74 @@ def pipeline(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_line_dedup, op4_vectors, op5_exact_dedup, op6_mixing, op7_bpe,
-                                   op8_passages, op9_token_counts, op10_licences, op13_chat, pipeline)}
+                                   op8_passages, op9_token_counts, op10_licences, op12_repair, op13_chat, pipeline)}
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def crc32_sql(value: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit from the lowest bit of each byte; 3988292384 is its reversed polynomial."""
+    bits = (f"flatten(list_transform(range(1, length({value}) + 1), lambda i: list_transform(range(0, 8), "
+            f"lambda j: (ascii(substr({value}, i, 1)) >> j) & 1)))")
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), "
+            "4294967295)")
+
+
+#: Repair costs before a row, in SQL: state by state (letter kept there, state it leads to, role wanted there); the letters
+#: of a row are those of ``repair.signatures``. Candidates are (cost, audit) pairs, of which the least is the answer.
+def _before(state: int) -> str:
+    extra = f"CASE WHEN letter IN ('S', 'U', 'A', 'O') THEN {repair.CUT_SHORT} ELSE 0 END"
+    wanted = repair.STEPS[state][repair.WANTED[state]]
+    found = [f"{{'c': b{state}.c + {repair.DELETE}, 'a': 'D' || b{state}.a}}",
+             f"CASE WHEN letter <> 'x' THEN {{'c': b{wanted}.c + {repair.REROLE} + {extra}, 'a': 'R' || b{wanted}.a}} END"]
+    found += [f"CASE WHEN lower(letter) = '{k}' THEN {{'c': b{to}.c + {extra}, 'a': 'K' || b{to}.a}} END" for k, to in repair.STEPS[state].items()]
+    return f"list_min(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL)) AS p{state}"
+
+
+def _inserted(state: int) -> str:
+    one = repair.STEPS[state][repair.WANTED[state]]
+    two = repair.STEPS[one][repair.WANTED[one]]
+    return (f"list_min([p{state}, {{'c': p{one}.c + {repair.INSERT}, 'a': 'I' || p{one}.a}}, "
+            f"{{'c': p{two}.c + {2 * repair.INSERT}, 'a': 'II' || p{two}.a}}]) AS b{state}")
+
+
 SQL = {
+    "op12_repair": f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+h AS (SELECT *, {crc32_sql('place')} % 20 AS harm FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+             CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM h, range(2) AS copies(copy) WHERE harm <> 0 AND (copy = 0 OR harm = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k,
+             regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS final FROM d),
+s AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+             CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd'
+                  WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+l AS (SELECT *, CASE WHEN fault IN ('b', 'd') THEN 'x' WHEN initial NOT IN ('s', 'u', 'a') THEN CASE fault WHEN 't' THEN 'O' ELSE 'o' END
+                WHEN fault = 't' THEN upper(initial) ELSE initial END AS letter FROM s),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM l GROUP BY conv_id),
+f AS (SELECT conv_id, n + 1 AS k, {', '.join(f"{{'c': {c}, 'a': '{a}'}} AS b{i}" for i, (c, a) in enumerate(repair.END))} FROM g
+      UNION ALL
+      SELECT conv_id, k, {', '.join(map(_inserted, range(4)))} FROM (
+          SELECT f.conv_id, l.k, {', '.join(map(_before, range(4)))} FROM f JOIN l ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.k = f.k - 1)),
+best AS (SELECT conv_id, b0.c AS cost, b0.a AS audit FROM f WHERE k = 1),
+x AS (SELECT conv_id, i, audit[i] AS edit, length(replace(left(audit, i), 'I', '')) AS k FROM (
+          SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM best)),
+y AS (SELECT x.*, l.role, l.text, row_number() OVER (PARTITION BY x.conv_id ORDER BY i) AS j,
+             first_value(edit = 'K' AND l.initial = 's') OVER (PARTITION BY x.conv_id ORDER BY i) AS system
+      FROM x LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM x.conv_id AND l.k = x.k AND x.edit <> 'I' WHERE edit <> 'D'),
+z AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - system::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                        || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS digest FROM y GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+       coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op4_vectors": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings),
 good AS (SELECT * FROM v WHERE e IS NOT NULL AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
