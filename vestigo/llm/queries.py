@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestigo.llm import bpe, chat, exact_dedup, licences, line_dedup, mixing, passages, quality, repair, simhash, token_counts, vectors
+from vestigo.llm import bpe, chat, exact_dedup, licences, line_dedup, mixing, passages, prefix_trie, quality, repair, simhash, token_counts, vectors
 from vestigo.sources.tables import written
 
 WORDS_FILE, PIECES_FILE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -79,6 +79,29 @@ def op10_licences(spark, folder):
     return licences.licence_scan(table(spark, folder, "documents"), licences.known_digests(spark))
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """(conv_id, k, code): each conversation's turns after the first h are its own, those before are of the conversation whose
+    id is the last multiple of five; h is a checksum of the id. One more row without a code stands for each conversation."""
+    role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
+    rows = turns.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                                                      prefix_trie.turn_code(role, text).alias("code"))
+    k = F.expr("cast(row_number() over (partition by conv_id order by turn nulls first, code) - 1 as long)").alias("k")
+    placed = rows.select("conv_id", k, "code")
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    lender = F.col("conv_id") - F.col("conv_id") % 5
+    members = rows.select("conv_id").distinct()
+    lent = placed.filter((F.col("conv_id") == lender) & (F.col("k") < 8)).select(F.col("conv_id").alias("from"), "k", "code")
+    borrowed = members.filter(F.col("conv_id") != lender).withColumns({"from": lender, "h": taken}).join(lent, "from").filter("k < h")
+    own = placed.filter((F.col("conv_id") == lender) | (F.col("k") >= taken))
+    none = members.select("conv_id", F.lit(-1).cast("long").alias("k"), F.lit(None).cast("binary").alias("code"))
+    return own.unionByName(borrowed.select("conv_id", "k", "code")).unionByName(none)
+
+
+def op11_prefix_trie(spark, folder):
+    found = prefix_trie.prefix_nodes(rebuilt(table(spark, folder, "conversations")))
+    return found.withColumnsRenamed({"saved": "saved_tokens", "ends": "ends_sha256"})
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations with turns dropped, emptied, cut short, repeated or given to the user, by a checksum of their place."""
     space = F.lit(" ")
@@ -125,7 +148,7 @@ def pipeline(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_line_dedup, op4_vectors, op5_exact_dedup, op6_mixing, op7_bpe,
-                                   op8_passages, op9_token_counts, op10_licences, op12_repair, op13_chat, pipeline)}
+                                   op8_passages, op9_token_counts, op10_licences, op11_prefix_trie, op12_repair, op13_chat, pipeline)}
 
 
 def _text(value: str) -> str:
@@ -159,6 +182,26 @@ def _inserted(state: int) -> str:
 
 
 SQL = {
+    "op11_prefix_trie": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, conv_id::VARCHAR AS id FROM conversations
+           WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS k FROM t),
+c AS (SELECT conv_id, {crc32_sql('id')} % 9 AS h FROM (SELECT DISTINCT conv_id, id FROM t)),
+r AS (SELECT c.conv_id, k, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND k < h
+      UNION ALL SELECT c.conv_id, k, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND k >= h),
+p AS (SELECT conv_id, row_number() OVER whole AS depth, md5(string_agg(md5(role) || md5(text), '') OVER whole) AS node, strlen(text) AS size
+      FROM r WINDOW whole AS (PARTITION BY conv_id ORDER BY k)),
+m AS (SELECT conv_id, depth, node, size, max(depth) OVER (PARTITION BY conv_id) AS length FROM p
+      UNION ALL SELECT conv_id, 0, '', 0, coalesce(n, 0) FROM c LEFT JOIN (SELECT conv_id, count(*) AS n FROM p GROUP BY conv_id) USING (conv_id)),
+n AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(size) AS size, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends FROM m GROUP BY node),
+e AS (SELECT n.*, above.node AS above FROM n LEFT JOIN m above ON above.conv_id = n.conv_id AND above.depth = n.depth - 1),
+f AS (SELECT above, count(*) AS fan FROM e GROUP BY above),
+s AS (SELECT up.node, count(*) FILTER (f.fan IS NULL) AS n_leaves, sum((e.n_convs - 1) * e.size)::BIGINT AS saved
+      FROM e JOIN m up ON up.conv_id = e.conv_id AND up.depth <= e.depth LEFT JOIN f ON f.above = e.node GROUP BY up.node)
+SELECT e.conv_id, e.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, e.n_convs, coalesce(fan, 0) AS n_children, n_leaves,
+       saved AS saved_tokens, e.ends AS ends_sha256
+FROM e JOIN s USING (node) LEFT JOIN n parent ON parent.node = e.above LEFT JOIN f ON f.above = e.node""",
     "op12_repair": f"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
