@@ -9,7 +9,7 @@ from vestigo.operators import refresh, search, terms
 from vestigo.operators.features import pipeline
 from vestigo.operators.ranking import ids, keep
 from vestigo.plans.tables import documents, table
-from vestigo.sources import tables
+from vestigo.sources import segments, tables
 from vestigo.sources.readers import queries_from, read_descriptions
 
 # English function words, a fixed list.
@@ -130,12 +130,29 @@ def _earlier(spark, folder):
 
 
 def refresh_saved(spark, folder):
-    old, new = (tables.fresh_path(spark, "index") for _ in range(2))
-    tables.save_index(_earlier(spark, folder), old, buckets=BUCKETS)
-    index = tables.refresh_index(old, _docs(spark, folder), new)
+    index = _segments(spark, folder)[0]
     return index.docs.select("doc_id", "length", F.round("norm", 6).alias("norm"))
 
 
+def _segments(spark, folder):
+    """An index of the collection's earlier state, brought up to date by one segment; and its folder."""
+    path = tables.fresh_path(spark, "segments")
+    segments.create(_earlier(spark, folder), path, buckets=BUCKETS)
+    return segments.refresh(_docs(spark, folder), path), path
+
+
+def refresh_search(spark, folder):
+    """Search of an index in two segments."""
+    query = search.query_terms(_one_query(spark, folder))
+    return search.search_postings(tables.only_terms(_segments(spark, folder)[0], query).postings, query, K)
+
+
+def refresh_merged(spark, folder):
+    """Term weights after the segments were merged into one."""
+    index = segments.compact(spark, _segments(spark, folder)[1], 0)
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def refresh_changes(spark, folder):
     stored = refresh.content_hashes(_earlier(spark, folder))
     docs = _docs(spark, folder)
@@ -218,6 +235,8 @@ QUERIES = {
     "stop_word_table": stop_word_table,
     "index_refresh": index_refresh,
     "refresh_saved": refresh_saved,
+    "refresh_search": refresh_search,
+    "refresh_merged": refresh_merged,
     "refresh_changes": refresh_changes,
     "filter_predicate": filter_predicate,
     "query_source": query_source,
@@ -297,6 +316,8 @@ SELECT * FROM ranked WHERE rank <= {K}""",
     "stop_word_table": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM postings WHERE term NOT IN ({_WORDS})",
     "index_refresh": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM postings",
     "refresh_saved": _INDEX_DOCS,
+    "refresh_search": _COUNT_SEARCH,
+    "refresh_merged": f"WITH {POSTINGS}{_IDF} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "refresh_changes": """SELECT doc_id, 'index' AS action FROM documents
 WHERE lang = 'de' OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
 UNION ALL
