@@ -3,11 +3,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vestigo.functions.vectors import METRICS, distance, histogram_string
-from vestigo.operators import crossmodal, features, fusion, models, search
+from vestigo.operators import crossmodal, features, fusion, models, moments, search
 from vestigo.operators.distances import feature_distance, nearest
 from vestigo.operators.ranking import top_k
 
@@ -277,6 +278,58 @@ def test_correlation_equals_numpy(spark):
     assert back.filter("query_id = id").count() > 60
 
 
+def wide_pairs(spark, n=160, p=2048, q=2048, noise=0.0):
+    rng = np.random.default_rng(3)
+    hidden = rng.normal(size=(n, 6))
+    text = np.hstack([hidden, rng.normal(size=(n, 14))]) @ rng.normal(size=(20, p)) + 5 + noise * rng.normal(size=(n, p))
+    image = np.hstack([hidden * [9, 5, 3, 2, 1, .5] + rng.normal(size=(n, 6)), rng.normal(size=(n, 10))]) @ rng.normal(size=(16, q)) + noise * rng.normal(size=(n, q))
+    flat = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+    return text, image, spark.createDataFrame(pa.table({"text_vector": flat(text), "image_vector": flat(image)})).repartition(4)
+
+
+def test_wide_correlation_equals_the_dense_solver(spark):
+    text, image, pairs = wide_pairs(spark)
+    model = crossmodal.fit_correlation(pairs, components=6, rank=32)
+    a, b = text - text.mean(0), image - image.mean(0)
+    n = len(a) - 1
+    wt, wi, rho = crossmodal.solve_correlation(a.T @ a / n, b.T @ b / n, a.T @ b / n, 1e-3)
+    np.testing.assert_allclose(model.correlations, rho[:6], atol=1e-6)
+    np.testing.assert_allclose(model.text_weights, wt[:, :6], atol=1e-6)
+    np.testing.assert_allclose(model.image_weights, wi[:, :6], atol=1e-6)
+    np.testing.assert_allclose(model.text_mean, text.mean(0), atol=1e-9)
+
+
+def test_wide_correlation_grows_its_rank_or_raises(spark):
+    text, image, pairs = wide_pairs(spark, 60, 40, 30, 0.01)
+    model = crossmodal.fit_correlation(pairs, components=4, max_view=50, rank=4)
+    dense = crossmodal.fit_correlation(pairs, components=4)
+    np.testing.assert_allclose(model.correlations, dense.correlations, atol=0.02)
+    with pytest.raises(ValueError, match="of the views' variance"):
+        crossmodal.fit_correlation(pairs, max_view=16, rank=4)
+
+
+@pytest.mark.parametrize("partitions, shuffle", [(1, "1"), (7, "300"), (40, "8")])
+def test_moments_by_levels(spark, partitions, shuffle):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 5)) + 1e6
+    rows = [([float(v) for v in r[:2]], [float(v) for v in r[2:]]) for r in x]
+    pairs = spark.createDataFrame(rows, "text_vector array<double>, image_vector array<double>").repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    try:
+        state = moments.product_state(pairs)
+        (n, p), mean, cells = moments.state_of(state)
+        got = {(r["i"], r["j"]): r["total"] for r in moments.product_cells(state).collect()}
+        assert moments.state_of(moments.product_state(pairs.limit(0))) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (n, p) == (90, 2)
+    np.testing.assert_allclose(mean, x.mean(0))
+    want = (x - x.mean(0)).T @ (x - x.mean(0))
+    np.testing.assert_allclose(cells, want[np.triu_indices(5)], atol=1e-6)
+    assert len(got) == 15 and got[1, 3] == pytest.approx(want[1, 3], abs=1e-6)
+
+
 def test_correlation_of_dependent_columns_stays_finite(spark):
     shares = np.random.default_rng(0).dirichlet(np.ones(4), 60)
     t = vectors(spark, [(i, [float(x) for x in s]) for i, s in enumerate(shares)])
