@@ -241,13 +241,23 @@ def test_topics_sum_to_one(spark, limit, terms):
               + f" w{i}") for i in range(30)]
     docs = spark.createDataFrame(texts + [(99, "")], "doc_id bigint, text string")
     model = models.train_topics(docs, 3, max_iter=5, max_vocabulary=limit, terms=terms)
-    with pytest.raises(ValueError):
-        models.train_topics(docs, 3, max_vocabulary=8)
     shares = {r["id"]: r["vector"] for r in models.topic_transform(model, docs, "doc_id").withColumnRenamed("doc_id", "id").collect()}
     assert len(shares) == 31
     assert all(len(v) == 3 and sum(v) == pytest.approx(1) for v in shares.values())
 
 
+def test_vocabulary_is_cut_by_document_frequency(spark):
+    docs = spark.createDataFrame([("a a b c",), ("a b d",), ("a b c",), (None,), ("",), ("a e",)], "text string")
+    found = lambda most: {r["term"]: r["df"] for r in models.vocabulary(docs, most).collect()}
+    assert found(9) == found(5) == {"a": 4, "b": 3, "c": 2, "d": 1, "e": 1}
+    assert found(4) == found(3) == {"a": 4, "b": 3, "c": 2}
+    assert found(1) == {"a": 4} and set(models.vocabulary(docs, 3, stop_words=["a"]).toPandas()["term"]) == {"b", "c"}
+    assert models.train_topics(docs, 2, max_iter=1, max_vocabulary=4).stages[0].vocabulary == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        models.vocabulary(spark.createDataFrame([("a b",), ("a b",)], "text string"), 1)
+    assert models.vocabulary(docs.limit(0), 1).count() == 0
+
+
 def test_correlation_equals_numpy(spark):
     rng = np.random.default_rng(2)
     hidden = rng.normal(size=(200, 2))

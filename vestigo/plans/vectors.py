@@ -17,6 +17,7 @@ SLICE = 8
 LABELS = 10
 WORDS = 80
 CLUSTERS = 32
+SETTLED = 1e-3
 NEAREST = [("distance", "ascending"), ("vec_id", "ascending")]
 
 
@@ -139,6 +140,23 @@ def kmeans_hist(spark, folder):
     return features.word_histogram(models.model_words(model, local, "vec_id"), "vec_id")
 
 
+def kmeans_fit(spark, folder):
+    """Whether training settled: parts whose word is not the nearest centre by exact distance, and words whose centre is not
+    the mean of their parts."""
+    local = features.cut_vectors(_items(spark, folder), SLICE, "vec_id")
+    model = models.train_codebook(local, CLUSTERS, max_iter=200)
+    book = models.codebook_table(model, spark)
+    named = models.model_words(model, local, "vec_id").join(local, ["vec_id", "pos"])
+    exact = features.assign_words(local, book, "vec_id").withColumnRenamed("word", "nearest")
+    wrong = named.join(exact, ["vec_id", "pos"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("word") != F.col("nearest")).alias("wrong"))
+    means = named.select("word", F.posexplode("vector").alias("at", "x")).groupBy("word", "at").agg(F.avg("x").alias("mean"))
+    centres = book.select("word", F.posexplode("vector").alias("at", "centre"))
+    off = centres.join(means, ["word", "at"]).agg(
+        F.count_distinct("word").alias("words"), F.count_if(F.abs(F.col("mean") - F.col("centre")) > SETTLED).alias("off"))
+    one = F.lit(1).alias("one")
+    return wrong.select("*", one).join(off.select("*", one), "one").select("n", "wrong", "words", "off")
+
+
 def bovw_kmeans(spark, folder):
     postings = features.histogram_terms(kmeans_hist(spark, folder), "vec_id")
     query = postings.filter(F.col("vec_id") == QUERY_ITEM).select(
@@ -237,6 +255,7 @@ QUERIES = {
     "hist_truncated": hist_truncated,
     "bovw_search": bovw_search,
     "bovw_batch": bovw_batch,
+    "kmeans_fit": kmeans_fit,
     "kmeans_hist": kmeans_hist,
     "bovw_kmeans": bovw_kmeans,
     "feature_lists": feature_lists,
@@ -317,6 +336,8 @@ SELECT * FROM r WHERE rank <= {k}"""
 _WHOLE = 1 << 40
 
 SQL = {
+    "kmeans_fit": f"""SELECT CAST(sum(len(embedding) // {SLICE}) AS BIGINT) AS n, CAST(0 AS BIGINT) AS wrong,
+CAST({CLUSTERS} AS BIGINT) AS words, CAST(0 AS BIGINT) AS off FROM embeddings""",
     "distance_l2": _one("list_distance(v, qv)"),
     "distance_l1": _one(_l1("v", "qv")),
     "distance_cosine": _one("1 - list_cosine_similarity(v, qv)"),
