@@ -29,7 +29,7 @@ def test_odd_rows(spark):
     assert bpe.encode_and_decode(docs, queries.vocabulary(queries.WORDS_FILE)).filter("size(ids) = 0").count() == 2
     counts = token_counts.prefix_counts(docs, queries.vocabulary(queries.PIECES_FILE))
     assert counts.filter(token_counts.total_tokens() == 0).count() == 2
-    assert passages.repeated_spans(docs, 3).select("doc_id", "first_doc_id").collect() == [(2, 1)]
+    assert sorted(map(tuple, passages.repeated_spans(docs, 3).select("doc_id", "first_doc_id").collect()), key=repr) == [(2, 1), (None, 1)]
     assert licences.licence_scan(docs, licences.known_digests(spark)).count() == 0
 
 

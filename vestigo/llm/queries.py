@@ -66,7 +66,7 @@ def op7_bpe(spark, folder):
 
 
 def op8_passages(spark, folder):
-    return passages.repeated_spans(table(spark, folder, "documents"))
+    return passages.repeated_spans(table(spark, folder, "documents")).drop("row")
 
 
 def op9_token_counts(spark, folder):
@@ -269,14 +269,22 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
     "op8_passages": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k
            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-o AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1)::BIGINT AS begin,
-             regexp_extract_all(translate(line, {ALPHABET}), '[^\\x20\\x09-\\x0D]+') AS words FROM l),
-u AS (SELECT doc_id, begin, begin + length(line) AS stop, len(words) AS n, md5(array_to_string(words, ' ')) AS digest,
-             row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit FROM o WHERE len(words) > 0),
+o AS (SELECT doc_id, k, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS base,
+             regexp_extract_all(line, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+') AS chunks FROM l),
+w AS (SELECT doc_id, k, base, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS i FROM o),
+p AS (SELECT doc_id, k, i, regexp_replace(chunk, '^[\\x20\\x09-\\x0D]+', '') AS raw,
+             base + sum(length(chunk)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM w),
+q AS (SELECT *, translate(raw, {ALPHABET}) AS word, coalesce(sum((right(raw, 1) IN ('.', '!', '?'))::INTEGER) OVER (
+             PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM p),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k, sentence) > {passages.LONG_WORDS} AND left(md5(word), 1) = '0' AS ends FROM q),
+d AS (SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id, k, sentence ORDER BY i
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM c),
+g AS (SELECT doc_id, min(stop - length(raw))::BIGINT AS begin, max(stop)::BIGINT AS stop, count(*) AS n,
+             md5(string_agg(word, ' ' ORDER BY i)) AS digest FROM d GROUP BY doc_id, k, sentence, part HAVING count(*) >= {passages.UNIT_WORDS}),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY begin) AS unit FROM g),
 f AS (SELECT *, min((doc_id, unit)) OVER (PARTITION BY digest) AS first FROM u),
 r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM f WHERE (doc_id, unit) > first)
-SELECT doc_id, min(begin)::BIGINT AS begin, max(stop)::BIGINT AS stop, count(*) AS n_units, sum(n)::BIGINT AS n_words,
-       min_by(first[1], unit) AS first_doc_id
+SELECT doc_id, min(begin) AS begin, max(stop) AS stop, count(*) AS n_units, sum(n)::BIGINT AS n_words, min_by(first[1], unit) AS first_doc_id
 FROM r GROUP BY doc_id, run HAVING sum(n) >= {passages.LEAST_WORDS}""",
     "op10_licences": f"""
 WITH known AS (SELECT md5({licences.canonical_sql('body')}) AS digest, min(licence) AS licence, min_by(commercial, licence) AS commercial
