@@ -165,39 +165,42 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id: str = "vec_id",
                  cell: int = CELL, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Vectors link when their cosine, in double precision, is at least ``cosine``. Equal vectors are compared once and
-    count as often as they occur. Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing. All vectors must have one length. Rows without an id count as links of others when an equal vector
-    has one, have no component and are not kept; repeated ids are separate vectors with one id. An empty table gives no rows.
+    Vectors link when their cosine, in double precision, is at least ``cosine``. Equal vectors are compared once, under a
+    number of their own, and count as often as they occur. Vectors that are null, empty, zero, or hold null or non-finite
+    components link with nothing. Vectors of different lengths raise ``ValueError``. Repeated ids are separate vectors
+    with one id, each with its row. Rows without an id link like all others and are never kept; ``component_id`` is the
+    least id in the component, null when it has none. An empty table gives no rows.
     """
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     good = rows.filter(usable("v"))
-    merged = written(good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w")), "vectors")
-    nodes = merged.filter("least is not null").select(F.col("least").alias("node"), "w", "v")
-    n = nodes.count()
+    merged = good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"))
+    nodes = written(merged.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    told = nodes.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("short"), F.max(F.size("v")).alias("long")).first()
+    if told["short"] != told["long"]:
+        raise ValueError(f"vectors of {told['short']} to {told['long']} components in one table")
+    n = told["n"]
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.col("vec_id").isNotNull().alias("kept"))
     count = min(pivots, max(1, math.ceil(n / cell)))
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("v").collect()
+    chosen = nodes.orderBy(F.xxhash64("v"), "v").limit(count).select("v").collect()
     points = unit(np.array([list(r["v"]) for r in chosen], float))
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    sizes = _placed(nodes, points, None, reach, None).groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()
+    spots = nodes.select("node", "w", "v")
+    sizes = _placed(spots, points, None, reach, None).groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()
     radius, parts = np.zeros(count), np.ones(count, np.int64)
     for r in sizes:
         radius[r["cell"]], parts[r["cell"]] = r["far"], math.ceil(r["n"] / block)
-    cells = _placed(nodes, points, radius, reach, parts)
+    cells = _placed(spots, points, radius, reach, parts)
     found = written(cells.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
                     .mapInArrow(frugal(lambda batches: _counted(batches, cosine)), "a long, b long, n long"), "links")
-    counts = found.groupBy(F.col("a").alias("least")).agg(F.sum("n").alias("n"))
-    named = (nodes.select(F.col("node").alias("least"), "w").join(counts, "least", "left")
-             .join(components(found, "a", "b").withColumnRenamed("node", "least"), "least", "left")
-             .select("least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"),
-                     F.coalesce("component", "least").alias("component_id")))
-    named = written(named, "named")
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    rooted = written(nodes.select("node", "least", "w").join(counts, "node", "left").join(components(found, "a", "b"), "node", "left")
+                     .select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"),
+                             F.coalesce("component", "node").alias("root")), "rooted")
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(rooted.join(heads, "root").select("node", "n_links", "component_id"), "named")
     keyed = rows.withColumn("ok", F.coalesce(usable("v"), F.lit(False)))
     alone = keyed.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    classes = merged.select("v", "least")
-    members = keyed.filter("ok").join(classes, "v").select("vec_id", "least").join(named, "least", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    members = keyed.filter("ok").join(nodes.select("v", "node"), "v").join(named, "node").select("vec_id", "n_links", "component_id")
     return members.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
