@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestigo.functions.text import BLANK, tokens
 from vestigo.operators import blocks
-from vestigo.operators.ranking import scored, top_k
+from vestigo.operators.ranking import WINDOW_CUT, scored, top_k
 from vestigo.operators.terms import Index, token_rows
 from vestigo.schemas import require
+from vestigo.sources.bounds import wanted
+from vestigo.sources.tables import written
 
 DEFAULT_K = 10
-# Largest rank for which Spark limits the groups of a window before the shuffle, its default.
-WINDOW_CUT = 1000
+# Blocks that a bounded search scores before it knows a threshold.
+FIRST_BLOCKS = 16
 
 
 def query_terms(queries: DataFrame, text: str = "text", pattern: str = BLANK, stop_words: Iterable[str] = ()) -> DataFrame:
@@ -36,8 +39,7 @@ def _hint(terms: DataFrame):
 
 
 def _top(scores: DataFrame, k: int, id: str, queries: DataFrame | None = None) -> DataFrame:
-    """Top k per query. Spark cuts windows in the tasks up to k = 1000 only, so a larger k of a single query is taken
-    by order and limit, which keep k rows per task at any k."""
+    """Top k per query. A large k of a single query is taken by order and limit, which keep k rows per task in the JVM."""
     alone = k > WINDOW_CUT and queries is not None and queries.select("query_id").distinct().limit(2).count() < 2
     return top_k(scores, k, [("score", "descending"), (id, "ascending")], per=[] if alone else ["query_id"])
 
@@ -76,6 +78,58 @@ def search_weighted(index: Index, terms: DataFrame, k: int = DEFAULT_K, id: str
     return _top(scored(scores), k, id, terms)
 
 
+def search_bounded(bounds, terms: DataFrame, k: int = DEFAULT_K, weighted: bool = False, digits: int = 9,
+                   first: int = FIRST_BLOCKS) -> DataFrame:
+    """``search_postings`` (or ``search_weighted``) over an index with bounds, without scoring blocks that cannot hold a hit.
+
+    A document's score is at most the sum of its block's largest term weights. The ``first`` blocks with the largest
+    sums are scored; the k-th score found there is a threshold, and of the other blocks only those whose sum reaches it
+    are scored (max-score, Turtle and Flood, 1995; by blocks, Ding and Suel, 2011). Ties at the threshold are scored, so the
+    result is exact. ``bounds`` comes from ``sources.bounds``.
+    """
+    plan = bounded_plan(bounds, terms, k, weighted, digits, first)
+    return _top(plan.scores, k, bounds.id, terms)
+
+
+class BoundedPlan(NamedTuple):
+    """Scores (query_id, id, score) of the blocks that had to be scored; per query its matching and its scored postings."""
+
+    scores: DataFrame
+    cost: DataFrame
+
+
+def bounded_plan(bounds, terms: DataFrame, k: int, weighted: bool = False, digits: int = 9, first: int = FIRST_BLOCKS) -> BoundedPlan:
+    require(terms, "query_id", "term", "qtf")
+    cut, maxima = wanted(bounds, terms)
+    if weighted:
+        weights = cut.terms.join(_hint(terms)(terms), "term").select(
+            "query_id", "term", (F.col("qtf") * F.pow("idf", F.lit(2))).alias("weight"))
+        value, slack = "share", 2.0 * 10.0 ** -digits  # scores are rounded; sums in another order differ by less
+    else:
+        weights, value, slack = terms.select("query_id", "term", F.col("qtf").alias("weight")), "tf", 0.0
+    sums = maxima.join(_hint(terms)(weights), "term").groupBy("query_id", "block").agg(
+        F.sum(F.col("weight") * F.col(value)).alias("most"), F.sum("n").alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
+    tried = written(sums.withColumn("tried", F.row_number().over(order) <= first), "blocks")
+    ahead = written(_block_scores(cut, weights, terms, tried.filter("tried"), value, weighted, digits), "scores")
+    least = top_k(ahead, k, [("score", "descending"), (bounds.id, "ascending")], per=["query_id"])
+    floor = least.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    rest = written(tried.filter("not tried").join(floor, "query_id", "left").filter(
+        F.col("floor").isNull() | (F.col("most") + slack >= F.col("floor"))).select("query_id", "block", "n"), "blocks")
+    scores = ahead.unionByName(_block_scores(cut, weights, terms, rest, value, weighted, digits))
+    read = tried.filter("tried").select("query_id", "n").unionByName(rest.select("query_id", "n"))
+    cost = sums.groupBy("query_id").agg(F.sum("n").alias("matched")).join(
+        read.groupBy("query_id").agg(F.sum("n").alias("scored")), "query_id")
+    return BoundedPlan(scores, cost)
+
+
+def _block_scores(cut, weights: DataFrame, terms: DataFrame, wanted_blocks: DataFrame, value: str, weighted: bool, digits: int) -> DataFrame:
+    hits = cut.postings.join(_hint(terms)(weights), "term").join(wanted_blocks.select("query_id", "block"), ["query_id", "block"])
+    total = F.sum(F.col("weight") * F.col(value))
+    scores = hits.groupBy("query_id", cut.id).agg((F.round(total, digits) if weighted else total).alias("score"))
+    return scored(scores) if weighted else scores
+
+
 def search_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: str = "doc_id", text: str = "text",
                  pattern: str = BLANK, stop_words: Iterable[str] = (), ship_bytes: int = blocks.SHIP_BYTES,
                  block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:

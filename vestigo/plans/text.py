@@ -9,7 +9,7 @@ from vestigo.operators import refresh, search, terms
 from vestigo.operators.features import pipeline
 from vestigo.operators.ranking import ids, keep
 from vestigo.plans.tables import documents, table
-from vestigo.sources import segments, tables
+from vestigo.sources import bounds, segments, tables
 from vestigo.sources.readers import queries_from, read_descriptions
 
 # English function words, a fixed list.
@@ -23,6 +23,7 @@ QUERY_DOC = 1
 K = 10
 DEEP = 2000
 SEGMENT = 256
+BLOCK_DOCS = 64
 BUCKETS = 16
 
 TOKENS = """tok AS (
@@ -104,6 +105,30 @@ def search_tfidf(spark, folder):
     return search.search_weighted(tables.only_terms(index, query), query, K, digits=6)
 
 
+def _bounds(spark, folder):
+    index, path = _index(spark, folder), tables.fresh_path(spark, "bounds")
+    bounds.save_bounds(index, path, BLOCK_DOCS)
+    return bounds.load_bounds(spark, path, index)
+
+
+def search_bounded(spark, folder):
+    return search.search_bounded(_bounds(spark, folder), search.query_terms(_one_query(spark, folder)), K)
+
+
+def search_bounded_tfidf(spark, folder):
+    query = search.query_terms(_one_query(spark, folder))
+    return search.search_bounded(_bounds(spark, folder), query, K, weighted=True, digits=6)
+
+
+def _three_queries(spark, folder):
+    return queries_from(_docs(spark, folder), [QUERY_DOC, QUERY_DOC + 1, QUERY_DOC + 2], "doc_id")
+
+
+def search_deep_batch(spark, folder):
+    """More hits than Spark's own limit on windows, for several queries."""
+    return search.search_texts(_docs(spark, folder), _three_queries(spark, folder), DEEP)
+
+
 def search_stopwords(spark, folder):
     return search.search_texts(_docs(spark, folder), _one_query(spark, folder), K, pattern=WORD_BREAKS,
                                stop_words=STOP_WORDS)
@@ -231,6 +256,9 @@ QUERIES = {
     "search_turns": search_turns,
     "search_index": search_index,
     "search_tfidf": search_tfidf,
+    "search_bounded": search_bounded,
+    "search_bounded_tfidf": search_bounded_tfidf,
+    "search_deep_batch": search_deep_batch,
     "search_stopwords": search_stopwords,
     "stop_word_table": stop_word_table,
     "index_refresh": index_refresh,
@@ -277,7 +305,20 @@ FROM documents LEFT JOIN norms USING (doc_id)"""
 
 _WORDS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
+_TFIDF_SEARCH = f"""WITH {POSTINGS}{_IDF},
+q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM postings WHERE doc_id = {QUERY_DOC}),
+scores AS (SELECT query_id, p.doc_id, sum(qtf * tf * idf * idf) AS raw
+  FROM postings p JOIN q USING (term) JOIN terms USING (term) GROUP BY ALL),
+normed AS (SELECT query_id, doc_id, round(raw / norm, 6) AS score FROM scores JOIN norms USING (doc_id) WHERE norm > 0),
+ranked AS (SELECT query_id, doc_id, score, CAST({_ranked('score DESC, doc_id')} AS INTEGER) AS rank FROM normed)
+SELECT * FROM ranked WHERE rank <= {K}"""
+
 SQL = {
+    "search_tfidf": _TFIDF_SEARCH,
+    "search_bounded": _COUNT_SEARCH,
+    "search_bounded_tfidf": _TFIDF_SEARCH,
+    "search_deep_batch": _COUNT_SEARCH.replace(f"rank <= {K}", f"rank <= {DEEP}").replace(
+        f"doc_id = {QUERY_DOC}", f"doc_id BETWEEN {QUERY_DOC} AND {QUERY_DOC + 2}"),
     "search_count_deep": _COUNT_SEARCH.replace(f"rank <= {K}", f"rank <= {DEEP}"),
     "posting_lists_named": f"""WITH named AS (SELECT source || '/' || doc_id AS doc_id, text FROM documents),
 {POSTINGS.replace("FROM documents", "FROM named")}
@@ -299,13 +340,6 @@ string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id DESC) AS entries FROM postin
     "search_index": _COUNT_SEARCH,
     "search_batch": _batch_search("SELECT item_id AS query_id, text FROM benchmark"),
     "search_turns": _batch_search("SELECT conv_id || '-' || turn AS query_id, text FROM conversations"),
-    "search_tfidf": f"""WITH {POSTINGS}{_IDF},
-q AS (SELECT doc_id AS query_id, term, tf AS qtf FROM postings WHERE doc_id = {QUERY_DOC}),
-scores AS (SELECT query_id, p.doc_id, sum(qtf * tf * idf * idf) AS raw
-  FROM postings p JOIN q USING (term) JOIN terms USING (term) GROUP BY ALL),
-normed AS (SELECT query_id, doc_id, round(raw / norm, 6) AS score FROM scores JOIN norms USING (doc_id) WHERE norm > 0),
-ranked AS (SELECT query_id, doc_id, score, CAST({_ranked('score DESC, doc_id')} AS INTEGER) AS rank FROM normed)
-SELECT * FROM ranked WHERE rank <= {K}""",
     "search_stopwords": f"""WITH tok AS (SELECT doc_id, term FROM (
   SELECT doc_id, unnest(regexp_split_to_array(lower(text), '{WORD_BREAKS}')) AS term FROM documents)
   WHERE term <> '' AND term NOT IN ({_WORDS})),
