@@ -84,6 +84,30 @@ def test_full_licence_texts(spark, tmp_path):
     assert sorted(con.execute(queries.SQL["op10_licences"]).fetchall()) == got
 
 
+def test_stages_keep_columns_of_any_names(spark):
+    names = ("row", "ROW_", "gone", "gone_id", "_row", "_gone", "_gone_id", "side", "_side", "mix", "_mix", "copy", "_copy", "draw", "rate")
+    text = "one line of some words\nand another line of words"
+    rows = [(i, text + str(i % 3), "s", *range(i, i + len(names))) for i in range(12)] + [(None, None, None, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        left = stage(spark, docs, "")
+        assert left.columns == docs.columns
+        found = left.collect()
+        assert found and all(tuple(r)[3:] == (tuple(range(r["doc_id"], r["doc_id"] + len(names))) if r["doc_id"] is not None else
+                                              tuple(range(len(names)))) for r in found)
+        assert stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_copies_are_encoded_alike(spark):
+    texts = ["a b c", "a b c", "d", "a b c", None, "", "d d", "d d"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    from tokenizers import Tokenizer
+    reader = Tokenizer.from_file(queries.vocabulary(queries.WORDS_FILE))
+    for r in bpe.encode_and_decode(docs, queries.vocabulary(queries.WORDS_FILE)).collect():
+        want = reader.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == want and r["decoded"] == reader.decode(want, skip_special_tokens=False)
+
+
 def test_stages_on_null_and_repeated_ids(spark):
     draw = random.Random(3)
     a, b, c, d, e = (" ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(40)) for _ in range(5))

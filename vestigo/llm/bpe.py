@@ -188,11 +188,16 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def _encoded(batch, path: str):
-    """(ids of rows, token lists) of an Arrow batch, in parts of about BATCH_TOKENS tokens."""
+    """(ids of rows, token lists) of an Arrow batch, in parts of about BATCH_TOKENS tokens; a text that equals the one
+    before it, as copies of a mix do, is encoded once and its list is the same object."""
     words, texts = tokenizer(path), batch.column(1)
     held, begun, total = [], 0, 0
+    last, ids = None, None
     for i in range(len(texts)):
-        held.append(words.encode(texts[i].as_py()))
+        text = texts[i].as_py()
+        if text != last:
+            last, ids = text, words.encode(text)
+        held.append(ids)
         total += len(held[-1])
         if total > BATCH_TOKENS or i == len(texts) - 1:
             ends = np.zeros(len(held) + 1, np.int32)
@@ -215,7 +220,10 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): ``decode`` of ``encode``, in one Python worker a task instead of two."""
     def work(batch):
         for rows, lists, held in _encoded(batch, path):
-            yield rows, lists, pa.array([tokenizer(path).decode(ids.tolist()) for ids in held], pa.string())
+            decoded = []
+            for i, ids in enumerate(held):
+                decoded.append(decoded[-1] if i and ids is held[i - 1] else tokenizer(path).decode(ids.tolist()))
+            yield rows, lists, pa.array(decoded, pa.string())
 
     return by_batches(narrowed(docs), work, "doc_id long, ids array<int>, decoded string")
 

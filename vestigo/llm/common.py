@@ -23,6 +23,14 @@ def narrowed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the name with as many underscores as make it no column of the frame in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_batches(df: DataFrame, work, schema: str) -> DataFrame:
     """Run ``work(batch) -> iterable of lists of columns`` over Arrow batches within the frame's own partitions."""
     fields = StructType.fromDDL(schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.llm.common import by_batches, frugal, longs, narrowed, parts, whole_groups
+from vestigo.llm.common import by_batches, frugal, longs, narrowed, parts, unused, whole_groups
 from vestigo.llm.components import components
 from vestigo.sources.tables import written
 
@@ -26,6 +26,8 @@ EDITS = 2
 LEAST_CHARS = 20
 #: Lines of one key compared in one task; the lines of a larger key are compared block by block in several.
 BLOCK = 512
+#: Lines of which a task holds the rows, however many its texts have.
+HELD_LINES = 50_000
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -120,8 +122,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for k, begin, stop, plain in _lines(text.as_py(), 1):
                 rows.append((i, k, begin, stop, hashlib.md5(plain.encode()).digest()))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        yield [pa.array(list(c), pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(columns)]
+                if len(rows) == HELD_LINES:
+                    yield columns(rows)
+                    rows = []
+        yield columns(rows)
+
+    def columns(rows):
+        return [pa.array(list(c), pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows) if rows else [()] * 5)]
 
     return by_batches(narrowed(docs), work, "doc_id long, line long, begin long, stop long, digest binary")
 
@@ -281,11 +288,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_C
 def without_lines(docs: DataFrame, removed: DataFrame, id: str = "doc_id") -> DataFrame:
     """``docs`` without the lines (doc_id, line) of ``removed``; other documents are unchanged, n_chars is kept in step.
 
-    ``id`` is the column of ``docs`` that ``removed`` names as doc_id; a line goes from every row of its id.
+    ``id`` is the column of ``docs`` that ``removed`` names as doc_id; a line goes from every row of its id. Columns of
+    ``docs`` may have any names.
     """
-    gone = removed.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
     names = docs.columns
-    joined = docs.join(gone, F.col(id) == F.col("_gone_id"), "left")
+    of, lines = unused(docs, "gone_id"), unused(docs, "gone")
+    gone = removed.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("line").alias(lines))
+    joined = docs.join(gone, F.col(f"`{id}`") == F.col(of), "left")
     at = names.index("text")
 
     def run(batches):
@@ -300,5 +309,5 @@ def without_lines(docs: DataFrame, removed: DataFrame, id: str = "doc_id") -> Da
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = joined.select(*[F.col(f"`{c}`") for c in names], "_gone").mapInArrow(frugal(run), docs.schema)
+    rows = joined.select(*[F.col(f"`{c}`") for c in names], lines).mapInArrow(frugal(run), docs.schema)
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else rows

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from vestigo.llm.common import unused
 from vestigo.sources.tables import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,17 +76,19 @@ def _rates_of(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
     return written(targets(cycled_weights(sums, weights), share, most).withColumn("rate", rate), "rates")
 
 
-def with_copies(docs: DataFrame, table: DataFrame, seed: str = SEED, id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with a struct column ``_mix`` (source_size, weight, target, copies).
+def with_copies(docs: DataFrame, table: DataFrame, seed: str = SEED, id: str = "doc_id", source: str = "source",
+                name: str = "_mix") -> DataFrame:
+    """``docs`` with a struct column ``name`` (source_size, weight, target, copies), which must not be one of its own.
 
     Each document is taken floor(rate) times, and once more when its draw is below the rest, so never more than
     ceil(``most``) times. Repeated rows of an id draw alike, rows without an id draw as "null".
     """
-    side = table.select(F.struct("source", "source_size", "weight", "target", "rate").alias("_side"))
-    whole = F.floor("_side.rate")
-    copies = (whole + F.when(draw(F.col(id), seed) < F.col("_side.rate") - whole, 1).otherwise(0)).cast("long")
-    joined = docs.join(side, F.col(source).cast("string").eqNullSafe(F.col("_side.source")))
-    return joined.withColumn("_mix", F.struct("_side.source_size", "_side.weight", "_side.target", copies.alias("copies"))).drop("_side")
+    of = unused(docs, "side")
+    side = table.select(F.struct("source", "source_size", "weight", "target", "rate").alias(of))
+    whole = F.floor(f"{of}.rate")
+    copies = (whole + F.when(draw(F.col(id), seed) < F.col(f"{of}.rate") - whole, 1).otherwise(0)).cast("long")
+    joined = docs.join(side, F.col(source).cast("string").eqNullSafe(F.col(f"{of}.source")))
+    return joined.withColumn(name, F.struct(f"{of}.source_size", f"{of}.weight", f"{of}.target", copies.alias("copies"))).drop(of)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -96,7 +99,8 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``."""
-    rows = with_copies(docs, rates(docs, **settings)).filter("_mix.copies > 0")
-    each = F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))
-    return rows.withColumn("_copy", each).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` as often as the mix takes them, copies next to each other, with the columns of ``docs``, of any names."""
+    name, copy = unused(docs, "mix"), unused(docs, "copy")
+    rows = with_copies(docs, rates(docs, **settings), name=name).filter(F.col(f"{name}.copies") > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies").cast("int")))
+    return rows.withColumn(copy, each).select(*[F.col(f"`{c}`") for c in docs.columns])
