@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vestigo.llm import line_dedup, mixing, quality, queries, simhash
+from vestigo.llm.common import unused
 from vestigo.sources.tables import written
 
 
@@ -15,12 +16,12 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.train(rows))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as a written table with a unique number ``_row`` that rises with the id; rows without an id come last."""
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as a written table with a unique number that rises with the id, as column ``name``; rows without an id come last."""
     order = F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few large tasks are not made of them
     spread = docs.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    return written(spread.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return written(spread.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +29,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by number, so that null and repeated ids are documents like any other.
     """
-    rows = numbered(docs)
-    found = line_dedup.line_classes(rows.select(F.col("_row").alias("doc_id"), "text"))
-    return line_dedup.without_lines(rows, found.filter("not kept").select("doc_id", "line"), "_row").drop("_row")
+    row = unused(docs, "row")
+    rows = numbered(docs, row)
+    found = line_dedup.line_classes(rows.select(F.col(row).alias("doc_id"), "text"))
+    return line_dedup.without_lines(rows, found.filter("not kept").select("doc_id", "line"), row).drop(row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; one row of it when ids are null or repeated."""
-    rows = numbered(docs)
-    found = simhash.simhash_components(rows.select(F.col("_row").alias("doc_id"), "text"))
-    gone = written(found.filter("component <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    row = unused(docs, "row")
+    rows = numbered(docs, row)
+    found = simhash.simhash_components(rows.select(F.col(row).alias("doc_id"), "text"))
+    gone = written(found.filter("component <> doc_id").select(F.col("doc_id").alias(unused(rows, "gone"))), "gone")
+    return rows.join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
