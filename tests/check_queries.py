@@ -11,6 +11,7 @@ import duckdb
 
 import __spark_entry__ as entry_points
 from tests.session import local_session
+from vestigo.sources.tables import scope
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -33,8 +34,9 @@ def rows_of(columns, rows):
 def difference(spark, con, folder: str, name: str):
     """None when query and SQL agree exactly, else a short description; also the number of rows and seconds."""
     start = time.time()
-    frame = entry_points.queries()[name](spark, folder)
-    got = frame.collect()
+    with scope(spark):
+        frame = entry_points.queries()[name](spark, folder)
+        got = frame.collect()
     seconds = time.time() - start
     sql = entry_points.oracle_sql().get(name)
     if sql is None:

@@ -235,3 +235,58 @@ def test_null_text_is_neither_changed_nor_gone(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "doc_id bigint, text string")
     stored = refresh.content_hashes(docs)
     assert refresh.changed_docs(docs, stored).count() == refresh.gone_docs(docs, stored).count() == 0
+
+
+def test_scopes_delete_what_they_made(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "working_folder", lambda _: str(tmp_path))
+    with tables.scope(spark):
+        outer = tables.written(spark.range(5), "outer")
+        with tables.scope(spark):
+            inner = tables.written(spark.range(7), "inner")
+            assert inner.count() == 7 and len(os.listdir(tmp_path)) == 2
+        assert len(os.listdir(tmp_path)) == 1 and outer.count() == 5
+    assert os.listdir(tmp_path) == []
+    assert tables.written(spark.range(3), "kept").count() == 3
+
+
+@pytest.mark.parametrize("name", ["distance_chi2", "distance_tanimoto", "bovw_search"])
+def test_shared_frames_are_computed_once(spark, name):
+    from vestigo import plans
+    with tables.scope(spark):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 1
+
+
+def test_fingerprints_by_file(spark, tmp_path):
+    path, store = str(tmp_path / "t"), str(tmp_path / "digests")
+    rows = spark.range(100).selectExpr("id", "id % 3 as part", "cast(id as string) as name")
+    rows.repartition(4).write.partitionBy("part").parquet(path)
+    whole = spark.read.parquet(path)
+    assert tables.saved_fingerprint(spark, path, store) == tables.fingerprint(whole)
+    read = spark.read.parquet(store).count()
+    for top, _, files in os.walk(path):  # unreadable data with the same names, lengths and times: only listed
+        for f in (os.path.join(top, f) for f in files if f.endswith(".parquet")):
+            old = os.stat(f)
+            os.remove(os.path.join(top, f".{os.path.basename(f)}.crc"))
+            with open(f, "r+b") as out:
+                out.write(b"XXXXXXXXXX")
+            os.utime(f, ns=(old.st_atime_ns, old.st_mtime_ns))
+    assert tables.saved_fingerprint(spark, path, store) == tables.fingerprint(rows.withColumn("part", F.col("part").cast("int")))
+    assert spark.read.parquet(store).count() == read
+    two, one = str(tmp_path / "two"), str(tmp_path / "one")
+    rows.repartition(5).write.parquet(two)
+    first = tables.saved_fingerprint(spark, two, store)
+    rows.limit(10).write.mode("append").parquet(two)
+    spark.catalog.refreshByPath(two)
+    assert first != tables.saved_fingerprint(spark, two, store) == tables.fingerprint(spark.read.parquet(two))
+    spark.read.parquet(two).coalesce(1).write.parquet(one)
+    key = lambda source: tables.reuse_key("s", {"k": 1}, {"in": source}, spark, store)
+    assert key(one) == key(two) == key(spark.read.parquet(one))
+    rows.limit(0).write.parquet(str(tmp_path / "none"))
+    assert tables.saved_fingerprint(spark, str(tmp_path / "none"), store) == tables.fingerprint(rows.limit(0))
+    built = []
+    build = lambda to: (built.append(to), rows.write.parquet(to))
+    for _ in range(2):
+        found = tables.reuse_or_build(spark, str(tmp_path / "saved"), "x", "steps", {}, {"in": one}, build, spark.read.parquet)
+        assert found.count() == 100
+    assert len(built) == 1

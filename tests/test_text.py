@@ -105,8 +105,8 @@ def test_count_scores_in_small_pieces(spark, collection):
     import pyarrow as pa
     q = pa.table({"tokens": pa.array([tok(t) for _, t in queries], pa.list_(pa.string()))})
     d = pa.table({"tokens": pa.array([tok(t) for _, t in docs], pa.list_(pa.string()))})
-    whole = np.concatenate([s for _, s in search.count_scores(q, d)], axis=1)
-    pieces = np.concatenate([s for _, s in search.count_scores(q, d, cells=97)], axis=1)
+    whole = np.concatenate([s for _, s in search.count_scores(search.query_counts(q), d)], axis=1)
+    pieces = np.concatenate([s for _, s in search.count_scores(search.query_counts(q), d, cells=97)], axis=1)
     np.testing.assert_array_equal(whole, pieces)
 
 

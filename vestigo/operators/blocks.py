@@ -41,13 +41,12 @@ def fits(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES) -> bool:
 
 def fetch_small(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES,
                 max_rows: int = HOLD_ROWS) -> tuple[pa.Table | None, int, int]:
-    """A frame as one table when it is within both bounds, else None; and its rows and bytes."""
-    held = df.persist()
-    try:
-        rows, total = measure(held, size)
-        return (held.toArrow() if rows <= max_rows and total <= max_bytes else None), rows, total
-    finally:
-        held.unpersist()
+    """A frame as one table when it is within both bounds, else None; and its rows and bytes.
+
+    It is measured before anything is held, so a frame of unknown size takes no memory anywhere.
+    """
+    rows, total = measure(df, size)
+    return (df.toArrow() if rows <= max_rows and total <= max_bytes else None), rows, total
 
 
 class BestK:
@@ -95,11 +94,12 @@ class BestK:
 
 def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, query_id: str, id: str,
            query_size: Column, corpus_size: Column, ship_bytes: int = SHIP_BYTES,
-           block_bytes: int = BLOCK_BYTES, hold_rows: int = HOLD_ROWS) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, hold_rows: int = HOLD_ROWS, prepare: Callable[[pa.Table], object] | None = None) -> DataFrame:
     """Candidates ``(query_id, id, score)`` that contain the exact best k rows of the collection for each query.
 
     ``query_size`` and ``corpus_size`` give the bytes of a row. Per query there may be up to k candidates from each
-    task; ``ranking.top_k`` merges them.
+    task; ``ranking.top_k`` merges them. What ``prepare`` makes of a table of queries, once for all rows they meet in a
+    task, goes to the scorer in its place.
     """
     spark = queries.sparkSession
     schema = (f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
@@ -107,11 +107,12 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
 
     def match(q: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, names = None, q.column(query_id).combine_chunks()
+        ready = prepare(q) if prepare else q
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held_ids = rows.column(id).combine_chunks()
             best = best or BestK(q.num_rows, k, held_ids.type)
-            for first, scores in scorer(q, rows):
+            for first, scores in scorer(ready, rows):
                 best.offer(scores, held_ids.slice(first, scores.shape[1]))
         if best is not None:
             held = best.settle()

@@ -145,20 +145,31 @@ def search_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: st
     found = blocks.best_k(
         left.filter(F.size("tokens") > 0), right, k, count_scores, query_id="query_id", id=id,
         query_size=size, corpus_size=size,
-        ship_bytes=ship_bytes, block_bytes=block_bytes)
+        ship_bytes=ship_bytes, block_bytes=block_bytes, prepare=query_counts)
     return _top(found.select("query_id", id, F.col("score").cast("bigint").alias("score")), k, id)
 
 
-def count_scores(queries: pa.Table, docs: pa.Table, cells: int = blocks.CELLS):
+class QueryCounts(NamedTuple):
+    """Queries by term: the vocabulary, where each term's entries begin, and the entries' queries and counts."""
+
+    vocab: pa.Array
+    n: int
+    start: np.ndarray
+    query: np.ndarray
+    count: np.ndarray
+
+
+def query_counts(queries: pa.Table) -> QueryCounts:
+    lists = queries.column("tokens").combine_chunks()
+    vocab, n = lists.flatten().unique(), queries.num_rows
+    code = pc.index_in(lists.flatten(), value_set=vocab).to_numpy(zero_copy_only=False).astype(np.int64)
+    pair, count = np.unique(code * n + lists.value_parent_indices().to_numpy().astype(np.int64), return_counts=True)
+    return QueryCounts(vocab, n, np.searchsorted(pair // max(n, 1), np.arange(len(vocab) + 1)), pair % max(n, 1), count)
+
+
+def count_scores(queries: QueryCounts, docs: pa.Table, cells: int = blocks.CELLS):
     """Score matrices of token lists: summed products of term counts, NaN where no term is shared."""
-    q_lists = queries.column("tokens").combine_chunks()
-    vocab = q_lists.flatten().unique()
-    q_code = pc.index_in(q_lists.flatten(), value_set=vocab).to_numpy(zero_copy_only=False).astype(np.int64)
-    q_row = q_lists.value_parent_indices().to_numpy().astype(np.int64)
-    n_q = queries.num_rows
-    pair, q_count = np.unique(q_code * n_q + q_row, return_counts=True)
-    q_of, code_of = pair % n_q, pair // n_q
-    start = np.searchsorted(code_of, np.arange(len(vocab) + 1))
+    vocab, n_q, start, q_of, q_count = queries
 
     d_lists = docs.column("tokens").combine_chunks()
     code = pc.index_in(d_lists.flatten(), value_set=vocab)

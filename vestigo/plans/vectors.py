@@ -10,6 +10,7 @@ from vestigo.operators.distances import feature_distance, nearest
 from vestigo.operators.ranking import in_top, merge_top, sort_by_distance, top_k
 from vestigo.plans.tables import table
 from vestigo.sources.readers import queries_from
+from vestigo.sources.tables import written
 
 QUERY_ITEM = 0
 DIGITS = 6
@@ -38,7 +39,7 @@ def _distance(metric):
 
 def _histogram_distance(metric):
     def run(spark, folder):
-        bins = features.dense_histogram(_histogram(spark, folder), WORDS, "vec_id")
+        bins = written(features.dense_histogram(_histogram(spark, folder), WORDS, "vec_id"), "bins")
         return feature_distance(bins, queries_from(bins, [QUERY_ITEM], "vec_id"), metric, "vec_id", digits=DIGITS)
     return run
 
@@ -122,7 +123,7 @@ def hist_truncated(spark, folder):
 
 
 def bovw_search(spark, folder):
-    postings = features.histogram_terms(_histogram(spark, folder), "vec_id")
+    postings = written(features.histogram_terms(_histogram(spark, folder), "vec_id"), "postings")
     query = postings.filter(F.col("vec_id") == QUERY_ITEM).select(
         F.col("vec_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
     return search.search_postings(postings, query, 10, "vec_id")
@@ -130,7 +131,7 @@ def bovw_search(spark, folder):
 
 def bovw_batch(spark, folder):
     dense = features.dense_histogram(_histogram(spark, folder), WORDS, "vec_id")
-    docs = dense.select("vec_id", histogram_string("vector").alias("text"))
+    docs = written(dense.select("vec_id", histogram_string("vector").alias("text")), "words")
     return search.search_batch(docs, docs.withColumnRenamed("vec_id", "query_id"), 10, "vec_id")
 
 
@@ -158,7 +159,7 @@ def kmeans_fit(spark, folder):
 
 
 def bovw_kmeans(spark, folder):
-    postings = features.histogram_terms(kmeans_hist(spark, folder), "vec_id")
+    postings = written(features.histogram_terms(kmeans_hist(spark, folder), "vec_id"), "postings")
     query = postings.filter(F.col("vec_id") == QUERY_ITEM).select(
         F.col("vec_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
     return search.search_postings(postings, query, 10, "vec_id")

@@ -6,7 +6,8 @@ import hashlib
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ FEW_TERMS = 1000
 
 # Working folders of local sessions that name none.
 _own_folders: dict[str, str] = {}
+# Paths of each scope in force, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def save_table(df: DataFrame, path: str, existing: str = "replace") -> None:
@@ -58,17 +61,39 @@ def working_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the working folder."""
-    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the working folder; the innermost ``scope`` deletes it."""
+    path = f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table written once to the working folder: no later use computes it again."""
+    """The frame as a table written once to the working folder: no later use computes it again.
+
+    Within a ``scope`` the table is deleted at its end; else it stays until the working folder is cleared.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, remember what is made in the working folder; at the end delete it.
+
+    Shared frames are written once and read by all branches of a plan, so run the plan's actions inside. Scopes nest: a
+    path belongs to the innermost one. What an action outside still needs must be saved elsewhere.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def term_bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
@@ -166,28 +191,77 @@ def only_terms(index: Index, terms: DataFrame, **expected) -> Index:
 
 def fingerprint(df: DataFrame) -> str:
     """Order-free digest of a table's rows: their number and two sums of row hashes."""
+    return _told(df.schema, df.select(*_row_hashes(df)).agg(*_sums()).first())
+
+
+def _row_hashes(df: DataFrame) -> list:
     names = sorted(df.columns)
-    digest = df.select(F.xxhash64(*names).alias("a"), F.xxhash64(F.lit("second"), *names).alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"),
-        F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).first()
-    types = ",".join(f"{n}:{df.schema[n].dataType.simpleString()}" for n in names)
-    return hashlib.sha256(f"{types}|{digest['n']}|{digest['a']}|{digest['b']}".encode()).hexdigest()
+    return [F.xxhash64(*names).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit("second"), *names).cast("decimal(38,0)").alias("b"),
+            F.lit(1).cast("long").alias("n")]
 
 
-def reuse_key(steps: str, params: Mapping[str, object], inputs: Mapping[str, DataFrame]) -> str:
-    """Key of a result: its steps, all parameters and the content of every input."""
+def _sums() -> list:
+    return [F.sum(c).alias(c) for c in ("n", "a", "b")]
+
+
+def _told(schema, sums) -> str:
+    types = ",".join(f"{n}:{schema[n].dataType.simpleString()}" for n in sorted(schema.names))
+    n, a, b = sums["n"] or 0, sums["a"], sums["b"]
+    return hashlib.sha256(f"{types}|{n}|{a}|{b}".encode()).hexdigest()
+
+
+def saved_fingerprint(spark: SparkSession, path: str, store: str) -> str:
+    """``fingerprint`` of the parquet table at a path, from digests kept for each of its files.
+
+    ``store`` holds a row (path, length, modified, n, a, b) for each file ever read. A file is read again only when
+    its path, length or modification time is new, so a table that grew costs its new files, and an unchanged one a listing.
+    The sums of files add up to those of the table, whatever files its rows lie in.
+    """
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(
+        plain.alias("path"), "length", F.unix_micros("modificationTime").alias("modified"))
+    kept = "path string, length bigint, modified bigint, n bigint, a decimal(38,0), b decimal(38,0)"
+    known = spark.read.schema(kept).parquet(store) if table_exists(spark, store) else spark.createDataFrame([], kept)
+    key = ["path", "length", "modified"]
+    new = listed.join(known, key, "left_anti").collect()  # a row for each new file, which Spark's reader lists on the driver too
+    if new:
+        rows = spark.read.option("basePath", path).parquet(*[r["path"] for r in new])
+        of = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path")
+        digests = rows.select(of, *_row_hashes(rows)).groupBy("path").agg(*_sums())
+        files = spark.createDataFrame(new, listed.schema)
+        zero = F.lit(0).cast("decimal(38,0)")
+        files.join(digests, "path", "left").select(
+            *key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b")).write.mode("append").parquet(store)
+        known = spark.read.schema(kept).parquet(store)
+    sums = known.dropDuplicates(key).join(listed, key, "left_semi").agg(*_sums()).first()
+    if not sums["n"]:
+        sums = {"n": 0, "a": None, "b": None}
+    return _told(spark.read.parquet(path).schema, sums)
+
+
+def reuse_key(steps: str, params: Mapping[str, object], inputs: Mapping[str, DataFrame | str], spark: SparkSession | None = None,
+              store: str | None = None) -> str:
+    """Key of a result: its steps, all parameters and the content of every input.
+
+    An input is a frame, whose rows are read, or the path of a parquet table, whose files' digests are kept in ``store``;
+    both give the same key for the same rows.
+    """
+    def content(source):
+        return saved_fingerprint(spark, source, store) if isinstance(source, str) else fingerprint(source)
+
     record = {"steps": steps, "params": {k: repr(v) for k, v in sorted(params.items())},
-              "inputs": {k: fingerprint(df) for k, df in sorted(inputs.items())}}
+              "inputs": {k: content(df) for k, df in sorted(inputs.items())}}
     return hashlib.sha256(json.dumps(record, sort_keys=True).encode()).hexdigest()
 
 
 def reuse_or_build(spark: SparkSession, folder: str, name: str, steps: str, params: Mapping[str, object],
-                   inputs: Mapping[str, DataFrame], build: Callable[[str], None], read: Callable[[str], object]):
+                   inputs: Mapping[str, DataFrame | str], build: Callable[[str], None], read: Callable[[str], object]):
     """Read a saved result when steps, parameters and inputs all match, else build, save and read it.
 
-    ``build`` writes to the path it is given; the marker that makes a result valid is written after it.
+    ``build`` writes to the path it is given; the marker that makes a result valid is written after it. Inputs given as
+    paths are compared by their files' digests, kept in the same folder.
     """
-    path = f"{folder}/{name}-{reuse_key(steps, params, inputs)[:32]}"
+    path = f"{folder}/{name}-{reuse_key(steps, params, inputs, spark, f'{folder}/digests')[:32]}"
     if not table_exists(spark, f"{path}/_done"):
         build(f"{path}/data")
         spark.range(1).select(F.lit(steps).alias("steps")).write.mode("overwrite").parquet(f"{path}/_done")
