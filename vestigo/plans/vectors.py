@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vestigo.functions.vectors import histogram_string, similarity, slice_vector
 from vestigo.operators import features, fusion, models, search
 from vestigo.operators.distances import feature_distance, nearest
+from vestigo.operators.metric import nearest_pruned
 from vestigo.operators.ranking import in_top, merge_top, sort_by_distance, top_k
 from vestigo.plans.tables import table
 from vestigo.sources.readers import queries_from
@@ -18,6 +19,7 @@ SLICE = 8
 LABELS = 10
 WORDS = 80
 CLUSTERS = 32
+ASKED = 100
 SETTLED = 1e-3
 NEAREST = [("distance", "ascending"), ("vec_id", "ascending")]
 
@@ -51,6 +53,15 @@ def _nearest(metric, k=10):
     return run
 
 
+def _nearest_pruned(metric, k=10):
+    """Neighbours of every row whose id is divisible by 100 among all rows."""
+    def run(spark, folder):
+        items = _items(spark, folder)
+        asked = items.filter(F.col("vec_id") % ASKED == 0).withColumnRenamed("vec_id", "query_id")
+        return nearest_pruned(items, asked, k, metric, "vec_id", digits=DIGITS, cell=64).found
+    return run
+
+
 def sort_descending(spark, folder):
     ranked = sort_by_distance(_distance("l2")(spark, folder), "descending", id="vec_id")
     return ranked.select("vec_id", "distance")
@@ -242,6 +253,8 @@ QUERIES = {
     "distance_chi2": _histogram_distance("chi2"),
     "nearest_l2": _nearest("l2"),
     "nearest_l1": _nearest("l1"),
+    "nearest_pruned_l2": _nearest_pruned("l2"),
+    "nearest_pruned_cosine": _nearest_pruned("cosine"),
     "nearest_cosine": _nearest("cosine"),
     "sort_descending": sort_descending,
     "sort_limit": sort_limit,
@@ -349,6 +362,8 @@ FROM bins, q""",
   (list_dot_product(v, v) + list_dot_product(qv, qv) - list_dot_product(v, qv)), {DIGITS}) AS distance FROM bins, q""",
     "nearest_l2": _all_pairs("list_distance(a.v, b.v)"),
     "nearest_l1": _all_pairs(_l1("a.v", "b.v")),
+    "nearest_pruned_l2": f"SELECT * FROM ({_all_pairs('list_distance(a.v, b.v)')}) WHERE query_id % {ASKED} = 0",
+    "nearest_pruned_cosine": f"SELECT * FROM ({_all_pairs('1 - list_cosine_similarity(a.v, b.v)')}) WHERE query_id % {ASKED} = 0",
     "nearest_cosine": _all_pairs("1 - list_cosine_similarity(a.v, b.v)"),
     "sort_descending": _one("list_distance(v, qv)"),
     "sort_limit": f"""SELECT vec_id, distance, CAST(row_number() OVER (ORDER BY distance DESC, vec_id) AS INTEGER) AS rank
