@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from vestigo.operators.distances import nearest
+from vestigo.operators.fusion import fused_batch, fused_threshold
 from vestigo.operators.metric import nearest_pruned
 
 SCHEMA = "id bigint, vector array<double>"
@@ -49,3 +50,26 @@ def test_odd_vectors(spark):
     assert nearest_pruned(left, right.limit(0), 3).found.count() == 0
     with pytest.raises(ValueError):
         nearest_pruned(left, right, 3, "chi2")
+
+
+@pytest.mark.parametrize("depth, weights", [(20, [0.5, 0.5]), (5, [0.9, 0.1]), (400, [0.3, 0.7])])
+def test_fusion_by_threshold_equals_scoring_all(spark, depth, weights):
+    draw = np.random.default_rng(6)
+    centres = 30 * draw.normal(size=(20, 4))
+    rows = []
+    for i in range(300):
+        for kind, shift in (("a", 0), ("b", 7)):
+            v = [float(x) for x in centres[(i + shift * (i % 2)) % 20] + draw.normal(size=4)]
+            if i % 31 != 3 or kind == "a":
+                rows.append((i, kind, v if i % 37 != 5 else None))
+    rows += [(1000 + i, k, v) for i, k, v in rows[:40]]
+    features = spark.createDataFrame(rows, "id bigint, kind string, vector array<double>")
+    asked = features.filter("id % 29 = 3").withColumnRenamed("id", "query_id")
+    found = fused_threshold(features, asked, ["a", "b"], weights, 7, digits=6, depth=depth, cell=20)
+    want = fused_batch(features, asked, ["a", "b"], weights, k=7, digits=6)
+    columns = ["query_id", "id", "score", "rank"]
+    assert sorted(map(tuple, found.found.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    if depth == 20:
+        assert found.scored < 2 * 320 * asked.select("query_id").distinct().count() / 2
+    with pytest.raises(ValueError):
+        fused_threshold(features, asked, ["a"], [-1.0])

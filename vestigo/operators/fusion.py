@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestigo.functions.vectors import similarity
+from vestigo.functions.vectors import distance, similarity
 from vestigo.operators import blocks
 from vestigo.operators.distances import distance_scores, feature_distance, nearest
+from vestigo.operators.metric import nearest_pruned
 from vestigo.operators.ranking import scored, top_k, union_all
 from vestigo.schemas import require
+from vestigo.sources.tables import written
 
 
 def pair_weights(ratio: float) -> list[float]:
@@ -108,6 +110,74 @@ def _fused_exactly(features, queries, kinds, weights, k, metric, id, digits) ->
     return _best(found.select("query_id", id, "score"), k, id, digits)
 
 
+class Fused(NamedTuple):
+    """Ranking (query_id, id, score, rank); pairs of a query and an item scored in any kind, with the rounds they took."""
+
+    found: DataFrame
+    scored: int
+    rounds: int
+
+
+def fused_threshold(features: DataFrame, queries: DataFrame, kinds: Sequence[str], weights: Sequence[float], k: int = 10,
+                    metric: str = "l2", id: str = "id", digits: int | None = None, depth: int | None = None,
+                    growth: int = 4, **cells) -> Fused:
+    """``fused_batch`` by the threshold algorithm (Fagin, Lotem and Naor, 2001): exact, without scoring every item.
+
+    Each kind is ranked to a depth, by ``metric.nearest_pruned`` with the settings ``cells``; items that any ranking shows are
+    scored on all kinds. No other item can beat the weighted sum of the similarities at that depth, so a query whose k-th
+    score lies above it is done. Queries that are not go on with ``growth`` times the depth, at last to the whole
+    collection. Weights must not be negative. Items and queries without a vector of a kind count 0 there.
+    """
+    require(features, id, "kind", vectors=("vector",))
+    require(queries, "query_id", "kind", vectors=("vector",))
+    if len(kinds) != len(weights) or any(w < 0 for w in weights):
+        raise ValueError(f"{len(kinds)} kinds need as many weights, none of them negative")
+    names = list(dict.fromkeys(kinds))
+
+    def wide(df, key):
+        return written(df.filter(F.col("kind").isin(names)).groupBy(key).agg(
+            *[F.first(F.when(F.col("kind") == n, F.col("vector").cast("array<double>")), ignorenulls=True).alias(f"v{i}")
+              for i, n in enumerate(names)]), "wide")
+
+    items, todo = wide(features, id), wide(queries, "query_id")
+    other = items.select(F.col(id), *[F.col(f"v{i}").alias(f"w{i}") for i in range(len(names))])
+    n, depth, unit = items.count(), depth or max(4 * k, 64), 0.0 if digits is None else 10.0 ** -digits
+    done, pairs, rounds = [], 0, 0
+    while True:
+        lists, rounds = [], rounds + 1
+        for i in range(len(names)):
+            one = nearest_pruned(items.select(id, F.col(f"v{i}").alias("vector")), todo.select("query_id", F.col(f"v{i}").alias("vector")),
+                                 depth, metric, id, digits=digits, **cells)
+            lists.append(written(one.found, "ranking"))
+            pairs += one.scored.first()[0]
+        seen = written(union_all([one.select("query_id", id) for one in lists]).distinct(), "seen")
+        pairs += seen.count()
+        rows = seen.join(todo, "query_id").join(other, id)
+        total, any_kind = F.lit(0.0), F.lit(False)
+        for kind, weight in zip(kinds, weights):
+            apart = distance(f"v{names.index(kind)}", f"w{names.index(kind)}", metric)
+            apart = apart if digits is None else F.round(apart, digits)
+            near = F.when(apart.isNotNull() & ~F.isnan(apart), F.lit(float(weight)) / (1 + apart))
+            total, any_kind = total + F.coalesce(near, F.lit(0.0)), any_kind | near.isNotNull()
+        scores = written(_best(rows.filter(any_kind).select("query_id", id, total.alias("score")), k, id, digits), "scores")
+        if depth >= n:
+            done.append(scores)
+            break
+        beyond = [one.filter(F.col("rank") == depth).select("query_id", (F.lit(float(sum(w for x, w in zip(kinds, weights) if x == name)))
+                  * similarity("distance")).alias("share")) for name, one in zip(names, lists)]
+        least = union_all(beyond).groupBy("query_id").agg(F.sum("share").alias("least"))
+        floor = scores.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        settled = todo.select("query_id").join(floor, "query_id", "left").join(least, "query_id", "left").filter(
+            F.col("least").isNull() | (F.col("floor") > F.col("least") + unit)).select("query_id")
+        settled = written(settled, "settled")
+        done.append(scores.join(settled, "query_id", "left_semi"))
+        todo = written(todo.join(settled, "query_id", "left_anti"), "todo")
+        if todo.isEmpty():
+            break
+        depth *= growth
+    return Fused(union_all(done), pairs, rounds)
+
+
 def _best(fused: DataFrame, k: int, id: str, digits: int | None, per: Sequence[str] = ("query_id",)) -> DataFrame:
     if digits is not None:
         fused = fused.withColumn("score", F.round("score", digits))

@@ -216,6 +216,14 @@ def fused_batch_exact(spark, folder):
                               fusion.pair_weights(0.5), k=10, id="vec_id", digits=DIGITS)
 
 
+def fused_threshold(spark, folder):
+    """Exact fusion for every row whose id is divisible by 100 against all rows, by the threshold algorithm."""
+    halves = _halves(spark, folder)
+    asked = halves.filter(F.col("vec_id") % ASKED == 0).withColumnRenamed("vec_id", "query_id")
+    return fusion.fused_threshold(halves, asked, ["front", "back"], fusion.pair_weights(0.5), 10, id="vec_id", digits=DIGITS,
+                                  cell=64).found
+
+
 def fused_lists(spark, folder):
     items = _items(spark, folder)
     lists = []
@@ -278,6 +286,7 @@ QUERIES = {
     "fusion_same": fused_same,
     "fusion_batch": fused_batch,
     "fusion_batch_exact": fused_batch_exact,
+    "fusion_threshold": fused_threshold,
     "fusion_lists": fused_lists,
     "union_merge": union_merge,
     "cascade": cascade,
@@ -391,6 +400,7 @@ FROM halves, range(32) r(d)""",
     "fusion_same": _fused("1.0", _WHOLE, 10, kinds="AND kind = 'front'"),
     "fusion_batch": _fused("0.5", 50, 10, queries=""),
     "fusion_batch_exact": _fused("0.5", _WHOLE, 10, queries=""),
+    "fusion_threshold": _fused("0.5", _WHOLE, 10, queries=f"WHERE a.vec_id % {ASKED} = 0"),
     "fusion_lists": _fused("CASE kind WHEN 'front' THEN 0.6 ELSE 0.4 END", 100, _WHOLE).replace(
         "SELECT * FROM r", "SELECT query_id, vec_id, score FROM r"),
     "union_merge": f"""WITH {_ITEMS}, {_Q},
