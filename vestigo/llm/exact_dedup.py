@@ -138,16 +138,24 @@ def build_snapshot(rows: DataFrame) -> Snapshot:
     return Snapshot(groups, written(filters, "filters"), shards)
 
 
-def screen(groups: DataFrame, snapshot: Snapshot) -> DataFrame:
-    """Those digests of a batch's groups that can be in the snapshot; a shard's filter and digests meet in one task."""
+def screen(groups: DataFrame, snapshot: Snapshot, most: int = KEYS_PER_SHARD) -> DataFrame:
+    """Those digests of a batch's groups that can be in the snapshot.
+
+    A shard's filter meets the batch's digests of the shard in as many parts as keep about ``most`` digests in each, so
+    that a batch much larger than the snapshot fills no task.
+    """
+    parts = max(1, math.ceil(groups.count() / (snapshot.shards * most)))
+    part = F.pmod(F.xxhash64(F.lit("part"), "digest"), F.lit(parts)).cast("int").alias("part")
+    filters = snapshot.filters.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
     def check(key, batch, filters):
         found = filters.to_pylist()
         keep = (in_filter(longs(batch.column("key").combine_chunks()), *[found[0][n] for n in
                 ("seed", "segment", "segments", "cells")]) if found else np.zeros(batch.num_rows, bool))
         return batch.select(["digest"]).filter(pa.array(keep))
 
-    return (_keyed(groups, snapshot.shards).groupBy("shard")
-            .cogroup(snapshot.filters.groupBy("shard")).applyInArrow(check, "digest string"))
+    return (_keyed(groups, snapshot.shards).select("*", part).groupBy("shard", "part")
+            .cogroup(filters.groupBy("shard", "part")).applyInArrow(check, "digest string"))
 
 
 def _texts(docs: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
