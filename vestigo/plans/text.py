@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from vestigo.functions.text import WORD_BREAKS, base_name, flat_key, page_text, page_title
 from vestigo.operators import refresh, search, terms
 from vestigo.operators.features import pipeline
-from vestigo.operators.ranking import ids, keep
+from vestigo.operators.ranking import ids, keep, scored
 from vestigo.plans.tables import documents, table
 from vestigo.sources import bounds, segments, tables
-from vestigo.sources.readers import queries_from, read_descriptions
+from vestigo.sources.readers import TEXT, load, queries_from, read_descriptions
 
 # English function words, a fixed list.
 STOP_WORDS = (
@@ -233,6 +233,40 @@ def catalog_counts(spark, folder):
     return read_descriptions(spark, path).groupBy("category").agg(F.count("doc_id").alias("n"))
 
 
+def xml_documents(spark, folder):
+    """The collection written as XML documents with one image each, read back by the document reader."""
+    path = tables.fresh_path(spark, "xml")
+    image = F.struct(F.col("lang").alias("_VALUE"), F.concat(F.lit("i"), "doc_id").alias("_id"), F.col("source").alias("_name"),
+                     F.lit("1").alias("_sectnum"))
+    rows = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("_name"), (F.col("n_chars") % 10).cast("int").alias("_cat"), "text",
+        F.struct(F.array(image).alias("image")).alias("imageset"))
+    rows.write.format("xml").option("rowTag", "document").option("rootTag", "documents").save(path)
+    read = load(spark, path, TEXT)
+    words = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return read.select("doc_id", "name", "cat", F.md5(words).alias("words"), F.get("images", F.lit(0))["id"].alias("image"),
+                       F.get("images", F.lit(0))["path"].alias("image_path"))
+
+
+def filter_scored(spark, folder):
+    """Mean word length of texts, without the texts that have no word; German ones get no score."""
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    score = F.when(F.col("lang") != "de", F.when(words > 0, F.length("text") / words).otherwise(F.lit(float("nan"))))
+    return scored(table(spark, folder, "documents").select("doc_id", score.alias("score"))).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def signatures(spark, folder):
+    """Signatures of tables: the same for other orders and files of the rows, another when a row is missing."""
+    rows = []
+    for name in ("documents", "pages", "labels"):
+        whole = table(spark, folder, name)
+        print_ = tables.fingerprint(whole)
+        first = whole.columns[0]
+        rows.append((name, tables.fingerprint(whole.repartition(7, F.rand(3)).select(*reversed(whole.columns))) == print_,
+                     tables.fingerprint(whole.filter(F.col(first) != whole.agg(F.max(first)).first()[0])) != print_))
+    return spark.createDataFrame(rows, "name string, same boolean, differs boolean")
+
+
 def label_counts(spark, folder):
     labels = table(spark, folder, "labels")
     return labels.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
@@ -244,6 +278,9 @@ QUERIES = {
     "ranked_ids": ranked_ids,
     "composed": composed,
     "catalog_counts": catalog_counts,
+    "xml_documents": xml_documents,
+    "filter_scored": filter_scored,
+    "signatures": signatures,
     "tokens_tf": tokens_tf,
     "doc_freq": doc_freq,
     "posting_lists": posting_lists,
@@ -332,6 +369,11 @@ string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id DESC) AS entries FROM postin
     "doc_freq": f"WITH {POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY term",
     "posting_lists": f"""WITH {POSTINGS} SELECT term, doc_id // {SEGMENT} AS segment,
 string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id DESC) AS entries FROM postings GROUP BY ALL""",
+    "xml_documents": r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS name, CAST(n_chars % 10 AS INTEGER) AS cat,
+  md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS words, 'i' || doc_id AS image, lang AS image_path FROM documents""",
+    "filter_scored": """SELECT doc_id, round(length(text) / len(list_filter(string_split(text, ' '), lambda w: w <> '')), 6) AS score
+FROM documents WHERE lang <> 'de' AND len(list_filter(string_split(text, ' '), lambda w: w <> '')) > 0""",
+    "signatures": "SELECT name, true AS same, true AS differs FROM (VALUES ('documents'), ('pages'), ('labels')) v(name)",
     "collection_size": "SELECT count(doc_id) AS n_docs FROM documents",
     "index_docs": _INDEX_DOCS,
     "index_terms": f"WITH {POSTINGS}{_IDF} SELECT term, df, round(idf, 6) AS idf FROM terms",
