@@ -246,6 +246,20 @@ def test_topics_sum_to_one(spark, limit, terms):
     assert all(len(v) == 3 and sum(v) == pytest.approx(1) for v in shares.values())
 
 
+def test_topics_recover_the_words_they_were_drawn_from(spark):
+    fields = [[f"{name}{i}" for i in range(12)] for name in ("sea", "sky")]
+    draw = random.Random(4)
+    texts = [(i, " ".join(draw.choices(fields[i % 2], k=40))) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    model = models.train_topics(docs, 2, max_iter=100)
+    main = {r["doc_id"]: int(np.argmax(r["vector"])) for r in models.topic_transform(model, docs).collect()}
+    assert {main[i] for i in range(0, 80, 2)} != {main[i] for i in range(1, 80, 2)} and len(set(main.values())) == 2
+    words = model.stages[0].vocabulary
+    for topic in model.stages[1].describeTopics(12).collect():
+        best = {words[i] for i in topic["termIndices"]}
+        assert best in ({*fields[0]}, {*fields[1]}) and sum(topic["termWeights"]) > 0.9
+
+
 def test_vocabulary_is_cut_by_document_frequency(spark):
     docs = spark.createDataFrame([("a a b c",), ("a b d",), ("a b c",), (None,), ("",), ("a e",)], "text string")
     found = lambda most: {r["term"]: r["df"] for r in models.vocabulary(docs, most).collect()}
