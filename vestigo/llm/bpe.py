@@ -27,9 +27,13 @@ from vestigo.llm.common import Remembered, by_batches, narrowed
 #: Words, pieces and arcs remembered by one worker process.
 KEPT_WORDS, KEPT_PIECES, KEPT_ARCS = 150_000, 250_000, 200_000
 NEVER = 1 << 60
+#: First symbols by which the longest token that can follow is known.
+HEAD = 4
 BATCH_TOKENS = 1_000_000
 
 
+#: The first character without a category.
+FIRST_UNKNOWN = "\u0378"
 #: str.split() also breaks at these four control characters, the pattern's blanks do not include them.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 SPACES = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -45,8 +49,8 @@ def byte_symbols() -> list[str]:
 class Automaton:
     """Transition table of a merge list; tokens are numbered as in the vocabulary."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
-        self.ids = vocabulary
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
+        self.ids, self.end = vocabulary, end
         self.labels = {i: t for t, i in vocabulary.items()}
         size = max(vocabulary.values()) + 1
         self.first, self.second = [-1] * size, [-1] * size  # halves of a token, -1 for single symbols
@@ -59,6 +63,13 @@ class Automaton:
             self._add(k, vocabulary[u], vocabulary[v], vocabulary[u + v])
         self.known.clear()
         self.longest = max((len(t) for t in vocabulary), default=1)
+        self.size, self.shorter = [0] * size, [-1] * size   # length of a token, the longest token that it begins with
+        self.reach: dict[str, int] = {}                     # by first symbols: length of the longest token inside words
+        for text, token in vocabulary.items():
+            self.size[token] = len(text)
+            self.shorter[token] = next((vocabulary[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in vocabulary), -1)
+            if not end or not text.endswith(end):
+                self.reach[text[:HEAD]] = max(self.reach.get(text[:HEAD], 0), len(text))
 
     def _add(self, k: int, u: int, v: int, new: int) -> None:
         if self.first[new] >= 0:
@@ -100,37 +111,52 @@ class Automaton:
             tail, limit = self.second[tail], self.born[tail]
         return True
 
-    def encode(self, symbols: str, end: str) -> list[int]:
+    def longest_at(self, symbols: str, at: int, last: int) -> int:
+        """The longest token that the symbols from ``at`` begin with and that ends at ``last`` or before, else -1."""
+        to = min(last, at + self.reach.get(symbols[at:at + HEAD], HEAD - 1))
+        while to > at:
+            token = self.ids.get(symbols[at:to])
+            if token is not None:
+                return token
+            to -= 1
+        return -1
+
+    def encode(self, symbols: str) -> list[int]:
         """Tokens of a word given as byte symbols; ``end`` is joined to its last symbol.
 
-        The path takes the longest arc first and steps back where it cannot go on. A place in the word is reached by
-        one path only, so none is tried twice.
+        At each place the arc to the word's end is tried first, then arcs from the longest token on, each followed by the
+        longest token that it begins with. Where none goes on, the path steps back. A place in the word is reached by one
+        path only, so none is tried twice.
         """
-        ids, after, arc, longest = self.ids.get, self.after, self.arc, self.longest
-        n = len(symbols)
-        seen = bytearray(n + 1)
-        path, ends, states = [], [0], [0]
-        tries = [min(n, longest)]
-        while ends[-1] < n:
-            at, state, to = ends[-1], states[-1], tries[-1]
-            while to > at:
+        known, arc, after, size, shorter, n = self.known, self.arc, self.after, self.size, self.shorter, len(symbols)
+        if not n:
+            return []
+        seen, path, places = bytearray(n + 1), [], []
+        at, state, token = 0, 0, None
+        while True:
+            if token is None:  # a place just reached
+                token = self.ids.get(symbols[at:] + self.end) if n - at <= self.longest else None
+                if token is not None and arc(state, token):
+                    path.append(token)
+                    return path
+                token = self.longest_at(symbols, at, n - 1)
+            while token >= 0:
+                to = at + size[token]
                 if not seen[to]:
-                    token = ids(symbols[at:to] if to < n else symbols[at:] + end)
-                    if token is not None and arc(state, token):
+                    found = known.get(state << 20 | token)
+                    if found or found is None and arc(state, token):
                         break
-                to -= 1
-            if to > at:
+                token = shorter[token]
+            if token >= 0:
                 seen[to] = 1
-                tries[-1] = to - 1
                 path.append(token)
-                ends.append(to)
-                states.append(after[token])
-                tries.append(min(n, to + longest))
+                places.append(at)
+                at, state, token = to, after[token], None
             elif path:
-                path.pop(), ends.pop(), states.pop(), tries.pop()
+                token, at = shorter[path.pop()], places.pop()
+                state = after[path[-1]] if path else 0
             else:
                 raise ValueError("a symbol is not in the vocabulary")
-        return path
 
 
 class WordTokenizer:
@@ -142,7 +168,7 @@ class WordTokenizer:
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], merges)
+        self.automaton = Automaton(model["vocab"], merges, self.end)
         self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -154,11 +180,11 @@ class WordTokenizer:
 
     def _packed(self, piece: str) -> bytes:
         symbols = "".join(map(self.symbols.__getitem__, piece.encode()))
-        return np.array(self.automaton.encode(symbols, self.end), np.int32).tobytes()
+        return np.array(self.automaton.encode(symbols), np.int32).tobytes()
 
     def _pieces(self, word: str) -> list[str]:
         """Pieces by the file's pattern; characters without a category yet are no letters, whatever ``regex`` knows."""
-        if word.isascii():
+        if word.isascii() or max(word) < FIRST_UNKNOWN:
             return self.pieces.findall(word)
         known = "".join(c if unicodedata.category(c) != "Cn" else "\ue000" for c in word)
         return [word[m.start():m.end()] for m in self.pieces.finditer(known)]
