@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from vestigo.llm.common import Remembered, by_batches, narrowed
 
 #: Words, pieces and arcs remembered by one worker process.
-KEPT_WORDS, KEPT_PIECES, KEPT_ARCS = 150_000, 250_000, 200_000
+KEPT_WORDS, KEPT_PIECES, KEPT_ARCS = 400_000, 250_000, 200_000
 NEVER = 1 << 60
 #: First symbols by which the longest token that can follow is known.
 HEAD = 4
