@@ -16,15 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHIP_BYTES = 64 << 20
-BLOCK_BYTES = 256 << 20
+BLOCK_BYTES = 128 << 20
 BATCH_ROWS = 1 << 14
+# Candidates each task hands on while all queries go to every task of the collection; with more, queries are split too.
+SHIP_ROWS = 1 << 16
+# Queries a task scores at a time, and the candidates it then holds.
+QUERY_ROWS = 1 << 12
 # Entries of one score matrix; two megabytes stay in a core's cache.
 CELLS = 1 << 18
 # Candidates one task may hold and hand on: queries times k.
 HOLD_ROWS = 1 << 22
 
-# (queries, collection rows) -> iterator of (first row, score matrix [query, row]); larger is better, NaN = no match
-Scorer = Callable[[pa.Table, pa.Table], Iterator[tuple[int, np.ndarray]]]
+# (queries, collection rows, best so far) -> iterator of (query numbers, row numbers, scores); larger is better. All pairs
+# are in it that can be among the best k of a query.
+Scorer = Callable[[object, pa.Table, "BestK"], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def measure(df: DataFrame, size: Column) -> tuple[int, int]:
@@ -60,22 +65,39 @@ class BestK:
         self.waiting: list[pa.Table] = []
         self.waiting_rows = 0
 
-    def offer(self, scores: np.ndarray, ids: pa.Array) -> None:
+    def chosen(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) numbers of a score matrix that can be among the best; NaN is no match."""
         if self.k == 0 or not scores.size:
-            return
-        floor = self.floor
-        if scores.shape[1] > self.k:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hit = scores >= self.floor[:, None]
+        if scores.shape[1] > self.k and np.count_nonzero(hit) > 2 * self.k * len(scores):
             cut = np.partition(np.where(np.isnan(scores), -np.inf, scores), -self.k, axis=1)[:, -self.k]
             # k rows of this block reach the cut, so no later row below it can be among the best
-            self.floor = floor = np.maximum(floor, cut)
-        q, d = np.nonzero(scores >= floor[:, None])
+            self.floor = np.maximum(self.floor, cut)
+            hit = scores >= self.floor[:, None]
+        return np.nonzero(hit)
+
+    def sifted(self, rough: np.ndarray, reach: Callable, least: Callable, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``chosen`` by rough values (no NaN) of the queries ``who``: ``reach`` gives the rough value that scores from a
+        floor on must have, ``least`` the score that a rough value is sure to reach."""
+        if self.k == 0 or not rough.size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hit = rough >= reach(self.floor[who])[:, None]
+        if rough.shape[1] > self.k and np.count_nonzero(hit) > 2 * self.k * len(rough):
+            cut = np.partition(rough, -self.k, axis=1)[:, -self.k]
+            self.floor[who] = np.maximum(self.floor[who], least(cut))
+            hit = rough >= reach(self.floor[who])[:, None]
+        return np.nonzero(hit)
+
+    def offer(self, scores: np.ndarray, ids: pa.Array) -> None:
+        q, d = self.chosen(scores)
         self.add(q, scores[q, d], ids.take(pa.array(d)))
 
     def add(self, q: np.ndarray, scores: np.ndarray, ids: pa.Array) -> None:
         if len(q):
             self.waiting.append(pa.table({"q": pa.array(q, pa.int64()), "s": pa.array(scores, pa.float64()), "id": ids}))
             self.waiting_rows += len(q)
-            if self.waiting_rows > max(self.k * len(self.floor), 1 << 18):
+            if self.waiting_rows > max(self.k * len(self.floor), 1 << 16):
                 self.settle()
 
     def settle(self) -> pa.Table:
@@ -92,18 +114,40 @@ class BestK:
         return self.held
 
 
+def dense(scorer: Callable[[object, pa.Table], Iterator[tuple[int, np.ndarray]]]) -> Scorer:
+    """A scorer from one that gives whole score matrices [query, row] with their first rows."""
+    def pairs(queries, rows, best):
+        for first, scores in scorer(queries, rows):
+            q, d = best.chosen(scores)
+            yield q, first + d, scores[q, d]
+    return pairs
+
+
+def grid(cells: int, q_least: int, c_least: int, q_bytes: float, c_bytes: float) -> tuple[int, int]:
+    """Parts of queries and of the collection, at least ``cells`` together and each no fewer than given, for the fewest bytes:
+    ``q_bytes`` are sent for each part of the collection, ``c_bytes`` for each part of the queries."""
+    c = max(c_least, min(cells, round(float(np.sqrt(cells * max(c_bytes, 1) / max(q_bytes, 1))))), 1)
+    q = max(q_least, -(-cells // c))
+    return q, max(c_least, -(-cells // q))
+
+
 def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, query_id: str, id: str,
            query_size: Column, corpus_size: Column, ship_bytes: int = SHIP_BYTES,
-           block_bytes: int = BLOCK_BYTES, hold_rows: int = HOLD_ROWS, prepare: Callable[[pa.Table], object] | None = None) -> DataFrame:
+           block_bytes: int = BLOCK_BYTES, hold_rows: int = HOLD_ROWS, prepare: Callable[[pa.Table], object] | None = None,
+           at_once: int = QUERY_ROWS) -> DataFrame:
     """Candidates ``(query_id, id, score)`` that contain the exact best k rows of the collection for each query.
 
-    ``query_size`` and ``corpus_size`` give the bytes of a row. Per query there may be up to k candidates from each
-    task; ``ranking.top_k`` merges them. What ``prepare`` makes of a table of queries, once for all rows they meet in a
-    task, goes to the scorer in its place.
+    ``query_size`` and ``corpus_size`` give the bytes of a row. Few queries are shipped to all tasks of the collection, and
+    per query there may be up to k candidates from each; ``ranking.top_k`` merges them. Else a small collection is shipped to
+    the tasks of the queries, or both sides are cut into a grid: a query then has k candidates, or k from each part of the
+    collection, however many tasks there are. A task scores ``at_once`` queries at a time. What ``prepare`` makes of a
+    table of queries, once for all rows they meet, goes to the scorer in its place.
     """
     spark = queries.sparkSession
     schema = (f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
               f"{id} {corpus.schema[id].dataType.simpleString()}, score double")
+    most = hold_rows // max(k, 1)
+    at_once = max(1, min(at_once, most))
 
     def match(q: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, names = None, q.column(query_id).combine_chunks()
@@ -112,19 +156,23 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
             rows = pa.Table.from_batches([batch])
             held_ids = rows.column(id).combine_chunks()
             best = best or BestK(q.num_rows, k, held_ids.type)
-            for first, scores in scorer(ready, rows):
-                best.offer(scores, held_ids.slice(first, scores.shape[1]))
+            for who, at, scores in scorer(ready, rows, best):
+                best.add(who, scores, held_ids.take(pa.array(at)))
         if best is not None:
             held = best.settle()
             out = pa.table({query_id: names.take(held["q"].combine_chunks()), id: held["id"], "score": held["s"]})
-            yield from out.to_batches()
+            yield from out.to_batches(BATCH_ROWS)
 
-    most = hold_rows // max(k, 1)
-    small, query_rows, query_bytes = fetch_small(queries, query_size, ship_bytes, most)
-    if small is not None:
-        shipped = spark.sparkContext.broadcast(pack(small))
+    def by_turns(q: pa.Table, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first in range(0, q.num_rows, at_once):
+            yield from match(q.slice(first, at_once).combine_chunks(), iter(rows))
+
+    query_rows, query_bytes = measure(queries, query_size)
+    if query_rows <= min(most, max(SHIP_ROWS // max(k, 1), 1)) and query_bytes <= ship_bytes:
+        shipped = spark.sparkContext.broadcast(pack(queries.toArrow()))
         return corpus.mapInArrow(lambda batches: match(unpack(shipped.value), batches), schema)
 
+    tasks = 3 * spark.sparkContext.defaultParallelism
     corpus_bytes = measure(corpus, corpus_size)[1]
     if corpus_bytes <= ship_bytes:
         whole = spark.sparkContext.broadcast(pack(corpus.toArrow()))
@@ -133,19 +181,21 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
             rows = unpack(whole.value).combine_chunks().to_batches(BATCH_ROWS)
             for batch in batches:
                 if batch.num_rows:
-                    yield from match(pa.Table.from_batches([batch]), iter(rows))
+                    yield from by_turns(pa.Table.from_batches([batch]), rows)
 
-        return queries.mapInArrow(search_all, schema)
+        return queries.repartition(tasks).mapInArrow(search_all, schema)
 
-    q_parts = max(1, -(-query_bytes // ship_bytes), -(-query_rows // max(most, 1)))
-    c_parts = max(1, -(-corpus_bytes // block_bytes))
-    left = (queries.withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(q_parts)))
+    # a block of queries is held with the candidates it meets: their bytes are part of what a part of the collection costs
+    q_parts, c_parts = grid(tasks, max(-(-query_bytes // ship_bytes), -(-query_rows // max(most, 1))), -(-corpus_bytes // block_bytes),
+                            query_bytes + 32.0 * k * query_rows, corpus_bytes)
+    # columns named anew: cogroup loses those that both sides take from one frame
+    left = (queries.select(*[F.col(name).alias(name) for name in queries.columns]).withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(q_parts)))
             .withColumn("_c", F.explode(F.sequence(_long(0), _long(c_parts - 1)))))
     right = (corpus.withColumn("_c", F.pmod(F.xxhash64(id), F.lit(c_parts)))
              .withColumn("_q", F.explode(F.sequence(_long(0), _long(q_parts - 1)))))
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        found = list(match(q, iter(c.combine_chunks().to_batches(BATCH_ROWS)))) if q.num_rows and c.num_rows else []
+        found = list(by_turns(q, c.combine_chunks().to_batches(BATCH_ROWS))) if q.num_rows and c.num_rows else []
         if found:
             return pa.Table.from_batches(found)
         return pa.table({query_id: pa.array([], q.schema.field(query_id).type),

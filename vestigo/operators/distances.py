@@ -15,6 +15,9 @@ from vestigo.operators import blocks
 from vestigo.operators.ranking import top_k
 from vestigo.schemas import require
 
+#: Squared lengths below it lose digits.
+TINY = 1e-280
+
 
 def feature_distance(corpus: DataFrame, query: DataFrame, metric: str = "l2", id: str = "id", vector: str = "vector",
                      digits: int | None = None, missing: str = "null", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -52,8 +55,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", i
     right = corpus.select(id, vector).filter(F.col(vector).isNotNull())
     size = F.size(vector) * 8
 
-    def scorer(q: pa.Table, c: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-        return distance_scores(q.column(vector), c.column(vector), metric, k, digits)
+    def scorer(q: pa.Table, c: pa.Table, best: blocks.BestK):
+        return near_pairs(q.column(vector), c.column(vector), metric, digits, best)
 
     found = blocks.best_k(left, right, k, scorer, query_id="query_id", id=id, query_size=size, corpus_size=size,
                           ship_bytes=ship_bytes, block_bytes=block_bytes, hold_rows=hold_rows)
@@ -73,6 +76,60 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(n, width)
 
 
+def near_pairs(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, digits: int | None, best: blocks.BestK):
+    """(query numbers, item numbers, negated distances) of all pairs that can be among the best.
+
+    For l2 and cosine one matrix product gives rough values; only pairs that these leave in question are computed exactly.
+    """
+    a, b = matrix(queries), matrix(items)
+    if len(a) and len(b) and a.shape[1] != b.shape[1]:
+        raise ValueError(f"vectors of unequal length: {a.shape[1]} and {b.shape[1]}")
+    with np.errstate(over="ignore", invalid="ignore"):
+        a2, b2 = (a * a).sum(1), (b * b).sum(1)
+    use_a, use_b = np.isfinite(a).all(1), np.isfinite(b).all(1)
+    if metric == "cosine":
+        use_a, use_b = use_a & (a != 0).any(1), use_b & (b != 0).any(1)
+    plain = all(np.isfinite(x).all() and (metric == "l2" or not (x < TINY).any()) for x in (a2[use_a], b2[use_b]))
+    if metric not in ("l2", "cosine") or not plain or not a.shape[1] or not len(a) or not len(b):
+        yield from blocks.dense(lambda q, c: distance_scores(q, c, metric, best.k, digits))(queries, items, best)
+        return
+    who, which = np.flatnonzero(use_a), np.flatnonzero(use_b)
+    a, b, a2, b2 = a[who], b[which], a2[who], b2[which]
+    unit = 0.0 if digits is None else 10.0 ** -digits
+    if metric == "cosine":
+        left, right = a / np.sqrt(a2)[:, None], b / np.sqrt(b2)[:, None]
+        margin = unit + 1e-9
+
+        def reach(floor):
+            return 1 + floor - margin
+
+        def least(rough):
+            return rough - 1 - margin
+    else:
+        # half of |a|^2 less the square of the distance
+        left, right = np.hstack([a, np.ones((len(a), 1))]), np.hstack([b, -b2[:, None] / 2])
+        slack = 1e-13 * (a.shape[1] + 8) * (a2 + b2.max(initial=0))
+
+        def reach(floor):
+            return (a2 - (unit - floor) ** 2 - slack) / 2
+
+        def least(rough):
+            return -np.sqrt(np.maximum(a2 - 2 * rough + slack, 0)) - unit
+
+    step = max(1, 16 * blocks.CELLS // max(len(a), 1))
+    for first in range(0, len(b), step):
+        q, d = best.sifted(left @ right[first:first + step].T, reach, least, who)
+        for at in range(0, len(q), 1 << 16):
+            i, j = q[at:at + (1 << 16)], first + d[at:at + (1 << 16)]
+            if metric == "cosine":
+                value = 1 - (a[i] * b[j]).sum(1) / (np.sqrt(a2[i]) * np.sqrt(b2[j]))
+            else:
+                value = np.sqrt(((a[i] - b[j]) ** 2).sum(1))
+            scores = (-value if digits is None else np.round(-value, digits)) + 0.0
+            good = scores >= best.floor[who[i]]
+            yield who[i[good]], which[j[good]], scores[good]
+
+
 def distance_scores(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, k: int, digits: int | None,
                     cells: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Matrices of negated distances, block by block of items."""
@@ -104,10 +161,13 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str, k: int, unit: float) -
         dot = a @ b.T
         return 1 - dot / ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - dot)
     total = np.zeros((len(a), len(b)))
+    apart = np.empty_like(total)
     for j in range(a.shape[1]):
         x, y = a[:, j][:, None], b[:, j][None, :]
         if metric == "l1":
-            total += np.abs(x - y)
+            np.subtract(x, y, out=apart)
+            np.abs(apart, out=apart)
+            total += apart
         else:
             both = x + y
             total += np.where(both != 0, (x - y) ** 2 / both, 0.0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vestigo.functions.vectors import distance, similarity
 from vestigo.operators import blocks
-from vestigo.operators.distances import distance_scores, feature_distance, nearest
+from vestigo.operators.distances import distance_scores, feature_distance, matrix, nearest
 from vestigo.operators.metric import nearest_pruned
 from vestigo.operators.ranking import scored, top_k, union_all
 from vestigo.schemas import require
@@ -88,7 +88,7 @@ def _fused_exactly(features, queries, kinds, weights, k, metric, id, digits) ->
             *[F.first(F.when(F.col("kind") == n, F.col("vector").cast("array<double>")), ignorenulls=True).alias(f"v{i}")
               for i, n in enumerate(names)])
 
-    def scorer(q: pa.Table, c: pa.Table):
+    def whole(q: pa.Table, c: pa.Table):
         step = max(1, blocks.CELLS // max(1, len(q)))
         for first in range(0, len(c), step):
             part = c.slice(first, step)
@@ -104,12 +104,79 @@ def _fused_exactly(features, queries, kinds, weights, k, metric, id, digits) ->
                 total[at] = np.where(np.isnan(near), total[at], np.nan_to_num(total[at]) + near)
             yield first, total if digits is None else np.round(total, digits)
 
+    def scorer(q: pa.Table, c: pa.Table, best: blocks.BestK):
+        views = [(_filled(q.column(f"v{i}")), _filled(c.column(f"v{i}"))) for i in range(len(names))]
+        if metric != "l2" or min(weights) < 0 or any(a is None or b is None for a, b in views):
+            yield from blocks.dense(whole)(q, c, best)
+            return
+        yield from _fused_pairs(views, [(names.index(kind), weight) for kind, weight in zip(kinds, weights)], digits, best)
+
     size = sum((F.coalesce(F.size(F.col(f"v{i}")), F.lit(0)) * 8 for i in range(len(names))), F.lit(0))
     found = blocks.best_k(wide(queries, "query_id"), wide(features, id), k, scorer, query_id="query_id", id=id,
                           query_size=size, corpus_size=size)
     return _best(found.select("query_id", id, "score"), k, id, digits)
 
 
+def _filled(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray] | None:
+    """A column's vectors with zeros for those that are null or not finite, and where they are usable; None if squares overflow."""
+    there = column.is_valid().to_numpy()
+    vectors = matrix(column.drop_null())
+    out = np.zeros((len(there), vectors.shape[1]))
+    out[there] = vectors
+    good = there & np.isfinite(out).all(1)
+    out[~good] = 0
+    with np.errstate(over="ignore"):
+        return (out, good) if np.isfinite((out * out).sum(1)).all() else None
+
+
+def _fused_pairs(views, terms: Sequence[tuple[int, float]], digits: int | None, best: blocks.BestK):
+    """Pairs that can be among the best by l2: similarities at least as large as the true ones come from one matrix product per
+    kind; only pairs that these leave in question are computed exactly."""
+    unit, gap, sides = 0.0 if digits is None else 10.0 ** -digits, 0.0, []
+    total_weight = {i: sum(w for j, w in terms if j == i) for i, _ in terms}
+    for i, weight in total_weight.items():
+        (a, use_a), (b, use_b) = views[i]
+        if not a.shape[1] or not b.shape[1]:  # no vector of this kind on one side
+            continue
+        if a.shape[1] != b.shape[1]:
+            raise ValueError(f"vectors of unequal length: {a.shape[1]} and {b.shape[1]}")
+        a2, b2 = (a * a).sum(1)[:, None], (b * b).sum(1)[:, None]
+        slack = 1e-13 * (a.shape[1] + 8) * (a2.max(initial=0) + b2.max(initial=0))
+        gap += weight * (np.sqrt(2 * slack) + unit)
+        sides.append((weight, np.hstack([-2 * a, a2, np.ones_like(a2)]), np.hstack([b, np.ones_like(b2), b2]), slack,
+                      None if use_a.all() and use_b.all() else (use_a, use_b)))
+    gap += unit + 1e-12
+    n_q, n_c = len(views[0][0][0]), len(views[0][1][0])
+    who, step = np.arange(n_q), max(1, 4 * blocks.CELLS // max(n_q, 1))
+    for first in range(0, n_c if sides else 0, step):
+        total = 0.0
+        for weight, left, right, slack, used in sides:
+            near = left @ right[first:first + step].T
+            near -= slack
+            np.maximum(near, 0, out=near)
+            np.sqrt(near, out=near)
+            near += 1
+            np.divide(weight, near, out=near)
+            if used is not None:
+                near *= used[0][:, None] & used[1][None, first:first + step]
+            total = near + total
+        q, d = best.sifted(total, lambda floor: floor - gap, lambda rough: rough - gap, who)
+        for at in range(0, len(q), 1 << 16):
+            x, y = q[at:at + (1 << 16)], first + d[at:at + (1 << 16)]
+            scores, known = np.zeros(len(x)), np.zeros(len(x), bool)
+            for i, weight in terms:
+                (a, use_a), (b, use_b) = views[i]
+                if not a.shape[1] or not b.shape[1]:
+                    continue
+                apart = np.sqrt(((a[x] - b[y]) ** 2).sum(1))
+                there = use_a[x] & use_b[y]
+                scores += np.where(there, weight / (1 + (apart if digits is None else np.round(apart, digits))), 0.0)
+                known |= there
+            scores = scores if digits is None else np.round(scores, digits)
+            good = known & (scores >= best.floor[x])
+            yield x[good], y[good], scores[good]
+
+
 class Fused(NamedTuple):
     """Ranking (query_id, id, score, rank); pairs of a query and an item scored in any kind, with the rounds they took."""
 

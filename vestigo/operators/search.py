@@ -22,6 +22,9 @@ from vestigo.sources.tables import written
 DEFAULT_K = 10
 # Blocks that a bounded search scores before it knows a threshold.
 FIRST_BLOCKS = 16
+# Queries a task scores at a time in a batch search, entries of a score matrix, and the share of pairs from which on a term's
+# counts are multiplied as a matrix.
+QUERIES, CELLS, COMMON = 1 << 13, 1 << 21, 1 / 256
 
 
 def query_terms(queries: DataFrame, text: str = "text", pattern: str = BLANK, stop_words: Iterable[str] = ()) -> DataFrame:
@@ -143,9 +146,9 @@ def search_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: st
     right = docs.select(id, tokens(text, pattern, stop_words).alias("tokens")).filter(F.size("tokens") > 0)
     size = F.octet_length(F.array_join("tokens", " "))
     found = blocks.best_k(
-        left.filter(F.size("tokens") > 0), right, k, count_scores, query_id="query_id", id=id,
+        left.filter(F.size("tokens") > 0), right, k, blocks.dense(count_scores), query_id="query_id", id=id,
         query_size=size, corpus_size=size,
-        ship_bytes=ship_bytes, block_bytes=block_bytes, prepare=query_counts)
+        ship_bytes=ship_bytes, block_bytes=block_bytes, prepare=query_counts, at_once=QUERIES)
     return _top(found.select("query_id", id, F.col("score").cast("bigint").alias("score")), k, id)
 
 
@@ -167,7 +170,7 @@ def query_counts(queries: pa.Table) -> QueryCounts:
     return QueryCounts(vocab, n, np.searchsorted(pair // max(n, 1), np.arange(len(vocab) + 1)), pair % max(n, 1), count)
 
 
-def count_scores(queries: QueryCounts, docs: pa.Table, cells: int = blocks.CELLS):
+def count_scores(queries: QueryCounts, docs: pa.Table, cells: int = CELLS):
     """Score matrices of token lists: summed products of term counts, NaN where no term is shared."""
     vocab, n_q, start, q_of, q_count = queries
 
@@ -183,17 +186,39 @@ def count_scores(queries: QueryCounts, docs: pa.Table, cells: int = blocks.CELLS
     for first in range(0, docs.num_rows, step):
         width = min(step, docs.num_rows - first)
         lo, hi = np.searchsorted(d_row, [first, first + width])
-        scores = np.zeros(n_q * width)
-        spread = start[code[lo:hi] + 1] - start[code[lo:hi]]
+        some, row, times = code[lo:hi], d_row[lo:hi] - first, tf[lo:hi]
+        shared = np.bincount(some, minlength=len(vocab)) * np.diff(start)
+        common = np.flatnonzero(shared > n_q * width * COMMON)
+        scores = _common_scores(queries, common, some, row, times, width)
+        rest = ~np.isin(some, common)
+        some, row, times = some[rest], row[rest], times[rest]
+        spread = start[some + 1] - start[some]
         edges = np.concatenate([[0], np.cumsum(spread)])
         at = 0
-        while at < hi - lo:
+        while at < len(some):
             # a slice of postings whose matching query entries stay near ``cells``
             end = max(at + 1, int(np.searchsorted(edges, edges[at] + cells, side="right")) - 1)
             n = spread[at:end]
-            entry = np.repeat(start[code[lo + at:lo + end]] - (edges[at:end] - edges[at]), n) + np.arange(n.sum())
-            cell = q_of[entry] * width + np.repeat(d_row[lo + at:lo + end] - first, n)
-            scores += np.bincount(cell, weights=q_count[entry] * np.repeat(tf[lo + at:lo + end], n), minlength=len(scores))
+            entry = np.repeat(start[some[at:end]] - (edges[at:end] - edges[at]), n) + np.arange(n.sum())
+            cell = q_of[entry] * width + np.repeat(row[at:end], n)
+            scores += np.bincount(cell, weights=q_count[entry] * np.repeat(times[at:end], n), minlength=len(scores))
             at = end
         scores[scores == 0] = np.nan
         yield first, scores.reshape(n_q, width)
+
+
+def _common_scores(queries: QueryCounts, common: np.ndarray, code: np.ndarray, row: np.ndarray, tf: np.ndarray, width: int) -> np.ndarray:
+    """Flat score matrix over the terms that many queries and documents hold, by one matrix product of their counts."""
+    if not len(common):
+        return np.zeros(queries.n * width)
+    place = np.full(len(queries.vocab), -1)
+    place[common] = np.arange(len(common))
+    n = np.diff(queries.start)[common]
+    entry = np.repeat(queries.start[common] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    held = place[code] >= 0
+    largest = float(queries.count[entry].max()) * float(tf[held].max()) * len(common)
+    kind = np.float32 if largest < 1 << 24 else np.float64  # whole numbers below this are exact
+    left, right = np.zeros((queries.n, len(common)), kind), np.zeros((len(common), width), kind)
+    left[queries.query[entry], np.repeat(np.arange(len(common)), n)] = queries.count[entry]
+    right[place[code[held]], row[held]] = tf[held]
+    return (left @ right).astype(np.float64).ravel()
