@@ -168,9 +168,10 @@ def search_medium(projected: DataFrame, queries: DataFrame, categories: DataFram
                   digits: int | None = None) -> DataFrame:
     """Best k items of one medium for projected queries of the other: (query_id, id, [category,] score, rank).
 
-    The score is the normalised correlation of the two projections. ``categories`` is (id, category).
+    The score is the normalised correlation of the two projections. ``categories`` is (id, category). Both sides are
+    written first, so that descriptors are made once however often the search reads them.
     """
-    near = nearest(projected, queries, k, "cosine", digits=digits)
+    near = nearest(written(projected, "projected"), written(queries, "queries"), k, "cosine", digits=digits)
     score = 1 - F.col("distance")
     found = near.select("query_id", "id", (F.round(score, digits) if digits is not None else score).alias("score"), "rank")
     if categories is None:
