@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from vestigo.functions.text import BLANK
+from vestigo.functions.text import BLANK, tokens
 from vestigo.schemas import require
 
 
+# Texts of a batch that are counted at a time.
+COUNTED = 1 << 10
+
+
 class IndexSettings(NamedTuple):
     """How a saved index was built; kept with it, so that searches and refreshes cannot use other settings."""
 
@@ -53,6 +60,30 @@ def term_frequencies(docs: DataFrame, id: str = "doc_id", text: str = "text", pa
     return rows.groupBy("term", id).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted_terms(docs: DataFrame, id: str = "doc_id", text: str = "text", pattern: str = BLANK,
+                  stop_words: Iterable[str] = ()) -> DataFrame:
+    """``term_frequencies`` of a stored collection: without a shuffle when no two rows have the same id.
+
+    A row's tokens are then counted where it is read. The ids are looked through first, so give frames whose ids are cheap to read.
+    """
+    require(docs, id, text)
+    if not docs.groupBy(id).count().filter("count > 1").isEmpty():
+        return term_frequencies(docs, id, text, pattern, stop_words)
+    rows = docs.select(F.col(id), tokens(text, pattern, sorted(set(stop_words))).alias("_tokens")).filter(F.size("_tokens") > 0)
+
+    def count(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, COUNTED):
+                ids, lists = batch.column(0).slice(first, COUNTED), batch.column(1).slice(first, COUNTED)
+                words = lists.flatten().dictionary_encode()
+                n = max(len(words.dictionary), 1)
+                pair, tf = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * n + words.indices.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(pair % n)), ids.take(pa.array(pair // n)), pa.array(tf, pa.int64())],
+                                                 ["term", id, "tf"])
+
+    return rows.mapInArrow(count, f"term string, `{id}` {docs.schema[id].dataType.simpleString()}, tf bigint")
+
+
 def document_frequencies(postings: DataFrame) -> DataFrame:
     """(term, df): in how many documents each term occurs."""
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

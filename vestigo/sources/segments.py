@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vestigo.functions.text import BLANK
 from vestigo.operators.refresh import content_hashes
-from vestigo.operators.terms import Index, IndexSettings, document_norms, term_frequencies
+from vestigo.operators.terms import Index, IndexSettings, counted_terms, document_norms
 from vestigo.sources.tables import BUCKETS, agreed, write_postings
 
 #: Segments are merged when there are more than this many of about one size, the tier: sizes within a factor of TIER.
@@ -82,7 +82,7 @@ def create(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", p
     docs = docs.filter(F.col(id).isNotNull())
     name = _fresh()
     content_hashes(docs, id, text).write.parquet(f"{path}/{name}/hashes")
-    write_postings(term_frequencies(docs, id, text, pattern, settings.stop_words), f"{path}/{name}/postings", buckets)
+    write_postings(counted_terms(docs, id, text, pattern, settings.stop_words), f"{path}/{name}/postings", buckets)
     _commit(spark, path, 0, settings, [_measured(spark, path, name, 0, id)])
     return load(spark, path)
 
@@ -118,7 +118,7 @@ def refresh(docs: DataFrame, path: str, **expected) -> Index:
     if not n_gone and fresh.isEmpty():
         return load(spark, path)
     changed = docs.select(id, text).join(fresh.select(id), id, "left_semi")
-    write_postings(term_frequencies(changed, id, text, settings.pattern, settings.stop_words), f"{folder}/postings", settings.buckets)
+    write_postings(counted_terms(changed, id, text, settings.pattern, settings.stop_words), f"{folder}/postings", settings.buckets)
     _commit(spark, path, number + 1, settings, [*segments, _measured(spark, path, name, n_gone, id)])
     return load(spark, path)
 
