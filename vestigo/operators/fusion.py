@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from vestigo.functions.vectors import distance, similarity
 from vestigo.operators import blocks
 from vestigo.operators.distances import distance_scores, feature_distance, matrix, nearest
-from vestigo.operators.metric import nearest_pruned
+from vestigo.operators.metric import nearest_pruned, usable
 from vestigo.operators.ranking import scored, top_k, union_all
 from vestigo.schemas import require
 from vestigo.sources.tables import written
 
+# Pairs scored in blocks for the price of one row of a ranking, about: a ranking is shuffled, sorted and joined, a pair is not.
+RANKED = 64
+
 
 def pair_weights(ratio: float) -> list[float]:
     """Weights of two rankings from one ratio."""
@@ -71,7 +74,8 @@ def fused_batch(features: DataFrame, queries: DataFrame, kinds: Sequence[str], w
     if len(kinds) != len(weights):
         raise ValueError(f"{len(kinds)} kinds need as many weights, not {len(weights)}")
     if top_n is None:
-        return _fused_exactly(features, queries, kinds, weights, k, metric, id, digits)
+        names = list(dict.fromkeys(kinds))
+        return _fused_exactly(_wide(features, id, names), _wide(queries, "query_id", names), kinds, weights, k, metric, id, digits)
     lists = []
     for kind in kinds:
         one = nearest(features.filter(F.col("kind") == kind), queries.filter(F.col("kind") == kind), top_n, metric, id,
@@ -80,13 +84,16 @@ def fused_batch(features: DataFrame, queries: DataFrame, kinds: Sequence[str], w
     return _best(fuse(lists, weights, id), k, id, digits)
 
 
-def _fused_exactly(features, queries, kinds, weights, k, metric, id, digits) -> DataFrame:
-    names = list(dict.fromkeys(kinds))
+def _wide(df: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """(key, v0, v1, ...): the vectors of an item's kinds side by side."""
+    return df.filter(F.col("kind").isin(list(names))).groupBy(key).agg(
+        *[F.first(F.when(F.col("kind") == n, F.col("vector").cast("array<double>")), ignorenulls=True).alias(f"v{i}")
+          for i, n in enumerate(names)])
 
-    def wide(df, key):
-        return df.filter(F.col("kind").isin(names)).groupBy(key).agg(
-            *[F.first(F.when(F.col("kind") == n, F.col("vector").cast("array<double>")), ignorenulls=True).alias(f"v{i}")
-              for i, n in enumerate(names)])
+
+def _fused_exactly(items: DataFrame, asked: DataFrame, kinds, weights, k, metric, id, digits) -> DataFrame:
+    """Best k items per query from the scores of all pairs; both sides as ``_wide`` makes them."""
+    names = list(dict.fromkeys(kinds))
 
     def whole(q: pa.Table, c: pa.Table):
         step = max(1, blocks.CELLS // max(1, len(q)))
@@ -112,7 +119,7 @@ def _fused_exactly(features, queries, kinds, weights, k, metric, id, digits) ->
         yield from _fused_pairs(views, [(names.index(kind), weight) for kind, weight in zip(kinds, weights)], digits, best)
 
     size = sum((F.coalesce(F.size(F.col(f"v{i}")), F.lit(0)) * 8 for i in range(len(names))), F.lit(0))
-    found = blocks.best_k(wide(queries, "query_id"), wide(features, id), k, scorer, query_id="query_id", id=id,
+    found = blocks.best_k(asked, items, k, scorer, query_id="query_id", id=id,
                           query_size=size, corpus_size=size)
     return _best(found.select("query_id", id, "score"), k, id, digits)
 
@@ -192,8 +199,9 @@ def fused_threshold(features: DataFrame, queries: DataFrame, kinds: Sequence[str
 
     Each kind is ranked to a depth, by ``metric.nearest_pruned`` with the settings ``cells``; items that any ranking shows are
     scored on all kinds. No other item can beat the weighted sum of the similarities at that depth, so a query whose k-th
-    score lies above it is done. Queries that are not go on with ``growth`` times the depth, at last to the whole
-    collection. Weights must not be negative. Items and queries without a vector of a kind count 0 there.
+    score lies above it is done. Queries that are not go on with ``growth`` times the depth. Once that depth is a
+    ``RANKED``-th of the collection, a ranking would cost more than scoring every pair in blocks, which the queries still open
+    then get, so no ranking grows with the collection. Weights must not be negative. Items and queries without a vector of a kind count 0 there.
     """
     require(features, id, "kind", vectors=("vector",))
     require(queries, "query_id", "kind", vectors=("vector",))
@@ -201,12 +209,7 @@ def fused_threshold(features: DataFrame, queries: DataFrame, kinds: Sequence[str
         raise ValueError(f"{len(kinds)} kinds need as many weights, none of them negative")
     names = list(dict.fromkeys(kinds))
 
-    def wide(df, key):
-        return written(df.filter(F.col("kind").isin(names)).groupBy(key).agg(
-            *[F.first(F.when(F.col("kind") == n, F.col("vector").cast("array<double>")), ignorenulls=True).alias(f"v{i}")
-              for i, n in enumerate(names)]), "wide")
-
-    items, todo = wide(features, id), wide(queries, "query_id")
+    items, todo = written(_wide(features, id, names), "wide"), written(_wide(queries, "query_id", names), "wide")
     other = items.select(F.col(id), *[F.col(f"v{i}").alias(f"w{i}") for i in range(len(names))])
     n, depth, unit = items.count(), depth or max(4 * k, 64), 0.0 if digits is None else 10.0 ** -digits
     done, pairs, rounds = [], 0, 0
@@ -242,9 +245,19 @@ def fused_threshold(features: DataFrame, queries: DataFrame, kinds: Sequence[str
         if todo.isEmpty():
             break
         depth *= growth
+        if depth * RANKED >= n:
+            pairs, rounds = pairs + n * todo.count(), rounds + 1
+            done.append(_fused_exactly(_rankable(items, id, names, metric), _rankable(todo, "query_id", names, metric),
+                                       kinds, weights, k, metric, id, digits))
+            break
     return Fused(union_all(done), pairs, rounds)
 
 
+def _rankable(wide: DataFrame, key: str, names: Sequence[str], metric: str) -> DataFrame:
+    """Null in place of the vectors that ``nearest_pruned`` leaves out of its rankings."""
+    return wide.select(key, *[F.when(usable(f"v{i}", metric), F.col(f"v{i}")).alias(f"v{i}") for i in range(len(names))])
+
+
 def _best(fused: DataFrame, k: int, id: str, digits: int | None, per: Sequence[str] = ("query_id",)) -> DataFrame:
     if digits is not None:
         fused = fused.withColumn("score", F.round("score", digits))

@@ -102,7 +102,8 @@ def _homes(items: DataFrame, points, metric: str, parts=None) -> DataFrame:
 
 
 def _visits(asked: DataFrame, cells: Cells, metric: str, k: int, unit: float, later: bool) -> DataFrame:
-    """(cell, block, query, v, n) for each block a query has to meet: of its nearest cells, or of those its bound leaves."""
+    """(cell, block, query, v, most, n) for each block a query has to meet: of its nearest cells, or of those its bound ``most``
+    leaves."""
     spots = asked.sparkSession.sparkContext.broadcast(cells)
     kind = asked.schema["query"].dataType.simpleString()
 
@@ -113,8 +114,9 @@ def _visits(asked: DataFrame, cells: Cells, metric: str, k: int, unit: float, la
         before = np.cumsum(cells.sizes[order], axis=1) - cells.sizes[order]
         wanted = np.zeros(far.shape, bool)
         np.put_along_axis(wanted, order, before < k, axis=1)
+        bound = batch.column(2) if later else pa.nulls(len(far), pa.float64())
         if later:
-            most = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            most = bound.to_numpy(zero_copy_only=False).astype(float)
             reach = np.where(np.isnan(most), np.inf, _bound(most, metric, unit))
             least = far * (1 - SLACK) - cells.radius * (1 + SLACK) - SLACK
             wanted = ~wanted & (least <= reach[:, None])
@@ -128,16 +130,18 @@ def _visits(asked: DataFrame, cells: Cells, metric: str, k: int, unit: float, la
             some = slice(at, at + ROWS)
             took = pa.array(who[some])
             yield [pa.array(cell[some], pa.int32()), pa.array(block[some], pa.int32()), batch.column(0).take(took),
-                   batch.column(1).take(took), pa.array(n[some], pa.int64())]
+                   batch.column(1).take(took), bound.take(took), pa.array(n[some], pa.int64())]
 
-    return _mapped(asked, work, f"cell int, block int, query {kind}, v array<double>, n long")
+    return _mapped(asked, work, f"cell int, block int, query {kind}, v array<double>, most double, n long")
 
 
 def _met(items: DataFrame, visits: DataFrame, metric: str, k: int, digits: int | None) -> DataFrame:
-    """(query, item, score): for each query and block the best k items; scores are negated distances."""
+    """(query, item, score): for each query and block the best k items, none farther than the query's bound; scores are negated
+    distances. Without the bound a block of k items or fewer would hand on every pair."""
     item, query = items.schema["item"].dataType.simpleString(), visits.schema["query"].dataType.simpleString()
-    left = items.select("cell", "block", F.lit(0).alias("kind"), "item", F.lit(None).cast(query).alias("query"), "v")
-    right = visits.select("cell", "block", F.lit(1).alias("kind"), F.lit(None).cast(item).alias("item"), "query", "v")
+    left = items.select("cell", "block", F.lit(0).alias("kind"), "item", F.lit(None).cast(query).alias("query"), "v",
+                        F.lit(None).cast("double").alias("most"))
+    right = visits.select("cell", "block", F.lit(1).alias("kind"), F.lit(None).cast(item).alias("item"), "query", "v", "most")
 
     def run(batches):
         key, held = None, []
@@ -160,6 +164,8 @@ def _met(items: DataFrame, visits: DataFrame, metric: str, k: int, digits: int |
                 for first in range(0, part.num_rows, ROWS):
                     some = part.slice(first, ROWS)
                     best = BestK(some.num_rows, k, ids.type)
+                    most = some["most"].to_numpy().astype(float)
+                    best.floor = np.where(np.isnan(most), -np.inf, -most - SLACK * (1 + most))
                     for begin, scores in distance_scores(some["v"], held[0]["v"], metric, k, digits):
                         best.offer(scores, ids.slice(begin, scores.shape[1]))
                     rows = best.settle()
