@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vestigo.llm.common import Remembered, by_batches, narrowed
+from vestigo.llm.common import Remembered, by_batches, dropped_by, narrowed
 
 #: Words, pieces and arcs remembered by one worker process.
 KEPT_WORDS, KEPT_PIECES, KEPT_ARCS = 400_000, 250_000, 200_000
@@ -213,6 +213,9 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+dropped_by(__name__, tokenizer.cache_clear)
+
+
 def _encoded(batch, path: str):
     """(ids of rows, token lists) of an Arrow batch, in parts of about BATCH_TOKENS tokens; a text that equals the one
     before it, as copies of a mix do, is encoded once and its list is the same object."""

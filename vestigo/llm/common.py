@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import weakref
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ def by_batches(df: DataFrame, work, schema: str) -> DataFrame:
             for columns in work(part):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
-    return df.mapInArrow(frugal(run), fields)
+    return df.mapInArrow(frugal(run, work.__module__), fields)
 
 
 def parts(batches):
@@ -51,9 +53,15 @@ def parts(batches):
             yield batch.slice(at, PART_ROWS)
 
 
-def frugal(run):
-    """``run`` as it is, then unused memory goes back to the system: workers live on and share it with other stages."""
+def frugal(run, owner: str = ""):
+    """``run`` as it is, then unused memory goes back to the system: workers live on and share it with other stages.
+
+    What a worker remembers for operators of other modules than ``owner``, by default that of ``run``, goes first.
+    """
+    owner = owner or run.__module__
+
     def held(batches):
+        forget_others(owner)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
@@ -75,12 +83,36 @@ def longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+#: What this worker remembers, and by module what drops its other tables.
+_remembered: list[weakref.ref] = []
+_drops: dict[str, Callable[[], None]] = {}
+
+
+def dropped_by(module: str, drop: Callable[[], None]) -> None:
+    """Have ``drop`` called when a worker turns to another module's operator."""
+    _drops[module] = drop
+
+
+def forget_others(owner: str) -> None:
+    """Empty what is remembered for other modules' operators: a worker that runs one operator after the other, as in a
+    pipeline, then holds one operator's words and tables at a time."""
+    for module, drop in _drops.items():
+        if module != owner:
+            drop()
+    _remembered[:] = [r for r in _remembered if r() is not None]
+    for found in [r() for r in _remembered]:
+        if found is not None and found.make.__module__ != owner:
+            found.clear()
+            found.older = {}
+
+
 class Remembered(dict):
     """Values made once for strings, of the most recently used about ``most`` of them; strings over 60 characters are
     made each time. One generation is looked up while the next one fills, so common strings stay."""
 
     def __init__(self, make, most: int):
         self.make, self.half, self.older = make, most // 2, {}
+        _remembered.append(weakref.ref(self))
 
     def __missing__(self, key: str):
         if len(key) > 60:

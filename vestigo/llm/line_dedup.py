@@ -9,7 +9,9 @@ are compared with a bit-parallel edit distance that follows the 2t + 1 diagonals
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,12 @@ LEAST_CHARS = 20
 BLOCK = 512
 #: Lines of which a task holds the rows, however many its texts have.
 HELD_LINES = 50_000
+#: What a text with only single blanks between the words of its lines does not hold.
+UNTIDY = (b"\t", b"\r", b"\x0b", b"\x0c", b"  ", b" \n", b"\n ")
+#: Lines and characters of which a task makes the keys at a time.
+KEYED_LINES, KEYED_CHARS = 16_384, 1 << 18
+#: Bits by which lines are sifted before their texts are handed on: a power of 2 from 64 on.
+SIFT_BITS = 1 << 25
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -41,29 +49,75 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return found
 
 
+class Probes(NamedTuple):
+    """Substrings that a line of one length looks up among lines up to ``edits`` shorter, and its own segments: begin, stop,
+    seed, whether it is an own segment, and the place of the own segment with the same seed, else the probe's own place."""
+
+    begin: np.ndarray
+    stop: np.ndarray
+    seed: np.ndarray
+    own: np.ndarray
+    twin: np.ndarray
+
+
 @lru_cache(maxsize=4096)
-def probes(n: int, edits: int) -> tuple[tuple, tuple]:
-    """(begin, stop, seed) of the substrings that a line of n characters looks up among lines up to ``edits`` shorter,
-    and of its own segments. They depend on the length alone."""
-    wanted, own = [], []
+def probes(n: int, edits: int) -> Probes:
+    """The probes of a line of n characters; they depend on the length alone."""
+    rows = []
     for length in range(max(edits + 1, n - edits), n + 1):
         more = n - length
         for k, (start, size) in enumerate(segments(length, edits)):
             low = max(0, start - k, start + more - (edits - k))
             high = min(n - size, start + k, start + more + (edits - k))
-            for at in range(low, high + 1):
-                (own if length == n and at == start else wanted).append((at, at + size, length * 64 + k))
-    return tuple(wanted), tuple(own)
-
-
-def line_keys(line: str, edits: int) -> dict[int, bool]:
-    """Keys of a line, as unsigned numbers: those of its own segments (true), and those it looks up."""
-    wanted, own = probes(len(line), edits)
-    digest = xxhash.xxh64_intdigest
-    found = {digest(line[a:b], seed): False for a, b, seed in wanted}
-    for a, b, seed in own:
-        found[digest(line[a:b], seed)] = True
-    return found
+            rows += [(at, at + size, length * 64 + k, length == n and at == start) for at in range(low, high + 1)]
+    own = {seed: i for i, (_, _, seed, mine) in enumerate(rows) if mine}
+    begin, stop, seed, mine = (np.array(c, np.int64) for c in (zip(*rows) if rows else [()] * 4))
+    return Probes(begin, stop, seed, mine.astype(bool), np.array([own.get(s, i) for i, s in enumerate(seed.tolist())], np.int64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers spread over 64 bits; different ones stay different."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo 2 to the 64."""
+    base = 0x9E3779B97F4A7C15
+    both = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        row = np.full(n, x, np.uint64)
+        row[:1] = 1
+        both.append(np.cumprod(row, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def line_keys(lines: list[tuple[int, bytes]], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, own, place) of lines given as (characters, text): the keys of their own segments, and those they look up, with the
+    line's place in the list. A key is the hash of a substring, as a polynomial of its code points, and of its seed; the sums
+    of the polynomial up to each character give every substring's."""
+    sizes = np.array([n for n, _ in lines], np.int64)
+    text = b"".join(line for _, line in lines)
+    points = np.frombuffer(text, np.uint8) if text.isascii() else np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+    up, down = _powers(1 << max(19, len(points).bit_length()))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(points * down[:len(points)], out=sums[1:])
+    starts = np.cumsum(sizes) - sizes
+    lengths, kind = np.unique(sizes, return_inverse=True)
+    of = [probes(n, edits) for n in lengths.tolist()]
+    begin, stop, seed, own, twin = (np.concatenate(c) for c in zip(*of))
+    width = np.array([len(x.seed) for x in of])
+    place = np.repeat(np.arange(len(lines)), width[kind])
+    ends = np.cumsum(width[kind])
+    row = np.arange(len(place)) - (ends - width[kind])[place]
+    at = (np.cumsum(width) - width)[kind][place] + row
+    first, own, twin = starts[place], own[at], np.arange(len(place)) - row + twin[at]
+    begin, stop, seed = first + begin[at], first + stop[at], seed[at]
+    key = _mixed(_mixed((sums[stop] - sums[begin]) * up[begin]) ^ seed.astype(np.uint64))
+    once = own | (twin == np.arange(len(key))) | (key[twin] != key)  # a line looks up none of its own segments
+    return key[once], own[once], place[once]
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -105,39 +159,43 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(sets[edits] >> (len(b) - len(a) + edits) & 1)
 
 
-def _lines(text: str, least_chars: int):
-    """(number, begin, stop, normalised line) of the lines long enough: ASCII lower case, one blank between words."""
-    at = 0
-    for k, line in enumerate(text.split("\n")):
-        plain = b" ".join(line.encode().lower().split()).decode()
-        if len(plain) >= least_chars:
-            yield k, at, at + len(line), plain
-        at += len(line) + 1
+def _lines(text: bytes):
+    """(number, begin, stop, normalised line) of the lines with a word: ASCII lower case, one blank between words. Offsets are
+    characters."""
+    at, ascii_only, tidy = 0, text.isascii(), text[:1] != b" " and text[-1:] != b" " and not any(x in text for x in UNTIDY)
+    for k, line in enumerate(text.lower().split(b"\n")):
+        n = len(line) if ascii_only else len(line.decode())
+        plain = line if tidy else b" ".join(line.split())
+        if plain:
+            yield k, at, at + n, plain
+        at += n + 1
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, line, begin, stop, digest binary) of every line with a word."""
     def work(batch):
-        rows = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for k, begin, stop, plain in _lines(text.as_py(), 1):
-                rows.append((i, k, begin, stop, hashlib.md5(plain.encode()).digest()))
-                if len(rows) == HELD_LINES:
-                    yield columns(rows)
-                    rows = []
-        yield columns(rows)
-
-    def columns(rows):
-        return [pa.array(list(c), pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows) if rows else [()] * 5)]
+        held, md5 = [], hashlib.md5
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+            for k, begin, stop, plain in _lines(text.as_py()):
+                held.append((i, k, begin, stop, md5(plain).digest()))
+                if len(held) == HELD_LINES:
+                    yield columns(held)
+                    held = []
+        yield columns(held)
+
+    def columns(held):
+        return [pa.array(list(c), pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(zip(*held) if held else [()] * 5)]
 
     return by_batches(narrowed(docs), work, "doc_id long, line long, begin long, stop long, digest binary")
 
 
-def _different(batch, least_chars: int) -> set[str]:
-    return {plain for text in batch.column(1) for _, _, _, plain in _lines(text.as_py(), least_chars)}
+def _different(batch, least_chars: int) -> set[bytes]:
+    """The normalised lines of a batch's texts with enough characters, each once."""
+    found = {plain for text in batch.column(1).cast(pa.binary()) for _, _, _, plain in _lines(text.as_py()) if len(plain) >= least_chars}
+    return {p for p in found if p.isascii() or len(p) >= 4 * least_chars or len(p.decode()) >= least_chars}
 
 
-def number(line: str) -> int:
+def number(line: bytes) -> int:
     """63 bits of a line's hash. Lines of one number meet as candidates together: it never takes a line's place in a result."""
     return xxhash.xxh64_intdigest(line) >> 1
 
@@ -146,22 +204,15 @@ def keyed_lines(docs: DataFrame, edits: int, least_chars: int) -> DataFrame:
     """(key, line): the keys of every line, equal lines of a part of a batch once. ``line`` is the line's number, made
     negative by its highest bit where the key is that of an own segment."""
     def work(batch):
-        keys, own, lines, times = [], [], [], []
-
-        def rows():
-            line = np.repeat(np.array(lines, np.uint64), times) | np.array(own, np.uint64) << np.uint64(63)
-            return np.array(keys, np.uint64).view(np.int64), line.view(np.int64)
-
-        for plain in _different(batch, least_chars):
-            found = line_keys(plain, edits)
-            keys += found
-            own += found.values()
-            lines.append(number(plain))
-            times.append(len(found))
-            if len(keys) > 200_000:
-                yield rows()
-                keys, own, lines, times = [], [], [], []
-        yield rows()
+        lines = sorted((len(p) if p.isascii() else len(p.decode()), p) for p in _different(batch, least_chars))
+        lines = lines[bisect_left(lines, (edits + 1,)):]  # shorter ones have no segments
+        while lines:
+            ends = np.cumsum([n for n, _ in lines[:KEYED_LINES]])
+            some = max(1, int(np.searchsorted(ends, KEYED_CHARS, side="right")))
+            key, own, place = line_keys(lines[:some], edits)
+            numbers = np.array([number(p) for _, p in lines[:some]], np.uint64)
+            yield key.view(np.int64), (numbers[place] | own.astype(np.uint64) << np.uint64(63)).view(np.int64)
+            lines = lines[some:]
 
     return by_batches(narrowed(docs), work, "key long, line long")
 
@@ -197,6 +248,21 @@ def _shared_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["key", "line"])
 
 
+def _sieve(lines: DataFrame, bits: int = SIFT_BITS) -> np.ndarray:
+    """One of ``bits`` bits set for each line number, in words of 64: the same size for any number of lines."""
+    words = lines.groupBy(F.expr(f"shiftrightunsigned(line, 6) & {bits // 64 - 1}L").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(line & 63L as int)))").alias("word")).toArrow()
+    sieve = np.zeros(bits // 64, np.uint64)
+    sieve[words["at"].to_numpy()] = words["word"].to_numpy().view(np.uint64)
+    return sieve
+
+
+def _sifted(sieve: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Places of the numbers whose bit is set: all those the sieve was made of, and a few others."""
+    words = sieve[(numbers >> np.uint64(6) & np.uint64(len(sieve) - 1)).astype(np.int64)]
+    return np.flatnonzero(words >> (numbers & np.uint64(63)) & np.uint64(1))
+
+
 def _compare(batches, edits: int):
     """(a, b): a forest over the lines of each group that are within ``edits``; rows come sorted by group."""
     group, rows = None, []
@@ -236,13 +302,17 @@ def line_links(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHA
                       .mapInArrow(frugal(_shared_keys), "key long, line long"), "shared")
               .select("key", F.expr("line < 0").alias("own"), F.expr(f"line & {2 ** 63 - 1}L").alias("line")))
     wanted = shared.select("line").distinct()
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
 
     def work(batch):
         found = list(_different(batch, least_chars))
-        yield (np.array([number(p) for p in found], np.int64),
-               pa.array([hashlib.md5(p.encode()).digest() for p in found], pa.binary()), pa.array(found, pa.string()))
+        numbers = np.array([number(p) for p in found], np.uint64)
+        some = _sifted(sieve.value, numbers)
+        found = [found[i] for i in some]
+        yield (numbers[some].astype(np.int64), pa.array([hashlib.md5(p).digest() for p in found], pa.binary()),
+               pa.array(found, pa.binary()).cast(pa.string()))
 
-    # Both sides grow with the texts: neither is broadcast at any size.
+    # The sieve leaves few others; both sides of the join that drops those grow with the texts, so neither is broadcast.
     texts = (by_batches(narrowed(docs), work, "line long, digest binary, body string")
              .join(wanted.hint("shuffle_hash"), "line", "left_semi")
              .groupBy("line", "digest").agg(F.first("body").alias("body")))
