@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vestigo.operators import search
 from vestigo.operators.ranking import WINDOW_CUT, cut_in_tasks, top_k
+from vestigo.operators.terms import document_norms
 from vestigo.sources import bounds, tables
 from tests.test_text import brute
 
@@ -91,3 +92,36 @@ def test_bounds_of_named_ids_and_empty_tables(spark):
     assert [(r["name"], r["score"]) for r in found.orderBy("rank").collect()] == [("b", 2), ("a", 1)]
     none = terms.limit(0)
     assert search.search_bounded(bounds.load_bounds(spark, path, index), none, 5).count() == 0
+
+
+def test_bounds_written_in_slices_hold_every_posting_once(spark, zipf):
+    docs = spark.createDataFrame(zipf, "doc_id bigint, text string")
+    index = tables.save_index(docs, tables.fresh_path(spark, "index"), buckets=4)
+    whole, sliced = tables.fresh_path(spark, "bounds"), tables.fresh_path(spark, "bounds")
+    bounds.save_bounds(index, whole, 64, 16)
+    bounds.save_bounds(index, sliced, 64, 16, ship_bytes=20_000)
+    one, many = bounds.load_bounds(spark, whole, index), bounds.load_bounds(spark, sliced, index)
+    assert sorted(map(str, one.postings.collect())) == sorted(map(str, many.postings.collect()))
+    want = one.postings.join(index.terms.filter("df >= 16"), "term", "left_semi").groupBy("term", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.max("share").alias("share"))
+    queries = [(1, "w0 w1 w1"), (2, "w150"), (4, "w0 w3 w199 w20")]
+    terms = search.query_terms(spark.createDataFrame(queries, "query_id bigint, text string"))
+    for held in (one, many):
+        found = held.maxima.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("tf").alias("tf"), F.max("share").alias("share"))
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+        assert sorted(map(tuple, search.search_bounded(held, terms, 5).collect())) == brute(zipf, queries, 5)
+
+
+def test_norms_shuffle_postings_of_rare_terms_only(spark, zipf):
+    docs = spark.createDataFrame(zipf, "doc_id bigint, text string")
+    index = tables.save_index(docs, tables.fresh_path(spark, "index"), buckets=4)
+    plain = {r["doc_id"]: r["norm"] for r in document_norms(index.postings, index.terms, index.docs).collect()}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when documents and terms are many
+    try:
+        for most, joins in ((1 << 18, 1), (50, 2), (0, 2)):
+            norms = document_norms(index.postings, index.terms, index.docs, most=most)
+            assert {r["doc_id"]: r["norm"] for r in norms.collect()} == pytest.approx(plain)
+            assert plan_of(norms).split("Initial Plan")[-1].count("SortMergeJoin") == joins  # the last of them brings norms to documents
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

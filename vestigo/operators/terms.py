@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -18,6 +18,8 @@ from vestigo.schemas import require
 
 # Texts of a batch that are counted at a time.
 COUNTED = 1 << 10
+# Weights of an index shipped to its postings at most.
+FREQUENT = 1 << 18
 
 
 class IndexSettings(NamedTuple):
@@ -116,13 +118,37 @@ def term_weights(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return document_frequencies(postings).withColumn("idf", F.log(n.scalar() / F.col("df")))
 
 
-def document_norms(postings: DataFrame, weights: DataFrame, docs: DataFrame, id: str = "doc_id") -> DataFrame:
+def document_norms(postings: DataFrame, weights: DataFrame, docs: DataFrame, id: str = "doc_id", most: int | None = None) -> DataFrame:
     """(id, length, norm): tokens of each document and the root of their summed squared idf; 0 without tokens.
 
-    Give saved tables: Spark then shuffles both by term and splits the tasks of very common terms.
+    Give saved tables, and ``most``: at most so many weights, those of the terms of highest document frequency, are then shipped to
+    the postings, and tasks sum up what they read of a document. Only postings of rarer terms are shuffled by term, or those of
+    all terms without ``most``; Spark splits the tasks of very common terms.
     """
+    rows, of = postings.select("term", id, "tf"), weights.select("term", "idf")
+    if most is None:
+        found = rows.join(of, "term")
+    else:
+        least = _frequent_from(weights, most)
+        known = F.broadcast(weights.filter(F.col("df") >= least).select("term", "idf"))
+        found = rows.join(known, "term")
+        if least:
+            rare = rows.join(F.broadcast(known.select("term")), "term", "left_anti")
+            found = found.unionByName(rare.join(weights.filter(F.col("df") < least).select("term", "idf"), "term"))
     square = F.col("idf") * F.col("idf")
-    lengths = (postings.join(weights.select("term", "idf"), "term")
-               .groupBy(id).agg(F.sum("tf").alias("length"), F.sqrt(F.sum(F.col("tf") * square)).alias("norm")))
+    lengths = found.groupBy(id).agg(F.sum("tf").alias("length"), F.sqrt(F.sum(F.col("tf") * square)).alias("norm"))
     return (docs.select(id).join(lengths, id, "left")
             .select(id, F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("norm", F.lit(0.0)).alias("norm")))
+
+
+def _frequent_from(weights: DataFrame, most: int) -> int:
+    """The smallest document frequency that at most ``most`` terms reach, 0 when no term is rarer.
+
+    Only the table of frequencies is added up in one place.
+    """
+    found = weights.groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
+    sums = found.withColumn("kept", F.sum("terms").over(Window.orderBy(F.desc("df"))))
+    row = sums.agg(F.min(F.when(F.col("kept") <= most, F.col("df"))).alias("least"), F.min("df").alias("rarest"), F.max("df").alias("largest")).first()
+    if row["least"] == row["rarest"]:
+        return 0
+    return row["least"] or row["largest"] + 1

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vestigo.functions.text import BLANK
 from vestigo.operators.refresh import content_hashes
-from vestigo.operators.terms import Index, IndexSettings, counted_terms, document_norms
+from vestigo.operators.terms import FREQUENT, Index, IndexSettings, counted_terms, document_norms
 from vestigo.sources.tables import BUCKETS, agreed, write_postings
 
 #: Segments are merged when there are more than this many of about one size, the tier: sizes within a factor of TIER.
@@ -154,7 +154,7 @@ def save_norms(spark: SparkSession, path: str) -> Index:
     index = load(spark, path)
     index.terms.select("term", "df", "idf").write.mode("overwrite").parquet(f"{path}/weights-{number}")
     ids = _live(spark, path, _log(spark, path)[2], "hashes", settings.id).select(settings.id)
-    norms = document_norms(index.postings, spark.read.parquet(f"{path}/weights-{number}"), ids, settings.id)
+    norms = document_norms(index.postings, spark.read.parquet(f"{path}/weights-{number}"), ids, settings.id, FREQUENT)
     norms.write.mode("overwrite").parquet(f"{path}/norms-{number}")
     return load(spark, path)
 
