@@ -43,6 +43,14 @@ def test_a_grid_keeps_its_bounds():
         assert q >= q_least and c >= c_least and q * c >= 36
 
 
+def test_cells_are_dealt_to_all_partitions_in_turn(spark):
+    for cells in (5, 8, 20):
+        keys = blocks.cell_keys(spark, cells)
+        assert len(set(keys)) == cells
+        rows = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(8, "k").groupBy(F.spark_partition_id()).count().collect()
+        assert len(rows) == min(cells, 8) and max(r["count"] for r in rows) <= -(-cells // 8)
+
+
 @pytest.mark.parametrize("metric", ["l2", "cosine", "l1", "tanimoto"])
 @pytest.mark.parametrize("digits", [None, 3])
 def test_pairs_in_question_hold_the_best(metric, digits):
@@ -101,3 +109,24 @@ def test_common_terms_are_counted_as_a_product():
         for j, right in enumerate(d["tokens"].to_pylist()):
             total = sum(left.count(t) * right.count(t) for t in set(left))
             assert total == (0 if np.isnan(got[i, j]) else got[i, j])
+
+
+def test_long_documents_first_leave_most_pairs_unscored(monkeypatch):
+    draw = np.random.default_rng(6)
+    def lists(sizes):
+        return pa.table({"tokens": pa.array([[f"w{x}" for x in draw.zipf(1.5, n)] for n in sizes], pa.list_(pa.string()))})
+    q, d = lists([12] * 59 + [0]), lists(np.maximum(draw.pareto(0.8, 3000) * 5, 0).astype(int) % 4000)
+    ids, cells = pa.array(np.arange(3000)[::-1].copy()), []
+    d = d.append_column("id", ids)
+    every = blocks.BestK(60, 5, pa.int64())
+    for first, scores in search.count_scores(search.query_counts(q), d):
+        every.offer(scores, ids.slice(first, scores.shape[1]))
+    scored = search._scored_block
+    monkeypatch.setattr(search, "CELLS", 4000)
+    monkeypatch.setattr(search, "_scored_block", lambda left, code, row, tf, width, *more: (
+        cells.append(left.n * width), scored(left, code, row, tf, width, *more))[1])
+    best = blocks.BestK(60, 5, pa.int64())
+    for who, at, scores in search.whole_counts(d)(q, best):
+        best.add(who, scores, ids.take(pa.array(at)))
+    assert best.settle().to_pydict() == every.settle().to_pydict()
+    assert sum(cells) < 60 * 3000 / 3

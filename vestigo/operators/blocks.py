@@ -30,6 +30,8 @@ HOLD_ROWS = 1 << 22
 # (queries, collection rows, best so far) -> iterator of (query numbers, row numbers, scores); larger is better. All pairs
 # are in it that can be among the best k of a query.
 Scorer = Callable[[object, pa.Table, "BestK"], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+# All rows of a part -> (queries, best so far) -> iterator as a scorer's. What it makes of the rows serves all their queries.
+Whole = Callable[[pa.Table], Callable[[pa.Table, "BestK"], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]
 
 
 def measure(df: DataFrame, size: Column) -> tuple[int, int]:
@@ -65,16 +67,16 @@ class BestK:
         self.waiting: list[pa.Table] = []
         self.waiting_rows = 0
 
-    def chosen(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) numbers of a score matrix that can be among the best; NaN is no match."""
+    def chosen(self, scores: np.ndarray, who: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) numbers of a score matrix, of the queries ``who``, that can be among the best; NaN is no match."""
         if self.k == 0 or not scores.size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hit = scores >= self.floor[:, None]
+        hit = scores >= self.floor[who][:, None]
         if scores.shape[1] > self.k and np.count_nonzero(hit) > 2 * self.k * len(scores):
             cut = np.partition(np.where(np.isnan(scores), -np.inf, scores), -self.k, axis=1)[:, -self.k]
             # k rows of this block reach the cut, so no later row below it can be among the best
-            self.floor = np.maximum(self.floor, cut)
-            hit = scores >= self.floor[:, None]
+            self.floor[who] = np.maximum(self.floor[who], cut)
+            hit = scores >= self.floor[who][:, None]
         return np.nonzero(hit)
 
     def sifted(self, rough: np.ndarray, reach: Callable, least: Callable, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +136,15 @@ def grid(cells: int, q_least: int, c_least: int, q_bytes: float, c_bytes: float)
 def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, query_id: str, id: str,
            query_size: Column, corpus_size: Column, ship_bytes: int = SHIP_BYTES,
            block_bytes: int = BLOCK_BYTES, hold_rows: int = HOLD_ROWS, prepare: Callable[[pa.Table], object] | None = None,
-           at_once: int = QUERY_ROWS) -> DataFrame:
+           at_once: int = QUERY_ROWS, whole: Whole | None = None) -> DataFrame:
     """Candidates ``(query_id, id, score)`` that contain the exact best k rows of the collection for each query.
 
     ``query_size`` and ``corpus_size`` give the bytes of a row. Few queries are shipped to all tasks of the collection, and
     per query there may be up to k candidates from each; ``ranking.top_k`` merges them. Else a small collection is shipped to
     the tasks of the queries, or both sides are cut into a grid: a query then has k candidates, or k from each part of the
     collection, however many tasks there are. A task scores ``at_once`` queries at a time. What ``prepare`` makes of a
-    table of queries, once for all rows they meet, goes to the scorer in its place.
+    table of queries, once for all rows they meet, goes to the scorer in its place. Where a task holds all rows of its part,
+    ``whole`` finds the pairs, if given, and the scorer is left out.
     """
     spark = queries.sparkSession
     schema = (f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
@@ -149,8 +152,13 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
     most = hold_rows // max(k, 1)
     at_once = max(1, min(at_once, most))
 
+    def told(q: pa.Table, best: BestK) -> Iterator[pa.RecordBatch]:
+        held = best.settle()
+        out = pa.table({query_id: q.column(query_id).combine_chunks().take(held["q"].combine_chunks()), id: held["id"], "score": held["s"]})
+        return iter(out.to_batches(BATCH_ROWS))
+
     def match(q: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, names = None, q.column(query_id).combine_chunks()
+        best = None
         ready = prepare(q) if prepare else q
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -159,13 +167,29 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
             for who, at, scores in scorer(ready, rows, best):
                 best.add(who, scores, held_ids.take(pa.array(at)))
         if best is not None:
-            held = best.settle()
-            out = pa.table({query_id: names.take(held["q"].combine_chunks()), id: held["id"], "score": held["s"]})
-            yield from out.to_batches(BATCH_ROWS)
+            yield from told(q, best)
+
+    def finder(rows: pa.Table) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+        """What finds the best rows of a part for tables of queries."""
+        if whole is None:
+            batches = rows.to_batches(BATCH_ROWS)
+
+            def turn(q: pa.Table) -> Iterator[pa.RecordBatch]:
+                return match(q, iter(batches))
+        else:
+            ids, search = rows.column(id).combine_chunks(), whole(rows)
+
+            def turn(q: pa.Table) -> Iterator[pa.RecordBatch]:
+                best = BestK(q.num_rows, k, ids.type)
+                for who, at, scores in search(q, best):
+                    best.add(who, scores, ids.take(pa.array(at)))
+                return told(q, best)
+
+        def by_turns(q: pa.Table) -> Iterator[pa.RecordBatch]:
+            for first in range(0, q.num_rows, at_once):
+                yield from turn(q.slice(first, at_once).combine_chunks())
 
-    def by_turns(q: pa.Table, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first in range(0, q.num_rows, at_once):
-            yield from match(q.slice(first, at_once).combine_chunks(), iter(rows))
+        return by_turns
 
     query_rows, query_bytes = measure(queries, query_size)
     if query_rows <= min(most, max(SHIP_ROWS // max(k, 1), 1)) and query_bytes <= ship_bytes:
@@ -175,13 +199,13 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
     tasks = 3 * spark.sparkContext.defaultParallelism
     corpus_bytes = measure(corpus, corpus_size)[1]
     if corpus_bytes <= ship_bytes:
-        whole = spark.sparkContext.broadcast(pack(corpus.toArrow()))
+        shipped_rows = spark.sparkContext.broadcast(pack(corpus.toArrow()))
 
         def search_all(batches):
-            rows = unpack(whole.value).combine_chunks().to_batches(BATCH_ROWS)
-            for batch in batches:
-                if batch.num_rows:
-                    yield from by_turns(pa.Table.from_batches([batch]), rows)
+            find = None
+            for q in gathered(batches, at_once):
+                find = find or finder(unpack(shipped_rows.value).combine_chunks())
+                yield from find(q)
 
         return queries.repartition(tasks).mapInArrow(search_all, schema)
 
@@ -189,19 +213,44 @@ def best_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer, *, que
     q_parts, c_parts = grid(tasks, max(-(-query_bytes // ship_bytes), -(-query_rows // max(most, 1))), -(-corpus_bytes // block_bytes),
                             query_bytes + 32.0 * k * query_rows, corpus_bytes)
     # columns named anew: cogroup loses those that both sides take from one frame
-    left = (queries.select(*[F.col(name).alias(name) for name in queries.columns]).withColumn("_q", F.pmod(F.xxhash64(query_id), F.lit(q_parts)))
-            .withColumn("_c", F.explode(F.sequence(_long(0), _long(c_parts - 1)))))
-    right = (corpus.withColumn("_c", F.pmod(F.xxhash64(id), F.lit(c_parts)))
-             .withColumn("_q", F.explode(F.sequence(_long(0), _long(q_parts - 1)))))
+    keys = cell_keys(spark, q_parts * c_parts)
+    named = F.array(*[F.array(*[_long(key) for key in keys[at:at + c_parts]]) for at in range(0, len(keys), c_parts)])
+    left = (queries.select(*[F.col(name).alias(name) for name in queries.columns])
+            .withColumn("_cell", F.explode(F.get(named, F.pmod(F.xxhash64(query_id), F.lit(q_parts)).cast("int")))))
+    right = corpus.withColumn("_cell", F.explode(F.transform(named, lambda row: F.get(row, F.pmod(F.xxhash64(id), F.lit(c_parts)).cast("int")))))
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        found = list(by_turns(q, c.combine_chunks().to_batches(BATCH_ROWS))) if q.num_rows and c.num_rows else []
+        found = list(finder(c.combine_chunks())(q)) if q.num_rows and c.num_rows else []
         if found:
             return pa.Table.from_batches(found)
         return pa.table({query_id: pa.array([], q.schema.field(query_id).type),
                          id: pa.array([], c.schema.field(id).type), "score": pa.array([], pa.float64())})
 
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(cell, schema)
+    return left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(cell, schema)
+
+
+def cell_keys(spark, cells: int) -> list[int]:
+    """Different keys for so many groups, which a shuffle by key deals to all its partitions in turn."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = spark.range(16 * max(cells, parts)).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part")).collect()
+    held = [[] for _ in range(parts)]
+    for row in drawn:
+        held[row["part"]].append(row["id"])
+    rounds = sorted((turn, part) for part, ids in enumerate(held) for turn in range(len(ids)))
+    return [held[part][turn] for turn, part in rounds[:cells]]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of at least so many rows, but for the last."""
+    held = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _long(n: int) -> Column:

@@ -24,7 +24,9 @@ DEFAULT_K = 10
 FIRST_BLOCKS = 16
 # Queries a task scores at a time in a batch search, entries of a score matrix, and the share of pairs from which on a term's
 # counts are multiplied as a matrix.
-QUERIES, CELLS, COMMON = 1 << 13, 1 << 21, 1 / 256
+QUERIES, CELLS, COMMON = 1 << 14, 1 << 21, 1 / 256
+# Documents of one block at most while a part's documents are taken by falling length.
+BLOCK_WIDTH = 1 << 14
 
 
 def query_terms(queries: DataFrame, text: str = "text", pattern: str = BLANK, stop_words: Iterable[str] = ()) -> DataFrame:
@@ -139,7 +141,8 @@ def search_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: st
     """``search_texts`` for any number of queries.
 
     Tasks score their documents against all queries at once and hand on only the best k per query, so a term shared
-    by most queries and most documents never turns into rows of a shuffle.
+    by most queries and most documents never turns into rows of a shuffle. A task that holds a part of the documents takes
+    them by falling length of their count vectors and drops the queries that no later document can serve (``whole_counts``).
     """
     require(queries, "query_id", text)
     left = queries.select("query_id", tokens(text, pattern, stop_words).alias("tokens"))
@@ -148,14 +151,14 @@ def search_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id: st
     found = blocks.best_k(
         left.filter(F.size("tokens") > 0), right, k, blocks.dense(count_scores), query_id="query_id", id=id,
         query_size=size, corpus_size=size,
-        ship_bytes=ship_bytes, block_bytes=block_bytes, prepare=query_counts, at_once=QUERIES)
+        ship_bytes=ship_bytes, block_bytes=block_bytes, prepare=query_counts, at_once=QUERIES, whole=whole_counts)
     return _top(found.select("query_id", id, F.col("score").cast("bigint").alias("score")), k, id)
 
 
 class QueryCounts(NamedTuple):
     """Queries by term: the vocabulary, where each term's entries begin, and the entries' queries and counts."""
 
-    vocab: pa.Array
+    vocab: pa.Array | np.ndarray
     n: int
     start: np.ndarray
     query: np.ndarray
@@ -170,10 +173,94 @@ def query_counts(queries: pa.Table) -> QueryCounts:
     return QueryCounts(vocab, n, np.searchsorted(pair // max(n, 1), np.arange(len(vocab) + 1)), pair % max(n, 1), count)
 
 
+def _grouped(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``n`` codes begins in their order, and that order."""
+    order = np.argsort(codes, kind="stable")
+    return np.searchsorted(codes[order], np.arange(n + 1)), order
+
+
+def _list_counts(lists: pa.ListArray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, code, count) of token lists from their tokens' codes, by list; codes below 0 are left out. A slice at a time."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets, size, parts = offsets - offsets[0], int(codes.max(initial=0)) + 1, []
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CELLS, side="right")) - 1)
+        some = codes[offsets[first]:offsets[last]].astype(np.int64)
+        row = np.repeat(np.arange(last - first), np.diff(offsets[first:last + 1]))
+        pair, count = np.unique((row * size + some)[some >= 0], return_counts=True)
+        parts.append(((first + pair // size).astype(np.int32), (pair % size).astype(np.int32), count.astype(np.int32)))
+        first = last
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (list(zip(*parts)) or ((), (), ())))
+
+
+def whole_counts(docs: pa.Table):
+    """``count_scores`` for all documents of a part: a finder of the best for tables of queries (``blocks.Whole``).
+
+    A score is at most the product of the lengths of both count vectors (Cauchy and Schwarz). Documents are scored by falling
+    length, so a query whose k-th score lies above its product with the next document's length is done.
+    """
+    lists = docs.column("tokens").combine_chunks()
+    named = lists.flatten().dictionary_encode()
+    vocab = named.dictionary
+    row, code, tf = _list_counts(lists, named.indices.to_numpy(zero_copy_only=False))
+    length = np.sqrt(np.bincount(row, weights=tf.astype(float) ** 2, minlength=len(lists)))
+    order = np.argsort(-length, kind="stable")
+    n = np.bincount(row, minlength=len(lists))
+    begin, n = (np.cumsum(n) - n)[order], n[order]
+    start = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(begin - start[:-1], n) + np.arange(len(row))
+    code, tf, length = code[at], tf[at], length[order]
+
+    def search(queries: pa.Table, best: blocks.BestK):
+        q_lists = queries.column("tokens").combine_chunks()
+        q_code = pc.fill_null(pc.index_in(q_lists.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+        names = np.unique(q_code[q_code >= 0])
+        known = np.full(len(vocab), -1, np.int32)
+        known[names] = np.arange(len(names))
+        asked, term, count = _list_counts(q_lists, np.where(q_code < 0, -1, known[q_code]) if len(names) else q_code)
+        who, reach = np.arange(len(q_lists)), np.sqrt(np.bincount(asked, weights=count.astype(float) ** 2, minlength=len(q_lists)))
+        left, first = None, 0
+        while first < len(lists):
+            most = reach[who] * length[first] * (1 + 1e-9)
+            open_ = (most >= best.floor[who]) & (most > 0)
+            if not open_.any():
+                return
+            if left is None or open_.sum() < 0.75 * len(who):
+                used = open_[asked]
+                asked, term, count = (np.cumsum(open_) - 1)[asked[used]], term[used], count[used]
+                who = who[open_]
+                begin, by = _grouped(term, len(names))
+                left = QueryCounts(names, len(who), begin, asked[by], count[by])
+            width = min(max(CELLS // len(who), 256), BLOCK_WIDTH, len(lists) - first)
+            lo, hi = start[first], start[first + width]
+            some, row = known[code[lo:hi]], np.repeat(np.arange(width), n[first:first + width])
+            used = some >= 0
+            exact = reach[who].max() * length[first] < 1 << 24  # no sum of a score then leaves the whole numbers of a float
+            scores = _scored_block(left, some[used], row[used], tf[lo:hi][used], width, exact)
+            q, d = best.chosen(scores, who)
+            yield who[q], order[first + d], scores[q, d]
+            first += width
+
+    return search
+
+
+def _scored_block(queries: QueryCounts, code: np.ndarray, row: np.ndarray, tf: np.ndarray, width: int, exact: bool = False) -> np.ndarray:
+    """Score matrix of queries and the documents of a block from the documents' counts; NaN where no term is shared."""
+    shared = np.bincount(code, minlength=len(queries.vocab)) * np.diff(queries.start)
+    common = np.flatnonzero(shared > queries.n * width * COMMON)
+    scores = _common_scores(queries, common, code, row, tf, width, exact)
+    known = (shared > 0)
+    known[common] = False
+    known = known[code]
+    _add_rare(scores, queries, code[known], row[known], tf[known], width, CELLS)
+    scores[scores == 0] = np.nan
+    return scores.reshape(queries.n, width)
+
+
 def count_scores(queries: QueryCounts, docs: pa.Table, cells: int = CELLS):
     """Score matrices of token lists: summed products of term counts, NaN where no term is shared."""
-    vocab, n_q, start, q_of, q_count = queries
-
+    vocab, n_q, start = queries.vocab, queries.n, queries.start
     d_lists = docs.column("tokens").combine_chunks()
     code = pc.index_in(d_lists.flatten(), value_set=vocab)
     known = pc.is_valid(code).to_numpy(zero_copy_only=False)
@@ -192,22 +279,29 @@ def count_scores(queries: QueryCounts, docs: pa.Table, cells: int = CELLS):
         scores = _common_scores(queries, common, some, row, times, width)
         rest = ~np.isin(some, common)
         some, row, times = some[rest], row[rest], times[rest]
-        spread = start[some + 1] - start[some]
-        edges = np.concatenate([[0], np.cumsum(spread)])
-        at = 0
-        while at < len(some):
-            # a slice of postings whose matching query entries stay near ``cells``
-            end = max(at + 1, int(np.searchsorted(edges, edges[at] + cells, side="right")) - 1)
-            n = spread[at:end]
-            entry = np.repeat(start[some[at:end]] - (edges[at:end] - edges[at]), n) + np.arange(n.sum())
-            cell = q_of[entry] * width + np.repeat(row[at:end], n)
-            scores += np.bincount(cell, weights=q_count[entry] * np.repeat(times[at:end], n), minlength=len(scores))
-            at = end
+        _add_rare(scores, queries, some, row, times, width, cells)
         scores[scores == 0] = np.nan
         yield first, scores.reshape(n_q, width)
 
 
-def _common_scores(queries: QueryCounts, common: np.ndarray, code: np.ndarray, row: np.ndarray, tf: np.ndarray, width: int) -> np.ndarray:
+def _add_rare(scores: np.ndarray, queries: QueryCounts, code: np.ndarray, row: np.ndarray, tf: np.ndarray, width: int, cells: int) -> None:
+    """Add to a flat score matrix what postings and the query entries of their terms give."""
+    start = queries.start
+    spread = start[code + 1] - start[code]
+    edges = np.concatenate([[0], np.cumsum(spread)])
+    at = 0
+    while at < len(code):
+        # a slice of postings whose matching query entries stay near ``cells``
+        end = max(at + 1, int(np.searchsorted(edges, edges[at] + cells, side="right")) - 1)
+        n = spread[at:end]
+        entry = np.repeat(start[code[at:end]] - (edges[at:end] - edges[at]), n) + np.arange(n.sum())
+        cell = queries.query[entry] * width + np.repeat(row[at:end], n)
+        scores += np.bincount(cell, weights=queries.count[entry] * np.repeat(tf[at:end], n), minlength=len(scores))
+        at = end
+
+
+def _common_scores(queries: QueryCounts, common: np.ndarray, code: np.ndarray, row: np.ndarray, tf: np.ndarray, width: int,
+                   exact: bool = False) -> np.ndarray:
     """Flat score matrix over the terms that many queries and documents hold, by one matrix product of their counts."""
     if not len(common):
         return np.zeros(queries.n * width)
@@ -217,7 +311,7 @@ def _common_scores(queries: QueryCounts, common: np.ndarray, code: np.ndarray, r
     entry = np.repeat(queries.start[common] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     held = place[code] >= 0
     largest = float(queries.count[entry].max()) * float(tf[held].max()) * len(common)
-    kind = np.float32 if largest < 1 << 24 else np.float64  # whole numbers below this are exact
+    kind = np.float32 if exact or largest < 1 << 24 else np.float64  # whole numbers below this are exact
     left, right = np.zeros((queries.n, len(common)), kind), np.zeros((len(common), width), kind)
     left[queries.query[entry], np.repeat(np.arange(len(common)), n)] = queries.count[entry]
     right[place[code[held]], row[held]] = tf[held]
