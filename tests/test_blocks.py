@@ -72,6 +72,29 @@ def test_pairs_in_question_hold_the_best(metric, digits):
     assert digits is None or got["id"] == want["id"]
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "constant", "large"])
+def test_l1_is_computed_for_few_pairs_and_none_is_missed(kind, monkeypatch):
+    draw = np.random.default_rng(9)
+    b = draw.standard_normal((3000, 48))
+    if kind == "ties":
+        b = np.round(np.abs(b) * (draw.random(b.shape) < 0.3))  # mostly zeros, whole numbers
+    elif kind == "constant":
+        b[:, 7:] = 3.0
+    elif kind == "large":
+        b[5] *= 1e12
+    a = b[::100] + (0 if kind == "ties" else 0.01)
+    q, c = (pa.chunked_array([pa.array(list(x), pa.list_(pa.float64()))]) for x in (a, b))
+    ids, every = pa.array(np.arange(3000)[::-1].copy()), blocks.BestK(30, 10, pa.int64())
+    for first, scores in distance_scores(q, c, "l1", 10, 6):
+        every.offer(scores, ids.slice(first, scores.shape[1]))
+    best, taken = blocks.BestK(30, 10, pa.int64()), 0
+    for who, row, scores in near_pairs(q, c, "l1", 6, best):
+        best.add(who, scores, ids.take(pa.array(row)))
+        taken += len(who)
+    assert best.settle().to_pydict() == every.settle().to_pydict()
+    assert kind in ("ties", "large") or taken < 30 * 3000 / 10
+
+
 def test_vectors_too_long_to_square_keep_their_neighbours(spark):
     items = vectors(spark, [[1e200, 0], [1e200, 1e190], [0, 1], [1e-200, 0], None, [0, 0]], "id")
     asked = items.withColumnRenamed("id", "query_id")

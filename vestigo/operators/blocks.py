@@ -56,6 +56,11 @@ def fetch_small(df: DataFrame, size: Column, max_bytes: int = SHIP_BYTES,
     return (df.toArrow() if rows <= max_rows and total <= max_bytes else None), rows, total
 
 
+def places(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix with few places set."""
+    return np.divmod(np.flatnonzero(hit), hit.shape[1])
+
+
 class BestK:
     """Running best k per query over blocks of scores; ties go to the smaller id."""
 
@@ -77,7 +82,7 @@ class BestK:
             # k rows of this block reach the cut, so no later row below it can be among the best
             self.floor[who] = np.maximum(self.floor[who], cut)
             hit = scores >= self.floor[who][:, None]
-        return np.nonzero(hit)
+        return places(hit)
 
     def sifted(self, rough: np.ndarray, reach: Callable, least: Callable, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``chosen`` by rough values (no NaN) of the queries ``who``: ``reach`` gives the rough value that scores from a
@@ -89,7 +94,7 @@ class BestK:
             cut = np.partition(rough, -self.k, axis=1)[:, -self.k]
             self.floor[who] = np.maximum(self.floor[who], least(cut))
             hit = rough >= reach(self.floor[who])[:, None]
-        return np.nonzero(hit)
+        return places(hit)
 
     def offer(self, scores: np.ndarray, ids: pa.Array) -> None:
         q, d = self.chosen(scores)

@@ -17,6 +17,8 @@ from vestigo.schemas import require
 
 #: Squared lengths below it lose digits.
 TINY = 1e-280
+#: Knots between which l1 distances are taken by products, rows that place them, and sums of ranges that floats can hold.
+SEGMENTS, KNOT_ROWS, PLAIN = 3, 1024, (1e-25, 1e25)
 
 
 def feature_distance(corpus: DataFrame, query: DataFrame, metric: str = "l2", id: str = "id", vector: str = "vector",
@@ -79,7 +81,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def near_pairs(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, digits: int | None, best: blocks.BestK):
     """(query numbers, item numbers, negated distances) of all pairs that can be among the best.
 
-    For l2 and cosine one matrix product gives rough values; only pairs that these leave in question are computed exactly.
+    For l2, cosine and l1 one matrix product gives rough values; only pairs that these leave in question are computed exactly.
     """
     a, b = matrix(queries), matrix(items)
     if len(a) and len(b) and a.shape[1] != b.shape[1]:
@@ -87,6 +89,13 @@ def near_pairs(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, di
     with np.errstate(over="ignore", invalid="ignore"):
         a2, b2 = (a * a).sum(1), (b * b).sum(1)
     use_a, use_b = np.isfinite(a).all(1), np.isfinite(b).all(1)
+    if metric == "l1" and use_a.any() and use_b.any() and not (np.isinf(a).any() or np.isinf(b).any()):
+        who, which = np.flatnonzero(use_a), np.flatnonzero(use_b)
+        found = _near_l1(a[who], b[which], digits, best, who)
+        if found is not None:
+            for q, d, scores in found:
+                yield who[q], which[d], scores
+            return
     if metric == "cosine":
         use_a, use_b = use_a & (a != 0).any(1), use_b & (b != 0).any(1)
     plain = all(np.isfinite(x).all() and (metric == "l2" or not (x < TINY).any()) for x in (a2[use_a], b2[use_b]))
@@ -130,6 +139,79 @@ def near_pairs(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, di
             yield who[i[good]], which[j[good]], scores[good]
 
 
+def _near_l1(a: np.ndarray, b: np.ndarray, digits: int | None, best: blocks.BestK, who: np.ndarray):
+    """(row of a, row of b, negated l1 distance) of pairs that can be among the best; None where floats cannot hold the values.
+
+    Knots cut each dimension's range into segments. The line from knot to knot of |x - y|, as a function of y, is a product of
+    what x and what y tell, and is exact unless both lie in one segment. There, at parts u and v of a segment of length g, it is
+    too large by 2 g min(u, v) (1 - max(u, v)), which is at most 2 g sqrt(u (1 - u) v (1 - v)), a product again. Their difference
+    is never above the distance; only pairs for which it does not exceed the k-th distance are computed exactly.
+    """
+    low, high = np.minimum(a.min(0), b.min(0)), np.maximum(a.max(0), b.max(0))
+    reach = float((high - low).sum()) if a.shape[1] else 0.0
+    if best.k == 0 or not PLAIN[0] < reach < PLAIN[1]:
+        return None
+    inner = np.quantile(b[::max(1, len(b) // KNOT_ROWS)], [(i + 1) / SEGMENTS for i in range(SEGMENTS - 1)], axis=0)
+    knots = np.vstack([low, np.clip(inner, low, high), high])
+    unit = (0.0 if digits is None else 10.0 ** -digits) + 1e-12 * reach
+    margin = unit + 4 * (2 * SEGMENTS * a.shape[1] + 8) * float(np.finfo(np.float32).eps) * reach
+
+    def bumps(v):
+        at = (v[:, None, :] >= knots[1:-1]).sum(1)
+        start = np.take_along_axis(knots, at, 0)
+        gap = np.take_along_axis(knots, at + 1, 0) - start
+        part = np.clip((v - start) / np.where(gap > 0, gap, 1), 0, 1)
+        return at, part, np.sqrt(part * (1 - part) * gap)
+
+    def told_by_a():
+        at, _, bump = bumps(a)
+        ends = np.abs(a[:, None, :] - knots)
+        lines = ends[:, 1:] - ends[:, :1]
+        own = np.zeros((len(a), SEGMENTS, a.shape[1]))
+        np.put_along_axis(own, at[:, None, :], -2 * bump[:, None, :], 1)
+        return -np.concatenate([lines, own], axis=1, dtype=np.float32).reshape(len(a), -1), -ends[:, 0].sum(1)
+
+    def told_by_b(rows):
+        at, part, bump = bumps(rows)
+        lines, own = np.zeros((2, len(rows), SEGMENTS + 1, a.shape[1]), np.float32)
+        np.put_along_axis(lines, at[:, None, :], 1 - part[:, None, :], 1)
+        np.put_along_axis(lines, at[:, None, :] + 1, part[:, None, :], 1)
+        np.put_along_axis(own, at[:, None, :], bump[:, None, :], 1)
+        return np.concatenate([lines[:, 1:], own[:, :-1]], axis=1).reshape(len(rows), -1)
+
+    by_entry, items = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    short_a, short_b = (a - low).astype(np.float32), (b - low).astype(np.float32)
+
+    def exact(q, d):
+        # entry after entry, as the sums over all pairs
+        value = np.concatenate([np.abs(by_entry[:, q[at:at + (1 << 13)]] - items[:, d[at:at + (1 << 13)]]).sum(0)
+                                for at in range(0, len(q), 1 << 13)] or [np.zeros(0)])
+        return (-value if digits is None else np.round(-value, digits)) + 0.0
+
+    def pairs():
+        left, least = told_by_a()
+        step = max(1, 8 * blocks.CELLS // len(a))
+        for first in range(0, len(b), step):
+            rough = left @ told_by_b(b[first:first + step]).T
+            hit = rough >= (best.floor[who] - least - margin).astype(np.float32)[:, None]
+            if rough.shape[1] > best.k and np.count_nonzero(hit) > 2 * best.k * len(a):
+                # k items of this block, scored, are a floor
+                some = first + np.argpartition(rough, -best.k, axis=1)[:, -best.k:]
+                scores = exact(np.repeat(np.arange(len(a)), best.k), some.ravel()).reshape(some.shape)
+                best.floor[who] = np.maximum(best.floor[who], scores.min(1))
+                hit = rough >= (best.floor[who] - least - margin).astype(np.float32)[:, None]
+            q, d = blocks.places(hit)
+            for at in range(0, len(q), 1 << 14):
+                i, j = q[at:at + (1 << 14)], first + d[at:at + (1 << 14)]
+                near = np.abs(short_a[i] - short_b[j]).sum(1) <= (margin - best.floor[who[i]]).astype(np.float32)
+                i, j = i[near], j[near]
+                scores = exact(i, j)
+                good = scores >= best.floor[who[i]]
+                yield i[good], j[good], scores[good]
+
+    return pairs()
+
+
 def distance_scores(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, k: int, digits: int | None,
                     cells: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Matrices of negated distances, block by block of items."""
