@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vestigo.operators import blocks, fusion, search
-from vestigo.operators.distances import distance_scores, near_pairs, nearest
+from vestigo.operators import blocks, crossmodal, fusion, search
+from vestigo.operators.distances import boxed_cosine, distance_scores, near_pairs, nearest
+from vestigo.plans import media
 
 
 def vectors(spark, rows, name):
@@ -95,6 +96,37 @@ def test_l1_is_computed_for_few_pairs_and_none_is_missed(kind, monkeypatch):
     assert kind in ("ties", "large") or taken < 30 * 3000 / 10
 
 
+@pytest.mark.parametrize("rows", [5, 90, 9000])
+@pytest.mark.parametrize("k", [1, 10, 100])
+def test_short_vectors_are_looked_up_in_boxes(rows, k, monkeypatch):
+    draw = np.random.default_rng(10)
+    b = np.array([2.0, -1, 0.5, 1]) + 0.3 * draw.standard_normal((rows, 4))
+    a = np.vstack([draw.standard_normal((40, 4)), b[:40]])
+    b[rows // 2:rows // 2 + rows // 10] = b[0]
+    b[1], b[2, 1], b[3, 0], a[3], a[4, 1] = 0, np.nan, np.inf, 0, np.nan
+    q, c = (pa.chunked_array([pa.array(list(x), pa.list_(pa.float64()))]) for x in (a, b))
+    ids, every = pa.array(np.arange(rows)[::-1].copy()), blocks.BestK(len(a), k, pa.int64())
+    for who, row, scores in near_pairs(q, c, "cosine", 6, every):
+        every.add(who, scores, ids.take(pa.array(row)))
+    looked, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *x: (looked.append(x[2].size // 4), einsum(*x))[1])
+    best = blocks.BestK(len(a), k, pa.int64())
+    for who, row, scores in boxed_cosine(c, "vector", 6)(pa.table({"vector": q}), best):
+        best.add(who, scores, ids.take(pa.array(row)))
+    assert best.settle().to_pydict() == every.settle().to_pydict()
+    assert rows < 9000 or k > 10 or sum(looked) < len(a) * rows / 3
+
+
+def test_short_vectors_without_a_usable_one(spark):
+    items = vectors(spark, [None, [0, 0], [float("nan"), 1]], "id")
+    assert nearest(items, items.withColumnRenamed("id", "query_id"), 2, "cosine", ship_bytes=1).count() == 0
+    some = vectors(spark, np.random.default_rng(11).standard_normal((300, 3)), "id")
+    asked = some.withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, nearest(some, asked, 3, "cosine", digits=6).collect()))
+    for bounds in ({"ship_bytes": 900, "block_bytes": 4000, "hold_rows": 90}, {"hold_rows": 300}):
+        assert sorted(map(tuple, nearest(some, asked, 3, "cosine", digits=6, **bounds).collect())) == want
+
+
 def test_vectors_too_long_to_square_keep_their_neighbours(spark):
     items = vectors(spark, [[1e200, 0], [1e200, 1e190], [0, 1], [1e-200, 0], None, [0, 0]], "id")
     asked = items.withColumnRenamed("id", "query_id")
@@ -153,3 +185,22 @@ def test_long_documents_first_leave_most_pairs_unscored(monkeypatch):
         best.add(who, scores, ids.take(pa.array(at)))
     assert best.settle().to_pydict() == every.settle().to_pydict()
     assert sum(cells) < 60 * 3000 / 3
+
+
+def test_descriptors_are_made_once_for_a_projection(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def double(v):
+        calls.add(len(v))
+        return pa.array([None if x is None else [float(x), 1.0] for x in v.to_pylist()], pa.list_(pa.float64()))
+
+    rows = spark.createDataFrame([(i, None if i == 3 else i) for i in range(20)], "id bigint, x bigint")
+    items = rows.select("id", F.arrow_udf(double, "array<double>")("x").alias("vector"))
+    got = crossmodal.project(items, np.zeros(2), np.eye(2)).collect()
+    assert sorted(r["id"] for r in got) == [i for i in range(20) if i != 3] and calls.value == 20
+
+
+def test_shares_of_character_classes():
+    low, length = pa.array(["abab, 1", "", None, "é1"]), pa.array([7, 0, None, 2])
+    assert media._class_shares(low, length).to_pylist() == [
+        [2 / 7, 2 / 7, 0, 0, 0, 1 / 7, 1 / 7, 1 / 7], [0.0] * 8, [None] * 8, [0, 0, 0, 0, 0, 0.5, 0, 0]]

@@ -50,10 +50,11 @@ def fit_correlation(pairs: DataFrame, reg: float = 1e-3, components: int | None
                     rank: int = RANK, least: float = LEAST_SHARE) -> Correlation:
     """Canonical correlation of paired views (text_vector, image_vector).
 
-    Executors add up means and products in one pass; the driver solves the problem of the size of the two views together.
-    Views of more than ``max_view`` entries together go to ``fit_wide`` with ``rank`` and ``least``. ``reg`` times the
+    The views are written once, executors add up means and products in one pass, and the driver solves the problem of the
+    size of the two views together. Views of more than ``max_view`` entries together go to ``fit_wide`` with ``rank`` and ``least``. ``reg`` times the
     mean variance is added to each view's diagonal, since topic shares are linearly dependent.
     """
+    pairs = written(pairs.select("text_vector", "image_vector"), "pairs")
     one = pairs.select(F.size("text_vector").alias("p"), F.size("image_vector").alias("q")).first()
     if one is None:
         raise ValueError("no pairs to fit on")
@@ -155,13 +156,14 @@ def project(items: DataFrame, mean: np.ndarray, weights: np.ndarray, id: str = "
 
     def run(batches):
         for batch in batches:
-            x = (matrix(batch.column(1)) - mean) @ weights
+            batch = batch.filter(batch.column(1).is_valid())
+            x = (matrix(batch.column(1)) - mean) @ weights if batch.num_rows else np.zeros((0, weights.shape[1]))
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[id, "vector"])
 
     id_type = items.schema[id].dataType.simpleString()
-    usable = items.select(id, vector).filter(F.col(vector).isNotNull())
-    return usable.mapInArrow(run, f"{id} {id_type}, vector array<double>")
+    # a filter in the plan would go below the descriptors' projection, which would then be made twice
+    return items.select(id, vector).mapInArrow(run, f"{id} {id_type}, vector array<double>")
 
 
 def search_medium(projected: DataFrame, queries: DataFrame, categories: DataFrame | None = None, k: int = DEFAULT_K,

@@ -19,6 +19,9 @@ from vestigo.schemas import require
 TINY = 1e-280
 #: Knots between which l1 distances are taken by products, rows that place them, and sums of ranges that floats can hold.
 SEGMENTS, KNOT_ROWS, PLAIN = 3, 1024, (1e-25, 1e25)
+#: Widest vectors whose space boxes divide well, items of a box, boxes of a large box, large boxes and boxes tried first, queries or boxes
+#: looked at together.
+NARROW, BOX, FAN, HOMES, AHEAD, LOOK = 8, 64, 64, 2, 8, 1024
 
 
 def feature_distance(corpus: DataFrame, query: DataFrame, metric: str = "l2", id: str = "id", vector: str = "vector",
@@ -60,8 +63,12 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2", i
     def scorer(q: pa.Table, c: pa.Table, best: blocks.BestK):
         return near_pairs(q.column(vector), c.column(vector), metric, digits, best)
 
+    def whole(c: pa.Table):
+        return boxed_cosine(c.column(vector), vector, digits)
+
+    narrow = metric == "cosine" and not right.filter(F.size(vector) <= NARROW).isEmpty()
     found = blocks.best_k(left, right, k, scorer, query_id="query_id", id=id, query_size=size, corpus_size=size,
-                          ship_bytes=ship_bytes, block_bytes=block_bytes, hold_rows=hold_rows)
+                          ship_bytes=ship_bytes, block_bytes=block_bytes, hold_rows=hold_rows, whole=whole if narrow else None)
     ranked = found.select("query_id", id, (F.lit(0.0) - F.col("score")).alias("distance"))
     return top_k(ranked, k, [("distance", "ascending"), (id, "ascending")], per=["query_id"])
 
@@ -212,6 +219,106 @@ def _near_l1(a: np.ndarray, b: np.ndarray, digits: int | None, best: blocks.Best
     return pairs()
 
 
+def _boxes(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The points' order by halves: every part is cut at the middle of its longest side until parts have ``most`` points at most;
+    and where the parts begin."""
+    order, edges = np.arange(len(points)), np.array([0, len(points)])
+    while np.diff(edges).max() > most:
+        held, sizes = points[order], np.diff(edges)
+        side = (np.maximum.reduceat(held, edges[:-1]) - np.minimum.reduceat(held, edges[:-1])).argmax(1)
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        order = order[np.lexsort((held[np.arange(len(held)), side[part]], part))]
+        edges = np.sort(np.concatenate([edges, edges[:-1] + sizes // 2]))
+    return order, edges
+
+
+def _likeness(directions: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Most that each direction's product with a point of its box can be; all have a direction's entries last."""
+    total = 0.0
+    for j in range(directions.shape[-1]):
+        x = directions[..., j]
+        apart = np.maximum(np.maximum(low[..., j] - x, x - high[..., j]), 0)
+        total = total + apart * apart
+    return 1 - total / 2
+
+
+def boxed_cosine(items: pa.ChunkedArray, vector: str, digits: int | None):
+    """The nearest by cosine among all items of a part, for short vectors: a finder of the best (``blocks.Whole``).
+
+    Directions are put into boxes, and boxes into larger ones. A query scores the nearest boxes of its nearest large ones; the k-th
+    distance found there bounds the large boxes, then their boxes, that it has to look at. Scores are those of ``near_pairs``,
+    which gets what cannot be handled so.
+    """
+    b = matrix(items)
+    with np.errstate(over="ignore", invalid="ignore"):
+        b2 = (b * b).sum(1)
+    which = np.flatnonzero(np.isfinite(b).all(1) & (b != 0).any(1))
+    sound = bool(len(which)) and 0 < b.shape[1] <= NARROW and np.isfinite(b2[which]).all() and not (b2[which] < TINY).any()
+    if sound:
+        order, edges = _boxes(b[which] / np.sqrt(b2[which])[:, None], BOX)
+        which = which[order]
+        b, b2 = b[which], b2[which]
+        right = b / np.sqrt(b2)[:, None]
+        low, high = np.minimum.reduceat(right, edges[:-1]), np.maximum.reduceat(right, edges[:-1])
+        fan = min(FAN, len(low))  # both are powers of two
+        large_low, large_high = low.reshape(-1, fan, b.shape[1]).min(1), high.reshape(-1, fan, b.shape[1]).max(1)
+        place = edges[:-1, None] + np.arange(np.diff(edges).max())
+        there = place < edges[1:, None]
+        place = np.where(there, place, 0)
+    margin = (0.0 if digits is None else 10.0 ** -digits) + 1e-9
+
+    def reach(floor):
+        return 1 + floor - margin
+
+    def search(queries: pa.Table, best: blocks.BestK):
+        a = matrix(queries.column(vector))
+        with np.errstate(over="ignore", invalid="ignore"):
+            a2 = (a * a).sum(1)
+        usable = np.flatnonzero(np.isfinite(a).all(1) & (a != 0).any(1))
+        if not sound or not len(usable) or a.shape[1] != b.shape[1] or not np.isfinite(a2[usable]).all() or (a2[usable] < TINY).any():
+            for first in range(0, len(items), blocks.BATCH_ROWS):
+                for q, d, scores in near_pairs(queries.column(vector), items.slice(first, blocks.BATCH_ROWS), "cosine", digits, best):
+                    yield q, first + d, scores
+            return
+        for at in range(0, len(usable) if best.k else 0, LOOK):
+            who = usable[at:at + LOOK]
+            for q, d in looked_up(a[who] / np.sqrt(a2[who])[:, None], who, best):
+                i = who[q]
+                value = 1 - (a[i] * b[d]).sum(1) / (np.sqrt(a2[i]) * np.sqrt(b2[d]))
+                scores = (-value if digits is None else np.round(-value, digits)) + 0.0
+                good = scores >= best.floor[i]
+                yield i[good], which[d[good]], scores[good]
+
+    def looked_up(left: np.ndarray, who: np.ndarray, best: blocks.BestK):
+        """(query, item) numbers of all pairs that can be among the best, a bounded number at a time."""
+        one = np.arange(len(left))
+        large = _likeness(left[:, None, :], large_low, large_high)
+        nearest_large = np.argpartition(-large, min(HOMES, large.shape[1]) - 1, axis=1)[:, :HOMES]
+        home = (nearest_large[:, :, None] * fan + np.arange(fan)).reshape(len(left), -1)
+        some = min(home.shape[1], max(AHEAD, -(-4 * best.k // BOX)))
+        near = np.take_along_axis(home, np.argpartition(-_likeness(left[:, None, :], low[home], high[home]), some - 1, axis=1)[:, :some], 1)
+        for first in range(0, len(left), max(1, LOOK // some)):
+            part = slice(first, first + max(1, LOOK // some))
+            at = place[near[part]].reshape(len(one[part]), -1)
+            rough = np.where(there[near[part]].reshape(at.shape), np.einsum("qd,qpd->qp", left[part], right[at]), -np.inf)
+            if rough.shape[1] > best.k:  # k items reach the cut
+                cut = np.partition(rough, -best.k, axis=1)[:, -best.k] - 1 - margin
+                best.floor[who[part]] = np.maximum(best.floor[who[part]], cut)
+        q, box = blocks.places(large >= reach(best.floor[who])[:, None] - 1e-9)
+        for first in range(0, len(q), LOOK):
+            asked = np.repeat(q[first:first + LOOK], fan)
+            boxes = (box[first:first + LOOK, None] * fan + np.arange(fan)).ravel()
+            wanted = _likeness(left[asked], low[boxes], high[boxes]) >= reach(best.floor[who[asked]]) - 1e-9
+            asked, boxes = asked[wanted], boxes[wanted]
+            for at in range(0, len(asked), LOOK):
+                x, y = asked[at:at + LOOK], place[boxes[at:at + LOOK]]
+                rough = np.einsum("nd,npd->np", left[x], right[y])
+                n, p = blocks.places((rough >= reach(best.floor[who[x]])[:, None]) & there[boxes[at:at + LOOK]])
+                yield x[n], y[n, p]
+
+    return search
+
+
 def distance_scores(queries: pa.ChunkedArray, items: pa.ChunkedArray, metric: str, k: int, digits: int | None,
                     cells: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Matrices of negated distances, block by block of items."""
