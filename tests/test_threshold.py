@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vestigo.operators import metric
+from vestigo.operators import fusion, metric
 from vestigo.operators.fusion import fused_batch, fused_threshold
 
 
@@ -25,3 +25,15 @@ def test_blocks_hand_on_no_pair_beyond_a_querys_bound(spark):
                                    "cell int, block int, query long, v array<double>, most double, n long")
     found = metric._met(items, visits, "l2", 64, 6).groupBy("query").agg(F.sort_array(F.collect_list("item")).alias("items"))
     assert {r["query"]: r["items"] for r in found.collect()} == {1: [8, 9, 10, 11, 12], 2: list(range(40))}
+
+
+def test_rankings_that_score_nearly_every_pair_are_not_repeated(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = [(i, kind, [float(x) for x in draw.standard_normal(24)]) for kind in ("front", "back") for i in range(600)]
+    features = spark.createDataFrame(rows, "id bigint, kind string, vector array<double>")
+    asked = features.filter("id % 60 = 0").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(fusion, "RANKED", 1)
+    got = fusion.fused_threshold(features, asked, ["front", "back"], [0.5, 0.5], 3, digits=6, depth=4, growth=2, cell=16)
+    want = fusion.fused_batch(features, asked, ["front", "back"], [0.5, 0.5], k=3, digits=6)
+    assert got.rounds == 2  # without structure no cell is left out, so a second ranking would score all pairs again
+    assert sorted(map(tuple, got.found.collect())) == sorted(map(tuple, want.collect()))

@@ -199,9 +199,9 @@ def fused_threshold(features: DataFrame, queries: DataFrame, kinds: Sequence[str
 
     Each kind is ranked to a depth, by ``metric.nearest_pruned`` with the settings ``cells``; items that any ranking shows are
     scored on all kinds. No other item can beat the weighted sum of the similarities at that depth, so a query whose k-th
-    score lies above it is done. Queries that are not go on with ``growth`` times the depth. Once that depth is a
-    ``RANKED``-th of the collection, a ranking would cost more than scoring every pair in blocks, which the queries still open
-    then get, so no ranking grows with the collection. Weights must not be negative. Items and queries without a vector of a kind count 0 there.
+    score lies above it is done. Queries that are not go on with ``growth`` times the depth, as long as that costs less than scoring
+    every pair in blocks, which the queries still open then get. A deeper ranking scores at least the pairs that the last one
+    scored for a query, and each of its rows costs ``RANKED`` pairs, so no ranking grows with the collection. Weights must not be negative. Items and queries without a vector of a kind count 0 there.
     """
     require(features, id, "kind", vectors=("vector",))
     require(queries, "query_id", "kind", vectors=("vector",))
@@ -214,12 +214,13 @@ def fused_threshold(features: DataFrame, queries: DataFrame, kinds: Sequence[str
     n, depth, unit = items.count(), depth or max(4 * k, 64), 0.0 if digits is None else 10.0 ** -digits
     done, pairs, rounds = [], 0, 0
     while True:
-        lists, rounds = [], rounds + 1
+        lists, rounds, asked, before = [], rounds + 1, todo.count(), pairs
         for i in range(len(names)):
             one = nearest_pruned(items.select(id, F.col(f"v{i}").alias("vector")), todo.select("query_id", F.col(f"v{i}").alias("vector")),
                                  depth, metric, id, digits=digits, **cells)
             lists.append(written(one.found, "ranking"))
             pairs += one.scored.first()[0]
+        each = (pairs - before) / max(asked, 1)
         seen = written(union_all([one.select("query_id", id) for one in lists]).distinct(), "seen")
         pairs += seen.count()
         rows = seen.join(todo, "query_id").join(other, id)
@@ -245,7 +246,7 @@ def fused_threshold(features: DataFrame, queries: DataFrame, kinds: Sequence[str
         if todo.isEmpty():
             break
         depth *= growth
-        if depth * RANKED >= n:
+        if depth * RANKED + each >= n:
             pairs, rounds = pairs + n * todo.count(), rounds + 1
             done.append(_fused_exactly(_rankable(items, id, names, metric), _rankable(todo, "query_id", names, metric),
                                        kinds, weights, k, metric, id, digits))
