@@ -24,7 +24,7 @@ DEFAULT_K = 10
 FIRST_BLOCKS = 16
 # Queries a task scores at a time in a batch search, entries of a score matrix, and the share of pairs from which on a term's
 # counts are multiplied as a matrix.
-QUERIES, CELLS, COMMON = 1 << 14, 1 << 21, 1 / 256
+QUERIES, CELLS, COMMON = 1 << 14, 1 << 21, 1 / 512
 # Documents of one block at most while a part's documents are taken by falling length.
 BLOCK_WIDTH = 1 << 14
 
